@@ -63,11 +63,12 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     recs = recs.withColumn("range", _range_of(F.col("h"), splitters))
 
     cap = float(min(WINDOW_BYTES, max(1, total / shards)))
+    # at most total / cap ranges are overfull, which bounds both broadcasts
     parts = lambda size: F.greatest(F.lit(1), F.ceil(size / cap))
     by_range = recs.groupBy("range").agg(parts(F.sum("size")).alias("n1")).where("n1 > 1")
-    recs = recs.join(by_range, "range", "left").withColumn("sub", F.pmod(F.xxhash64(F.lit("text"), "h"), F.coalesce("n1", F.lit(1))))
+    recs = recs.join(F.broadcast(by_range), "range", "left").withColumn("sub", F.pmod(F.xxhash64(F.lit("text"), "h"), F.coalesce("n1", F.lit(1))))
     by_sub = recs.groupBy("range", "sub").agg(parts(F.sum("size")).alias("n2")).where("n2 > 1")
-    recs = recs.join(by_sub, ["range", "sub"], "left").withColumn("own", F.pmod(F.xxhash64(F.lit("id"), "doc_id"), F.coalesce("n2", F.lit(1))))
+    recs = recs.join(F.broadcast(by_sub), ["range", "sub"], "left").withColumn("own", F.pmod(F.xxhash64(F.lit("id"), "doc_id"), F.coalesce("n2", F.lit(1))))
 
     cell = ["range", "sub", "own"]
     before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,9 @@ import pyarrow as pa
 SLICE_BYTES = 2_000_000
 _DELIM = np.zeros(256, bool)
 _DELIM[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything but letters, for the text kernels that look at letters only; bytes above ASCII count as letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _PLAIN = np.arange(1, 257, dtype=np.uint64)
 _LOWER = _PLAIN.copy()
 _LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
@@ -60,22 +63,28 @@ class Words:
     64-bit value per word.
     """
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, delim: np.ndarray = _DELIM):
         self.data = b" ".join(t or b"" for t in texts)
         buf = np.frombuffer(self.data, np.uint8)
         lens = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         offs = np.concatenate([[0], np.cumsum(lens + 1)])
         inside = np.zeros(len(buf) + 2, np.int8)
-        inside[1:-1] = ~_DELIM[buf]
+        inside[1:-1] = ~delim[buf]
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.start, offs)
-        self.hash = _ranges((_LOWER if lower else _PLAIN)[buf], self.start, self.end, "byte")
+        self._values = (_LOWER if lower else _PLAIN)[buf]
+        self.hash = _ranges(self._values, self.start, self.end, "byte")
 
     def doc(self) -> np.ndarray:
         """Per word its document's place in the slice."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of more than ``n`` bytes, and the hashes of their first ``n``."""
+        at = np.flatnonzero(self.end - self.start > n)
+        return at, _ranges(self._values, self.start[at], self.start[at] + n, "byte")
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``k`` words within one document."""
         n = len(self.hash)
