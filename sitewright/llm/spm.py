@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct marked words kept in a worker's table before it starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 1_000_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 _LOADED: dict[str, "ChunkTable"] = {}
@@ -37,7 +39,30 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.vocab_size()))
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self.sp.normalize(" a  b ") == f"{MARK}{MARK}a{MARK}{MARK}b{MARK}"
-        self.ids: dict[str, np.ndarray] = {}
+        self.mark = np.array([self.sp.piece_to_id(MARK)], np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        """The table: the place of each word, where its ids start in ``flat``, and how many they are."""
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, words: list[str]) -> None:
+        # an empty chunk is a lone marker, for which the library's encode("") gives nothing
+        got = [x if w else self.mark for w, x in zip(words, self.sp.encode(words, num_threads=1))]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        first, total = len(self.place), int(n.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(words) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
+        self.start[first : first + len(words)] = self.used + np.cumsum(n) - n
+        self.count[first : first + len(words)] = n
+        self.place.update(zip(words, range(first, first + len(words))))
+        self.used += total
 
     def chunks(self, text: str) -> list[str]:
         """Marked words, each without its first marker."""
@@ -46,31 +71,26 @@ class ChunkTable:
             return [c[1:] for c in _CHUNK.findall(" " + text)]
         return text.split(" ")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        end = np.array([self.sp.eos_id()], np.int32)
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin, with one more entry at the end."""
         if not self.apart:  # a model whose pieces cross markers is run on whole texts
-            return [np.array(self.sp.encode(t or "", add_eos=True), np.int32) for t in texts]
-        out = []
-        for t in texts:
-            if not t:
-                out.append(end)
-                continue
-            words = self.chunks(t)
-            try:
-                own = [self.ids[w] for w in words]
-            except KeyError:
-                if len(self.ids) > TABLE_WORDS:
-                    self.ids.clear()
-                new = [w for w in dict.fromkeys(words) if w not in self.ids]
-                self.ids.update(zip(new, (self._ids(w, x) for w, x in zip(new, self.sp.encode(new, num_threads=1)))))
-                own = [self.ids[w] for w in words]
-            own.append(end)
-            out.append(np.concatenate(own))
-        return out
-
-    def _ids(self, word: str, ids: list[int]) -> np.ndarray:
-        # an empty chunk is a lone marker, for which the library's encode("") gives nothing
-        return np.array(ids if word else [self.sp.piece_to_id(MARK)], np.int32)
+            got = [self.sp.encode(t or "", add_eos=True) for t in texts]
+            return np.array(list(chain.from_iterable(got)), np.int32), np.cumsum([0, *map(len, got)])
+        chunks = [self.chunks(t) if t else [] for t in texts]
+        words = list(chain.from_iterable(chunks))
+        new = set(words).difference(self.place)
+        if new:
+            if len(self.place) + len(new) > TABLE_WORDS:
+                self.clear()
+                new = set(words)
+            self.add(list(new))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n = self.count[at]
+        end = np.concatenate([[0], np.cumsum(n)])
+        flat = self.flat[np.repeat(self.start[at] - end[:-1], n) + np.arange(end[-1])]
+        bounds = end[np.cumsum([0, *map(len, chunks)])]
+        eos = np.full(len(texts), self.sp.eos_id(), np.int32)
+        return np.insert(flat, bounds[1:], eos), bounds + np.arange(len(bounds))
 
 
 def loaded(model: str) -> ChunkTable:
@@ -89,10 +109,8 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                got = table.encode(part.column(part.num_columns - 1).to_pylist())
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-                flat = pa.array(np.concatenate(got))
-                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offs), flat)]
+                flat, bounds = table.encode(part.column(part.num_columns - 1).to_pylist())
+                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, ids])
 
     schema = plain.drop("text").schema.add(ids, T.ArrayType(T.IntegerType()))
@@ -110,7 +128,9 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 col = part.column(part.num_columns - 1)
-                texts = [None if x is None else sp.decode(x) for x in col.to_pylist()]
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0))]).tolist()
+                flat = col.flatten().to_numpy().tolist()
+                texts = [sp.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], col.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*rest, text])
 
     return plain.mapInArrow(run, plain.drop("ids").schema.add(text, "string"))
