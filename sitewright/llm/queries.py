@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import ann, chat, langid, packing, sharding, spm, toxicity, vec_dedup
+from sitewright.llm import ann, chat, langid, ngram_join, packing, sharding, spm, toxicity, vec_dedup
 from sitewright.llm.common import table
 
 
@@ -47,10 +47,14 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_vec_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_chat, op5_sharding, op3_ann, op6_packing, op7_langid, op9_vec_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_chat, op5_sharding, op3_ann, op6_packing, op7_langid, op8_ngram_join, op9_vec_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
