@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import ann, chat, langid, ngram_join, packing, sharding, spm, toxicity, vec_dedup
+from sitewright.llm import ann, chat, langid, ngram_join, packing, sharding, spm, substring, toxicity, vec_dedup
 from sitewright.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Both rows hold the template's own control strings.
 HARD_CONVERSATION = r"""
 SELECT -7L AS conv_id, turn, role, '\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)
@@ -55,6 +60,6 @@ def op9_vec_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_chat, op5_sharding, op3_ann, op6_packing, op7_langid, op8_ngram_join, op9_vec_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_ann, op4_chat, op5_sharding, op6_packing, op7_langid, op8_ngram_join, op9_vec_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
