@@ -29,6 +29,8 @@ from sitewright.llm.components import components
 TABLES = 8
 PROBES = 4
 TILE_ROWS = 2_000
+#: Rows to a bin of small buckets, for all labels together.
+BIN_ROWS = 40_000
 SIMILAR = 0.98
 
 
@@ -95,37 +97,53 @@ def _settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _tile_links(table: pa.Table, similar: float) -> pa.Table:
-    key, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-    table = table.sort_by("rep")
-    rep, many = np.asarray(table.column("rep")), np.asarray(table.column("many"))
-    tile = np.asarray(table.column("tile"))
+def _near_in_tile(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, cols: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row and a column that may be similar, in blocks of a matrix product."""
+    for at in range(0, len(rows), 500):
+        r = rows[at : at + 500]
+        a, b = np.nonzero((x[r] @ x[cols].T) / (norm[r][:, None] * norm[cols][None, :]) >= similar - 1e-9)
+        yield r[a], cols[b]
+
+
+def _near_in_runs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each run of equal buckets, one distance after the other."""
+    at, step = np.arange(len(bucket)), 1
+    while len(at):
+        at = at[at + step < len(bucket)]
+        at = at[bucket[at] == bucket[at + step]]
+        yield at, at + step
+        step += 1
+
+
+def _links(table: pa.Table, similar: float) -> pa.Table:
+    """Counts and spanning links of one pair of tiles, or of the small buckets that share a bin."""
+    table = table.sort_by([("bucket", "ascending"), ("rep", "ascending")])
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    rep, many, tile, bucket = (np.asarray(table.column(c)) for c in ("rep", "many", "tile", "bucket"))
     x = _matrix(table.column("embedding").combine_chunks())
     own = _matrix(table.column("buckets").combine_chunks()).astype(np.int64)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    left, right = [], []
-    rows, cols = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-    for at in range(0, len(rows), 500):
-        r = rows[at : at + 500]
-        cos = (x[r] @ x[cols].T) / (norm[r][:, None] * norm[cols][None, :])
-        a, b = np.nonzero(cos >= similar - 1e-9)
-        a, b = r[a], cols[b]
-        apart = a < b if i == j else np.ones(len(a), bool)
-        a, b = a[apart], b[apart]
-        exact = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= similar
-        left.append(a[exact])
-        right.append(b[exact])
-    a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-    links = np.zeros(len(rep), np.int64)
-    for at in range(0, len(a), 20_000):
-        p, q = a[at : at + 20_000], b[at : at + 20_000]
-        common = np.where((own[p][:, :, None] == own[q][:, None, :]).any(2), own[p], np.iinfo(np.int64).max).min(1)
-        p, q = p[common == key], q[common == key]
-        np.add.at(links, p, many[q])
-        np.add.at(links, q, many[p])
-    root = rep[_settled(len(rep), a, b)]
-    out = (links > 0) | (root != rep)
-    return pa.table({"rep": rep[out], "links": links[out], "root": root[out]})
+    tiled = table.column("bin")[0].as_py() is None
+    near = _near_in_tile(x, norm, np.flatnonzero(tile == i), np.flatnonzero(tile == j), similar) if tiled else _near_in_runs(bucket)
+    left, right, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(rep), np.int64)
+    for a, b in near:
+        if tiled and i == j:
+            a, b = a[a < b], b[a < b]
+        for at in range(0, len(a), 20_000):
+            p, q = a[at : at + 20_000], b[at : at + 20_000]
+            good = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= similar
+            p, q = p[good], q[good]
+            left.append(p)
+            right.append(q)
+            shared = np.where((own[p][:, :, None] == own[q][:, None, :]).any(2), own[p], np.iinfo(np.int64).max).min(1)
+            p, q = p[shared == bucket[p]], q[shared == bucket[p]]
+            np.add.at(links, p, many[q])
+            np.add.at(links, q, many[p])
+    names, place = np.unique(rep, return_inverse=True)  # a vector has a row for each of its buckets in the bin
+    root = names[_settled(len(names), place[np.concatenate(left)], place[np.concatenate(right)])]
+    links = np.bincount(place, links, len(names)).astype(np.int64)
+    out = (links > 0) | (root != names)
+    return pa.table({"rep": names[out], "links": links[out], "root": root[out]})
 
 
 def deduplicate(vectors: DataFrame, similar: float = SIMILAR, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -147,13 +165,17 @@ def deduplicate(vectors: DataFrame, similar: float = SIMILAR, tables: int = TABL
 
     kinds = "label {}, rep long, many long, embedding {}, buckets array<long>, dim int".format(*(dict(rows.dtypes)[c] for c in ("label", "embedding")))
     keyed = reps.select("label", "rep", "many", "embedding").mapInArrow(hashed, kinds)
-    keyed = cut(keyed, "hashed").withColumn("bucket", F.explode("buckets"))
+    keyed = cut(keyed, "hashed")
+    bins = max(1, keyed.count() * tables * probes // BIN_ROWS)
+    keyed = keyed.withColumn("bucket", F.explode("buckets"))
     bucket = ["label", "dim", "bucket"]
     sizes = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
     keyed = keyed.join(sizes, bucket).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = keyed.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    found = tiled.groupBy(*bucket, "i", "j").applyInArrow(lambda t: _tile_links(t, similar), "rep long, links long, root long")
+    tiled = keyed.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
+    hot = F.col("tiles") > 1  # such a bucket has tasks of its own, the others share bins
+    tiled = tiled.withColumns({"own": F.when(hot, F.col("bucket")), "bin": F.when(~hot, F.pmod(F.xxhash64("bucket"), F.lit(bins)))})
+    found = tiled.groupBy("label", "dim", "own", "bin", "i", "j").applyInArrow(lambda t: _links(t, similar), "rep long, links long, root long")
     found = cut(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
