@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.textkernel import Words, slices
+from sitewright.llm.textkernel import Words, slices, trim
 
 WINDOW = 20
 GRAM = 8
 #: Bytes of text whose suffixes share a bin, as expected.
-BIN_BYTES = 20_000_000
+BIN_BYTES = 6_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -150,6 +150,12 @@ def _subtrees(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_spans(doc[mark], start[mark])])
 
 
+def _one_bin(table: pa.Table) -> pa.Table:
+    out = _subtrees(table)
+    trim()
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans: of each document the word ranges that repeat earlier ones, as pairs of unsigned 32-bit numbers."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -164,7 +170,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["bin", "doc", "spans", *_COLUMNS])
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bin long, doc long, spans binary, " + ", ".join(f"{c} binary" for c in _COLUMNS))
-    found = dealt.groupBy("bin").applyInArrow(_subtrees, "doc long, spans binary")
+    found = dealt.groupBy("bin").applyInArrow(_one_bin, "doc long, spans binary")
     return found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
 

@@ -7,12 +7,14 @@ range, and a second one over word hashes gives the hash of any run of words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _DELIM = np.zeros(256, bool)
 _DELIM[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything but letters, for the text kernels that look at letters only; bytes above ASCII count as letters.
@@ -25,6 +27,14 @@ _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker that lives on holds none of its last task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(31))
@@ -111,3 +121,5 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
             to += 1
         yield batch.slice(at, to - at), col.slice(at, to - at).to_pylist()
         at = to
+    del col
+    trim()
