@@ -23,6 +23,11 @@ def _c(value: C | float) -> Column:
     return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(float(value))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written once into the plan, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -35,13 +40,11 @@ def rectangle(e0: C, n0: C, e1: C, n1: C) -> Column:
 
 def open_ring(ring: C) -> Column:
     """Without a repeated first vertex at the end."""
-    r = _c(ring)
-    return F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+    return let(_c(ring), lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
 def closed_ring(ring: C) -> Column:
-    r = open_ring(ring)
-    return F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r)
+    return let(open_ring(ring), lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def rotated(array: Column) -> Column:
@@ -51,8 +54,7 @@ def rotated(array: Column) -> Column:
 
 def edges(ring: C) -> Column:
     """array<struct<a, b>> of the edges of an open ring, the closing one too."""
-    r = _c(ring)
-    return F.zip_with(r, rotated(r), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return let(_c(ring), lambda r: F.zip_with(r, rotated(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def _sum(array: Column, of: Callable[[Column], Column]) -> Column:
@@ -61,16 +63,18 @@ def _sum(array: Column, of: Callable[[Column], Column]) -> Column:
 
 def ring_area(ring: C) -> Column:
     """Shoelace area of an open or closed ring; 0 for fewer than three vertices."""
-    r = open_ring(ring)
-    twice = _sum(edges(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    return F.when(F.size(r) < 3, F.lit(0.0)).otherwise(F.abs(twice) / 2)
+    twice = lambda r: _sum(edges(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    return let(open_ring(ring), lambda r: F.when(F.size(r) < 3, F.lit(0.0)).otherwise(F.abs(twice(r)) / 2))
 
 
 def bbox(ring: C) -> Column:
     """struct<x0, y0, x1, y1>."""
-    r = _c(ring)
-    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+    def of(r: Column) -> Column:
+        xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+    return let(_c(ring), of)
 
 
 def overlap_closed(a: Column, b: Column) -> Column:
@@ -124,25 +128,31 @@ def _half_plane(ring: Column, axis: str, limit: Column, low: bool) -> Column:
 
 def clip(ring: C, rect: Column) -> Column:
     """The ring within a rectangle (four half-plane cuts); empty below three vertices."""
-    r = open_ring(ring)
-    for axis, side, low in (("x", "x0", True), ("x", "x1", False), ("y", "y0", True), ("y", "y1", False)):
-        r = _half_plane(r, axis, rect[side], low)
-    return F.when(F.size(r) >= 3, r).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def cut(box: Column) -> Column:
+        r = open_ring(ring)
+        for axis, side, low in (("x", "x0", True), ("x", "x1", False), ("y", "y0", True), ("y", "y1", False)):
+            r = _half_plane(r, axis, box[side], low)
+        return let(r, lambda out: F.when(F.size(out) >= 3, out).otherwise(none))
+
+    return let(rect, cut)
 
 
 def clip_polygon(rings: C, rect: Column) -> Column:
     """Clipped rings of a polygon, the first being its outline; empty if that is gone."""
-    all_ = F.filter(F.transform(_c(rings), lambda r: clip(r, rect)), lambda r: F.size(r) > 0)
-    outer = clip(F.get(_c(rings), F.lit(0)), rect)
-    return F.when(F.size(outer) > 0, all_).otherwise(F.slice(all_, 1, 0))
+    def whole(cut: Column) -> Column:
+        some = F.filter(cut, lambda r: F.size(r) > 0)
+        return F.when(F.size(F.get(cut, F.lit(0))) > 0, some).otherwise(F.slice(some, 1, 0))
+
+    return let(rect, lambda box: let(F.transform(_c(rings), lambda r: clip(r, box)), whole))
 
 
 def area_in_rect(rings: C, rect: Column) -> Column:
     """Area of a polygon with holes within a rectangle."""
-    r = _c(rings)
-    outer = ring_area(clip(F.get(r, F.lit(0)), rect))
-    holes = _sum(F.slice(r, F.lit(2), F.size(r)), lambda h: ring_area(clip(h, rect)))
-    return F.when(outer > 0, F.greatest(outer - holes, F.lit(0.0))).otherwise(F.lit(0.0))
+    areas = let(rect, lambda box: F.transform(_c(rings), lambda r: ring_area(clip(r, box))))
+    # the outline counts once and its holes against it
+    return let(areas, lambda a: F.coalesce(F.greatest(2 * F.get(a, F.lit(0)) - _sum(a, lambda v: v), F.lit(0.0)), F.lit(0.0)))
 
 
 def representative_point(ring: C) -> Column:
@@ -151,41 +161,53 @@ def representative_point(ring: C) -> Column:
     The two heights are the lowest neighbouring pair that holds the middle of the
     ring's range; of equally wide spans the leftmost counts.
     """
-    r = open_ring(ring)
-    ys = F.array_sort(F.array_distinct(F.transform(r, lambda p: p["y"])))
-    middle = (F.get(ys, F.lit(0)) + F.element_at(ys, -1)) / 2
-    gaps = F.zip_with(F.slice(ys, F.lit(1), F.size(ys) - 1), F.slice(ys, F.lit(2), F.size(ys)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    gap = F.get(F.filter(gaps, lambda g: (g["a"] <= middle) & (middle <= g["b"])), F.lit(0))
-    level = F.when(F.size(ys) < 2, F.get(ys, F.lit(0))).otherwise((gap["a"] + gap["b"]) / 2)
-    spanning = F.filter(edges(r), lambda e: (e["a"]["y"] > level) != (e["b"]["y"] > level))
-    xs = F.array_sort(F.transform(spanning, lambda e: e["a"]["x"] + (level - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
-    pairs = F.filter(
-        F.transform(xs, lambda x, i: F.when((i % 2 == 0) & (i + 1 < F.size(xs)), F.struct((F.get(xs, i + 1) - x).alias("width"), (-x).alias("left"), ((x + F.get(xs, i + 1)) / 2).alias("at")))),
-        lambda p: p.isNotNull(),
-    )
-    box = bbox(r)
-    return point(F.when(F.size(pairs) > 0, F.array_max(pairs)["at"]).otherwise((box["x0"] + box["x1"]) / 2), level)
+
+    def level_of(r: Column) -> Column:
+        def between(ys: Column) -> Column:
+            middle = (F.get(ys, F.lit(0)) + F.element_at(ys, -1)) / 2
+            gaps = F.zip_with(F.slice(ys, F.lit(1), F.size(ys) - 1), F.slice(ys, F.lit(2), F.size(ys)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            return F.get(F.transform(F.filter(gaps, lambda g: (g["a"] <= middle) & (middle <= g["b"])), lambda g: (g["a"] + g["b"]) / 2), F.lit(0))
+
+        return let(F.array_sort(F.array_distinct(F.transform(r, lambda p: p["y"]))), lambda ys: F.when(F.size(ys) < 2, F.get(ys, F.lit(0))).otherwise(between(ys)))
+
+    def on_level(r: Column, level: Column) -> Column:
+        spanning = F.filter(edges(r), lambda e: (e["a"]["y"] > level) != (e["b"]["y"] > level))
+        crossings = F.array_sort(F.transform(spanning, lambda e: e["a"]["x"] + (level - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
+
+        def widest(xs: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.size(xs) - 2, F.lit(2)), lambda i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("width"), (-F.get(xs, i)).alias("left"), ((F.get(xs, i) + F.get(xs, i + 1)) / 2).alias("at")))
+            return F.when(F.size(xs) >= 2, F.array_max(pairs)["at"])
+
+        box = let(bbox(r), lambda b: (b["x0"] + b["x1"]) / 2)
+        return point(F.coalesce(let(crossings, widest), box), level)
+
+    return let(open_ring(ring), lambda r: let(level_of(r), lambda y: on_level(r, y)))
 
 
 def ring_key(ring: C) -> Column:
     """The least of all rotations of an open ring and of its reverse: the same for any start and winding."""
-    r = open_ring(ring)
-    least = F.array_min(r)
-    turned = lambda a: F.filter(F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.concat(F.slice(a, i, F.size(a)), F.slice(a, F.lit(1), i - 1))), lambda s: F.get(s, F.lit(0)) == least)
-    return F.when(F.size(r) > 0, F.array_min(F.concat(turned(r), turned(F.reverse(r)))))
+
+    def turned(a: Column, least: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.get(a, i - 1) == least)
+        return F.transform(starts, lambda i: F.concat(F.slice(a, i, F.size(a)), F.slice(a, F.lit(1), i - 1)))
+
+    best = lambda r: let(F.array_min(r), lambda least: F.array_min(F.concat(turned(r, least), let(F.reverse(r), lambda back: turned(back, least)))))
+    return let(open_ring(ring), lambda r: F.when(F.size(r) > 0, best(r)))
 
 
 def valid_ring(points: C) -> Column:
     """The open ring if at least three of its vertices differ, else null."""
-    r = open_ring(points)
-    return F.when(F.size(F.array_distinct(r)) >= 3, r)
+    return let(open_ring(points), lambda r: F.when(F.size(F.array_distinct(r)) >= 3, r))
 
 
-def cells(box: Column, size: float) -> Column:
+def cells(box: Column, size: float | Column) -> Column:
     """array<struct<cx, cy>> of the hash cells that a box touches."""
-    xs = F.sequence(F.floor(box["x0"] / size), F.floor(box["x1"] / size))
-    ys = F.sequence(F.floor(box["y0"] / size), F.floor(box["y1"] / size))
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    def of(b: Column) -> Column:
+        xs, ys = (F.sequence(F.floor(b[low] / size), F.floor(b[high] / size)) for low, high in (("x0", "x1"), ("y0", "y1")))
+        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    return let(box, of)
 
 
 def cell_span(box: Column, size: float) -> Column:
@@ -195,26 +217,39 @@ def cell_span(box: Column, size: float) -> Column:
 
 def grid(box: Column, step: C | float) -> Column:
     """array<point> from the low corner by rows; the last one may fall short of the high corner."""
-    s = _c(step)
-    xs, ys = F.sequence(F.lit(0), F.floor((box["x1"] - box["x0"]) / s).cast("int")), F.sequence(F.lit(0), F.floor((box["y1"] - box["y0"]) / s).cast("int"))
-    return F.flatten(F.transform(ys, lambda j: F.transform(xs, lambda i: point(box["x0"] + i * s, box["y0"] + j * s))))
+
+    def of(b: Column, s: Column) -> Column:
+        xs, ys = (F.sequence(F.lit(0), F.floor((b[high] - b[low]) / s).cast("int")) for low, high in (("x0", "x1"), ("y0", "y1")))
+        return F.flatten(F.transform(ys, lambda j: F.transform(xs, lambda i: point(b["x0"] + i * s, b["y0"] + j * s))))
+
+    return let(box, lambda b: let(_c(step), lambda s: of(b, s)))
 
 
 def widened_step(box: Column, step: float, cap: int) -> Column:
     """The step of a grid of at most ``cap`` points: by area first, then by factors of the square root of two."""
-    w, h = F.greatest(box["x1"] - box["x0"], F.lit(0.0)), F.greatest(box["y1"] - box["y0"], F.lit(0.0))
-    count = lambda s: (F.floor(w / s) + 1) * (F.floor(h / s) + 1)
-    first = F.when(count(F.lit(step)) <= cap, F.lit(step)).otherwise(F.greatest(F.lit(step), F.sqrt(w * h / cap)))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(60)), first, lambda s, _: F.when(count(s) > cap, s * F.lit(2.0**0.5)).otherwise(s))
+
+    def of(b: Column) -> Column:
+        w, h = F.greatest(b["x1"] - b["x0"], F.lit(0.0)), F.greatest(b["y1"] - b["y0"], F.lit(0.0))
+        count = lambda s: (F.floor(w / s) + 1) * (F.floor(h / s) + 1)
+        wide = let(F.greatest(F.lit(step), F.sqrt(w * h / cap)), lambda s0: F.aggregate(F.sequence(F.lit(0), F.lit(60)), s0, lambda s, _: F.when(count(s) > cap, s * F.lit(2.0**0.5)).otherwise(s)))
+        return F.when(count(F.lit(step)) <= cap, F.lit(step)).otherwise(wide)
+
+    return let(box, of)
 
 
 def nearest_on_segment(x: C, y: C, ax: C, ay: C, bx: C, by: C) -> Column:
     """struct<x, y, t, distance> of the nearest point of a segment; t is 0 on one without length."""
     px, py, x0, y0, x1, y1 = map(_c, (x, y, ax, ay, bx, by))
     dx, dy = x1 - x0, y1 - y0
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x0) * dx + (py - y0) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
-    qx, qy = x0 + t * dx, y0 + t * dy
-    return F.struct(qx.alias("x"), qy.alias("y"), t.alias("t"), F.hypot(qx - px, qy - py).alias("distance"))
+    length2 = F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    share = ((px - x0) * dx + (py - y0) * dy) / length2
+    t_of = F.coalesce(F.when(length2.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))), F.lit(0.0))
+
+    def at(t: Column) -> Column:
+        qx, qy = x0 + t * dx, y0 + t * dy
+        return F.struct(qx.alias("x"), qy.alias("y"), t.alias("t"), F.hypot(qx - px, qy - py).alias("distance"))
+
+    return let(t_of, at)
 
 
 def line_distance(p: Column, a: Column, b: Column) -> Column:
@@ -291,16 +326,24 @@ def interior_samples(ring: C, cap: int = 40_000) -> Column:
     where fewer than four of it are inside, the representative point and those
     middles of the box's sides that are inside.
     """
-    r = open_ring(ring)
-    box = bbox(r)
-    lat = (box["y0"] + box["y1"]) / 2
-    per_lon = METRES_PER_DEGREE * F.cos(F.radians(lat))
-    spacing = F.greatest(F.lit(2.0), F.least(F.lit(20.0), F.sqrt(local_area(r, lat)) / 8))
-    spacing = F.greatest(spacing, F.sqrt((box["x1"] - box["x0"]) * per_lon * (box["y1"] - box["y0"]) * METRES_PER_DEGREE / cap))
-    dx, dy = spacing / per_lon, spacing / METRES_PER_DEGREE
-    columns, rows = (F.sequence(F.lit(0), F.floor((box[b] - box[a]) / d).cast("int")) for a, b, d in (("x0", "x1", dx), ("y0", "y1", dy)))
-    points = F.flatten(F.transform(rows, lambda j: F.transform(columns, lambda i: point(box["x0"] + i * dx, box["y0"] + j * dy))))
-    inside = F.slice(F.filter(points, lambda p: in_ring(p["x"], p["y"], r)), 1, cap)
-    mx, my = (box["x0"] + box["x1"]) / 2, lat
-    sides = F.filter(F.array(point(mx, box["y0"]), point(mx, box["y1"]), point(box["x0"], my), point(box["x1"], my)), lambda p: in_ring(p["x"], p["y"], r))
-    return F.when(F.size(r) == 0, F.slice(r, 1, 0)).when(F.size(inside) >= 4, inside).otherwise(F.concat(F.array(representative_point(r)), sides))
+
+    def spacing(r: Column, b: Column, lat: Column, per_lon: Column) -> Column:
+        own = F.greatest(F.lit(2.0), F.least(F.lit(20.0), F.sqrt(local_area(r, lat)) / 8))
+        return F.greatest(own, F.sqrt((b["x1"] - b["x0"]) * per_lon * (b["y1"] - b["y0"]) * METRES_PER_DEGREE / cap))
+
+    def of(r: Column, b: Column) -> Column:
+        lat = (b["y0"] + b["y1"]) / 2
+        per_lon = METRES_PER_DEGREE * F.cos(F.radians(lat))
+        step = lambda s: F.struct((s / per_lon).alias("x"), (s / METRES_PER_DEGREE).alias("y"))
+
+        def inner(d: Column) -> Column:
+            columns, rows = (F.sequence(F.lit(0), F.floor((b[high] - b[low]) / v).cast("int")) for low, high, v in (("x0", "x1", d["x"]), ("y0", "y1", d["y"])))
+            points = F.flatten(F.transform(rows, lambda j: F.transform(columns, lambda i: point(b["x0"] + i * d["x"], b["y0"] + j * d["y"]))))
+            return F.slice(F.filter(points, lambda p: in_ring(p["x"], p["y"], r)), 1, cap)
+
+        mx = (b["x0"] + b["x1"]) / 2
+        sides = F.filter(F.array(point(mx, b["y0"]), point(mx, b["y1"]), point(b["x0"], lat), point(b["x1"], lat)), lambda p: in_ring(p["x"], p["y"], r))
+        few = F.concat(F.array(representative_point(r)), sides)
+        return let(let(let(spacing(r, b, lat, per_lon), step), inner), lambda inside: F.when(F.size(inside) >= 4, inside).otherwise(few))
+
+    return let(open_ring(ring), lambda r: F.when(F.size(r) == 0, r).otherwise(let(bbox(r), lambda b: of(r, b))))
