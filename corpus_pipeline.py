@@ -23,13 +23,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and those whose two nearest languages can't be told apart."""
-    found = langid.identify(docs)
-    return _without(docs, found.where((F.col("lang_pred") == "und") | F.col("ambiguous")))
+    model = langid.train(docs.where(~langid.held_out(5, 0)))
+    found = langid.annotate(docs, model).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return found.select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the nearest labelled ones vote toxic."""
-    return _without(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return toxicity.annotate(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
