@@ -5,14 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from sitewright.session import ship
 
 
+#: Rows to an Arrow batch; texts are long, and a worker holds a batch or two at once.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS where it has Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; only Spark's readers touch the path."""
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,13 +53,32 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     the tasks it was running and nothing that came before the cut.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hold ``df`` on the executors' disks for the queries that read it again.
+
+    Unlike ``cut`` this leaves the lineage, so what a lost executor held is made
+    again from the inputs; it is for tables near the inputs that would otherwise
+    be written as many small files.
+    """
+    small_batches(df.sparkSession)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _KEPT.append(df)
+    return df
+
+
 def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote in this application."""
+    """Delete every table that ``cut`` wrote in this application, and drop what ``keep`` holds."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

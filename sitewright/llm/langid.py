@@ -138,19 +138,27 @@ def _has_letter(text: bytes | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for every row of docs (doc_id, text)."""
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of docs and lang_pred, score, ambiguous, without moving a row; columns of these names are replaced."""
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "ambiguous")]
+    rows = docs.select(*rest, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                known = np.array([_has_letter(t) for t in texts]) & (model is not None)
+                known = np.array([_has_letter(t) for t in texts], bool) & (model is not None)
                 best, score = model.predict(texts) if model is not None else (np.zeros(len(texts), int), np.zeros(len(texts)))
                 names = [model.languages[i] if k else "und" for i, k in zip(best, known)]
                 score = np.where(known, score, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=[*rest, "text", "lang_pred", "score", "ambiguous"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous for every row of docs (doc_id, text)."""
+    return annotate(docs.select("doc_id", "text"), model).drop("text")
 
 
 def identify(docs: DataFrame, parts: int = 5, hold: int = 0) -> DataFrame:

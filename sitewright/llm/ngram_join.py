@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut
+from sitewright.llm.common import cut, keep
 from sitewright.llm.components import components
 from sitewright.llm.textkernel import Words, mix, slices
 
@@ -254,7 +254,7 @@ def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    sketch = cut(_sketch(docs, words, percent), "sketch")
+    sketch = keep(_sketch(docs, words, percent))
     named = sketch.where("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     tokens = named.agg(F.sum(F.octet_length("low")) / 8).first()[0] or 0
@@ -273,11 +273,11 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *cols], names=["doc_id", "n", "low", "bits", "set"])
 
     left = docs.select("doc_id", "text").join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(left.mapInArrow(whole, "doc_id long, n long, low array<long>, bits binary, set binary"), "sets")
+    sets = keep(left.mapInArrow(whole, "doc_id long, n long, low array<long>, bits binary, set binary"))
 
     rows = sets.select("doc_id", "n", F.explode("low").alias("token"))
     heads = rows.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("many")).where("many > 1")
-    blocks = cut(rows.join(heads, "token").select("token", F.col("doc_id").alias("doc"), "n", "head", "many"), "blocks")
+    blocks = keep(rows.join(heads, "token").select("token", F.col("doc_id").alias("doc"), "n", "head", "many"))
     meets = blocks.where("doc <> head").groupBy("doc", "head").count()
     best = meets.groupBy("doc").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
     first = cut(_verified(best.select(F.col("head").alias("a"), F.col("doc").alias("b")), sets, percent), "first-links")

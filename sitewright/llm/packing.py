@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut
+from sitewright.llm.common import keep
 
 CAPACITY = 2048
 #: Fillings that the branch and bound looks at for one bin.
@@ -199,5 +199,5 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    out = pack(cut(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    out = pack(keep(pieces(docs, tokenizer, capacity)), capacity)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut
+from sitewright.llm.common import keep
 from sitewright.llm.langid import held_out
-from sitewright.llm.textkernel import NO_LETTER, Words, slices
+from sitewright.llm.textkernel import NO_LETTER, Words, slices, trim
 
 #: Expected examples of each class that training reads.
 TRAIN_DOCS = 4_000
@@ -80,25 +81,35 @@ def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
     return np.sort(np.array([r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(TERMS).collect()], np.int64).view(np.uint64))
 
 
-def vectors(docs: DataFrame, vocab: np.ndarray, keep: list[str]) -> DataFrame:
+class Vocabulary:
+    def __init__(self, terms: np.ndarray):
+        """terms: sorted hashes."""
+        self.terms = terms
+        self.seen = np.zeros(1 << 20, bool)  # of the hashes' first bits, to look up few
+        self.seen[terms >> np.uint64(44)] = True
+
+    def count(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's terms begin, with one more entry at the end; places in the vocabulary, ascending; counts."""
+        ids, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for words, at, h in _terms(texts) if len(self.terms) else ():
+            some = np.flatnonzero(self.seen[h >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.terms, h[some]), len(self.terms) - 1)
+            good = self.terms[place] == h[some]
+            ids.append(place[good])
+            docs.append(words.doc()[at[some[good]]])
+        key, n = np.unique(np.concatenate(docs) * (1 << 32) + np.concatenate(ids), return_counts=True)
+        return np.searchsorted(key >> 32, np.arange(len(texts) + 1)), (key & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
+
+
+def vectors(docs: DataFrame, vocab: Vocabulary, keep: list[str]) -> DataFrame:
     """``keep``, terms array<int> (places in the vocabulary, ascending) and counts array<int>."""
-    seen = np.zeros(1 << 20, bool)
-    seen[vocab >> np.uint64(44)] = True
     plain = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                ids, docs_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for words, at, h in _terms(texts) if len(vocab) else ():
-                    some = np.flatnonzero(seen[h >> np.uint64(44)])
-                    place = np.minimum(np.searchsorted(vocab, h[some]), len(vocab) - 1)
-                    some, place = some[vocab[place] == h[some]], place[vocab[place] == h[some]]
-                    ids.append(place)
-                    docs_.append(words.doc()[at[some]])
-                key, n = np.unique(np.concatenate(docs_) * (1 << 32) + np.concatenate(ids), return_counts=True)
-                offs = pa.array(np.searchsorted(key >> 32, np.arange(len(texts) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, n)]
+                offs, ids, n = vocab.count(texts)
+                lists = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(x)) for x in (ids, n)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], names=[*keep, "terms", "counts"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
@@ -177,8 +188,35 @@ class Index:
         return float((votes[:, 1].sum() + self.base * 0.3) / (votes.sum() + 0.3)), rows, cos
 
 
-def score(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted, neighbours, nearest for every row of docs (doc_id, text)."""
+class Scorer:
+    """Scores of texts' vectors, each distinct one searched once as long as the memo holds it."""
+
+    MEMO = 20_000
+
+    def __init__(self, index: Index):
+        self.index = index
+        self.memo: dict[bytes, tuple[float, int, float]] = {}
+
+    def many(self, offs: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[tuple[float, int, float]]:
+        """(score, neighbours, best cosine) of each vector."""
+        out = []
+        for a, b in zip(offs.tolist(), offs[1:].tolist()):
+            key = ids[a:b].tobytes() + counts[a:b].tobytes()
+            got = self.memo.get(key)
+            if got is None:
+                if len(self.memo) > self.MEMO:
+                    self.memo.clear()
+                s, rows, cos = self.index.score(ids[a:b].astype(np.int64), counts[a:b])
+                got = self.memo[key] = (min(1.0, max(0.0, s)), len(rows), float(cos[0]) if len(cos) else 0.0)
+            out.append(got)
+        return out
+
+
+_SCORED = (("score", pa.float64()), ("neighbours", pa.int32()), ("nearest", pa.float64()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> tuple[Vocabulary, Index, DataFrame]:
+    """The vocabulary, the index of labelled examples, and the vectors of all documents (doc_id, terms, counts)."""
     known = labels.where(~held_out(parts, hold) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: min(1.0, TRAIN_DOCS / n) for k, n in sizes.items()}
@@ -188,36 +226,54 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) ->
         wanted = wanted | ((F.col("toxic") == k) & (draw < p))
     drawn = F.broadcast(known.where(wanted))  # twice TRAIN_DOCS rows of two numbers are expected
     texts = docs.select("doc_id", "text")
-    sample = cut(texts.join(drawn, "doc_id").repartition(8), "toxic-examples")
+    sample = keep(texts.join(drawn, "doc_id").repartition(8))
     got = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    vocab = vocabulary(sample, got)
+    vocab = Vocabulary(vocabulary(sample, got))
 
-    all_vectors = cut(vectors(texts, vocab, ["doc_id"]), "toxic-vectors")
-    df = {r["t"]: r["n"] for r in all_vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # TERMS rows at most
-    n_docs = all_vectors.count()
-    idf = np.array([np.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(vocab))])
+    every = keep(vectors(texts, vocab, ["doc_id"]))
+    df = {r["t"]: r["n"] for r in every.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # TERMS rows at most
+    n_docs = every.count()
+    idf = np.array([np.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(vocab.terms))])
     weight = {k: sizes[k] / got[k] for k in got}
     examples: dict[tuple, list[float]] = {}
     prior = [0.0, 0.0]
     for r in vectors(sample, vocab, ["toxic"]).groupBy("toxic", "terms", "counts").count().collect():  # the sample's bound
         own = examples.setdefault(tuple(zip(r["terms"], r["counts"])), [0.0, 0.0]) if r["terms"] else prior
         own[r["toxic"]] += r["count"] * weight[r["toxic"]]
-    index = Index(examples, idf, prior)
+    return vocab, Index(examples, idf, prior), every
+
+
+def score(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> DataFrame:
+    """doc_id, held_out, score, predicted, neighbours, nearest for every row of docs (doc_id, text)."""
+    _, index, every = fit(docs, labels, parts, hold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, tuple] = {}
+        scorer = Scorer(index)
         for batch in batches:
-            out = []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (tuple(t), tuple(c))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    s, rows, cos = index.score(np.array(t, int), np.array(c, int))
-                    memo[key] = (min(1.0, max(0.0, s)), len(rows), float(cos[0]) if len(cos) else 0.0)
-                out.append(memo[key])
-            cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "score", "neighbours", "nearest"])
-
-    found = all_vectors.mapInArrow(run, "doc_id long, score double, neighbours int, nearest double")
+            terms, counts = batch.column(1), batch.column(2)
+            offs = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(terms)))])
+            out = scorer.many(offs, np.asarray(terms.flatten()), np.asarray(counts.flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(_SCORED))], names=["doc_id", *(n for n, _ in _SCORED)])
+            trim()
+
+    found = every.mapInArrow(run, "doc_id long, score double, neighbours int, nearest double")
     return found.select("doc_id", held_out(parts, hold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours", "nearest")
+
+
+def annotate(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> DataFrame:
+    """All columns of docs and score, neighbours, nearest, predicted; texts are read once more, and no row moves."""
+    names = [n for n, _ in _SCORED]
+    rest = [c for c in docs.columns if c not in ("text", "predicted", *names)]
+    vocab, index, _ = fit(docs, labels, parts, hold)
+    rows = docs.select(*rest, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(index)
+        for batch in batches:
+            for part, texts in slices(batch):
+                out = scorer.many(*vocab.count(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(_SCORED))], names=[*rest, "text", *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    found = rows.mapInArrow(run, f"{kinds}, score double, neighbours int, nearest double")
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
