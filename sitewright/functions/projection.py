@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewright.functions.geometry import C, _c
 
@@ -89,7 +90,7 @@ def tm_inverse_array(east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, n
     return np.degrees(out_lat), np.degrees(out_lon)
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("lat", "lon")]))
 def tm_inverse(east: pd.Series, north: pd.Series) -> pd.DataFrame:
     lat, lon = tm_inverse_array(east.to_numpy(float), north.to_numpy(float))
     return pd.DataFrame({"lat": lat, "lon": lon})
@@ -132,7 +133,7 @@ class ShiftGrid:
 def grid_udf(shifts: ShiftGrid):  # noqa: ANN201
     """Column function (lat, lon) -> struct<e, n> through a datum's shift grid; null where it does not reach."""
 
-    @F.pandas_udf("e double, n double")
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("e", "n")]))
     def project(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
         e, n = shifts.to_grid(lat.to_numpy(float), lon.to_numpy(float))
         return pd.DataFrame({"e": e, "n": n})

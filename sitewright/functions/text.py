@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewright.functions.geometry import C, _c
 
@@ -30,7 +31,7 @@ def slug_ascii(value: C, longest: int = 40) -> Column:
 LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_ascii(value: pd.Series) -> pd.Series:
     """Letters without their marks; what has no ASCII form goes."""
     table = str.maketrans(LETTERS)

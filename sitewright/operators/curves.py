@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
 from sitewright.operators.dedup import distinct_edges, distinct_rings
-from sitewright.operators.spatial import components, cut
+from sitewright.operators.spatial import components
+from sitewright.session import cut
 
 #: A curve's vertices nearer to the line than this are dropped, in metres.
 COLLINEAR = 0.05

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
-from sitewright.operators.spatial import cut
+from sitewright.session import cut
 
 
 def latest(parts: DataFrame, key: Sequence[str], version: str, order: Sequence[str]) -> DataFrame:

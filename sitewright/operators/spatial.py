@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
+from sitewright.session import cut
 
 #: Boxes over this many cells are joined by blocks of the other side instead, see ``points_in_rings``.
 OVERFLOW_CELLS = 10_000
@@ -85,30 +86,20 @@ def containers(subjects: DataFrame, others: DataFrame, size: float = 50.0) -> Da
 def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(id, component): smallest node that pairs reach, by passing the least label and jumping along it.
 
-    Each round halves the distance to the smallest node and is checkpointed, so
-    lineage stays short and a lost executor costs one round.
+    Each round is written down, so lineage stays short and a lost executor costs
+    one round; labels travel twice as far with every one.
     """
     edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id")
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    now = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"), F.lit(True).alias("moved"))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("next"))
-        jump = new.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = cut(new.join(jump, "next").select("id", "label", F.col("far").alias("next")))
-        if new.where("label <> next").limit(1).count() == 0:
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", F.col("next").alias("label"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names, or in a temporary one on a single machine."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sitewright-"))
-    return df.checkpoint()
+        now = cut(now, "labels")
+        if not now.where("moved").limit(1).count():
+            return now.select("id", F.col("label").alias("component"))
+        near = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        new = now.select("id", "label").join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("next"))
+        jump = now.select(F.col("id").alias("next"), F.col("label").alias("far"))
+        now = new.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
 
 
 def greedy_matches(scored: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -37,3 +38,40 @@ def ship(spark: SparkSession) -> None:
         stage = Path(folder) / "stage"
         shutil.copytree(root, stage / root.name, ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", stage))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where the session names none (tests on one machine) a temporary folder
+    is made and set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="sitewright-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return the written table.
+
+    Later stages read files that any executor reaches, so a lost executor costs
+    the tasks it was running and nothing that came before the cut. The table has
+    the sizes of its files; a checkpointed plan would carry on the estimates of
+    its joins, which grow without end in loops.
+    """
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_cuts(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this application."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
