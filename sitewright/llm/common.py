@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.session import ship
-
+from sitewright import session
+from sitewright.session import delete_cuts, ship
 
 #: Rows to an Arrow batch; texts are long, and a worker holds a batch or two at once.
 BATCH_ROWS = "2000"
@@ -29,34 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sitewright-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
-
-
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table.
-
-    Later stages read files that any executor reaches, so a lost executor costs
-    the tasks it was running and nothing that came before the cut.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the folder that all executors share, and return the written table."""
+    small_batches(df.sparkSession)
+    return session.cut(df, name)
 
 
 _KEPT: list[DataFrame] = []
@@ -79,6 +52,4 @@ def release(spark: SparkSession) -> None:
     """Delete every table that ``cut`` wrote in this application, and drop what ``keep`` holds."""
     while _KEPT:
         _KEPT.pop().unpersist()
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_cuts(spark)

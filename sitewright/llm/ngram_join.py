@@ -38,7 +38,7 @@ from sitewright.llm.components import components
 from sitewright.llm.textkernel import Words, mix, slices
 
 #: Shingles to a bin of the count in step 2, as expected.
-BIN_ROWS = 500_000
+BIN_ROWS = 2_000_000
 TILE_ROWS = 2_000
 BITS = 4_096
 FANOUT = 8
