@@ -35,7 +35,7 @@ TERMS = 3_000
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.3
-_PREFIXES = (4, 5, 6, 8)
+_PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
 def _terms(texts: list[bytes | None]) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
@@ -119,9 +119,9 @@ def vectors(docs: DataFrame, vocab: Vocabulary, keep: list[str]) -> DataFrame:
 class Index:
     """Block-max inverted index of distinct unit vectors with the votes of each class."""
 
-    def __init__(self, examples: dict[tuple, list[float]], idf: np.ndarray, prior: list[float]):
-        """examples: ((term, count), ...) to the weight of class 0 and 1; prior: those of examples without a term."""
-        self.idf = idf
+    def __init__(self, examples: dict[tuple, list[float]], idf: np.ndarray, prior: list[float], one: tuple[float, float] = (1.0, 1.0)):
+        """examples: ((term, count), ...) to the weight of class 0 and 1; prior: those of examples without a term; one: the weight of one example."""
+        self.idf, self.one = idf, one
         rows = sorted(examples)
         self.votes = np.array([examples[r] for r in rows], float).reshape(-1, 2)
         self.blocks = -(-len(rows) // BLOCK)
@@ -146,6 +146,33 @@ class Index:
         self.block_of, self.most = block[starts], np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.block_at = np.searchsorted(term[starts], np.arange(len(idf) + 1))
 
+        self.slope, self.shift = 1.0, 0.0
+        self._calibrate(rows)
+
+    def _calibrate(self, rows: list[tuple]) -> None:
+        """Fit a logistic curve to what each example would score if it were not in the index itself."""
+        logits, label, weight = [], [], []
+        for i, r in enumerate(rows):
+            terms, counts = np.array([t for t, _ in r]), np.array([n for _, n in r])
+            for y in (0, 1):
+                if own := self.one[y] if self.votes[i, y] > 0 else 0.0:
+                    had, self.votes[i, y] = self.votes[i, y], max(0.0, self.votes[i, y] - own)
+                    s = min(1 - 1e-6, max(1e-6, self._share(*self.nearest(terms, counts))))
+                    self.votes[i, y] = had
+                    logits.append(np.log(s / (1 - s)))
+                    label.append(y)
+                    weight.append(had)
+        if len(set(label)) < 2:
+            return
+        x = np.column_stack([logits, np.ones(len(logits))])
+        y, w, fit = np.array(label, float), np.array(weight) / np.mean(weight), np.array([1.0, 0.0])
+        for _ in range(30):  # Newton steps, held near the identity where examples are few
+            p = 1 / (1 + np.exp(-x @ fit))
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (w * (p - y)) + (fit - [1.0, 0.0]))
+            fit = fit - np.clip(step, -1, 1)
+        if 0.2 < fit[0] < 20:
+            self.slope, self.shift = float(fit[0]), float(fit[1])
+
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum())
@@ -184,8 +211,12 @@ class Index:
         rows, cos = self.nearest(terms, counts)
         if not len(rows):
             return self.base, rows, cos
+        s = min(1 - 1e-6, max(1e-6, self._share(rows, cos)))
+        return float(1 / (1 + np.exp(-(self.slope * np.log(s / (1 - s)) + self.shift)))), rows, cos
+
+    def _share(self, rows: np.ndarray, cos: np.ndarray) -> float:
         votes = self.votes[rows] * (np.minimum(cos, 1.0) ** 8)[:, None]
-        return float((votes[:, 1].sum() + self.base * 0.3) / (votes.sum() + 0.3)), rows, cos
+        return float((votes[:, 1].sum() + self.base * 0.3) / (votes.sum() + 0.3))
 
 
 class Scorer:
@@ -240,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> tu
     for r in vectors(sample, vocab, ["toxic"]).groupBy("toxic", "terms", "counts").count().collect():  # the sample's bound
         own = examples.setdefault(tuple(zip(r["terms"], r["counts"])), [0.0, 0.0]) if r["terms"] else prior
         own[r["toxic"]] += r["count"] * weight[r["toxic"]]
-    return vocab, Index(examples, idf, prior), every
+    return vocab, Index(examples, idf, prior, (weight.get(0, 1.0), weight.get(1, 1.0))), every
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 4, hold: int = 2) -> DataFrame:
