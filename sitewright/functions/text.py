@@ -102,7 +102,8 @@ def status_kind(status: C) -> Column:
 
 def retry_seconds(header: C) -> Column:
     """Seconds of a Retry-After header, at least 0; null where it is no number."""
-    return F.greatest(F.lit(0.0), _c(header).try_cast("double"))
+    seconds = _c(header).try_cast("double")
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
 def place_names(address: C) -> Column:

@@ -15,6 +15,8 @@ from sitewright.session import cut
 
 #: A curve's vertices nearer to the line than this are dropped, in metres.
 COLLINEAR = 0.05
+#: Edges of chains that share a bin.
+CHAIN_ROWS = 50_000
 
 
 def two_core(edges: DataFrame) -> DataFrame:
@@ -125,8 +127,11 @@ def chain_groups(segments: DataFrame, by: list[str], order: list[str], decimals:
 def boundaries(parcels: DataFrame) -> DataFrame:
     """Curves of parcels (ord, ring): rounded, equal rings and edges once, spikes pruned, cut at junctions of three edges.
 
-    Components are chained on their own. Within one, edges come in the order in
-    which they were first seen, which fixes where a chain starts.
+    A chain ends at a junction, so edges are connected through points of two edges
+    alone: each such component is one chain, however large the parcels' whole
+    network is. Within one, edges come in the order in which they were first
+    seen, which fixes where the chain starts. Chains share bins of about
+    CHAIN_ROWS edges, as a group of its own for each would cost more than it.
     """
     rounded = parcels.select("ord", F.transform(G.open_ring("ring"), lambda p: G.point(F.bround(p["x"], 2), F.bround(p["y"], 2))).alias("ring"))
     rounded = rounded.select("ord", G.valid_ring("ring").alias("ring")).where("ring IS NOT NULL")
@@ -135,8 +140,13 @@ def boundaries(parcels: DataFrame) -> DataFrame:
     edges = two_core(distinct_edges(every, ["ord", "pos"]))
     ends = edges.select(F.col("a").alias("p")).unionByName(edges.select(F.col("b").alias("p")))
     degree = ends.groupBy("p").count()
-    comp = components(edges, "a", "b")
-    full = edges.join(comp.withColumnRenamed("id", "a"), "a").join(degree.select(F.col("p").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("p").alias("b"), F.col("count").alias("db")), "b")
+    full = edges.join(degree.select(F.col("p").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("p").alias("b"), F.col("count").alias("db")), "b")
+    # a junction is a point of its own for each edge that meets there
+    own = lambda p, d: F.struct(F.col(p).alias("p"), F.when(F.col(d) >= 3, F.struct("a", "b")).alias("edge"))
+    full = cut(full.withColumns({"na": own("a", "da"), "nb": own("b", "db")}), "edges")
+    bins = max(1, full.count() // CHAIN_ROWS)
+    comp = components(full, "na", "nb").withColumnRenamed("id", "na")
+    dealt = full.join(comp, "na").withColumn("bin", F.pmod(F.xxhash64("component.p.x", "component.p.y", "component.edge.a.x", "component.edge.b.y"), F.lit(bins))).drop("na", "nb", "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=[(f["ord"], f["pos"]) for f in pdf["first"]]).sort_values("o")
@@ -145,4 +155,4 @@ def boundaries(parcels: DataFrame) -> DataFrame:
         lines = [directed(straighten(line, seam=True)) for line in chain(pairs, stops)]
         return pd.DataFrame({"curve": [[{"x": x, "y": y} for x, y in line] for line in lines]})
 
-    return full.groupBy("component").applyInPandas(run, _CURVE)
+    return dealt.groupBy("bin").applyInPandas(run, _CURVE)

@@ -166,3 +166,28 @@ def elevation_grid(width: Column, height: Column) -> Column:
         return F.struct((xs["n"] + 1).alias("nx"), (ny + 1).alias("ny"), xs["size"].alias("dx"), dy.alias("dy"))
 
     return G.let(grid_tier(F.greatest(width, height)), of)
+
+
+def mosaic(members: DataFrame, size: float, window: tuple[float, float, float, float]) -> DataFrame:
+    """(col, row, z) of a window from members' pixels (ord, e, n, z) at their centres; the last member wins a pixel.
+
+    Members share one lattice, so centres name pixels and nothing is resampled.
+    """
+    e0, n0, e1, n1 = window
+    inside = members.where((F.col("e") > e0) & (F.col("e") < e1) & (F.col("n") > n0) & (F.col("n") < n1))
+    px = inside.withColumns({"col": F.floor((F.col("e") - e0) / size), "row": F.floor((F.lit(n1) - F.col("n")) / size)})
+    return px.groupBy("col", "row").agg(F.max_by("z", "ord").alias("z"))
+
+
+def grid_nodes(nx: int, ny: int, x0: float, y0: float, dx: float, dy: float) -> Column:
+    """array<struct<ix, iy, x, y>> of an elevation grid's nodes, by rows from the south."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda i: F.struct(i.alias("ix"), j.alias("iy"), (x0 + i * dx).alias("x"), (y0 + j * dy).alias("y")))))
+
+
+def cover(box: tuple[float, float, float, float], tiles: DataFrame, size: float = 500.0) -> DataFrame:
+    """One row: full, partial or none, as tiles (cx, cy) hold the lattice cells that a rectangle touches."""
+    rect = F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1"))])
+    touched = tiles.sparkSession.range(1).select(F.explode(G.cells(rect, size)).alias("c")).select("c.cx", "c.cy")
+    held = touched.join(tiles.select("cx", "cy", F.lit(True).alias("held")), ["cx", "cy"], "left")
+    share = F.count("held") / F.count("*")
+    return held.agg(F.when(share == 1, "full").when(share > 0, "partial").otherwise("none").alias("cover"))

@@ -159,8 +159,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def sampled_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours, theirs = _pairs(spark, sf_dir)
     a, b = ours.select("i", F.col("ring").alias("ra"), G.bbox("ring").alias("ba")), theirs.select("j", F.col("ring").alias("rb"), G.bbox("ring").alias("bb"))
-    scored = spatial.overlapping_boxes(a, b, "ba", "bb", CELL).select("i", "j", spatial.sampled_iou("ra", "rb").alias("iou"))
-    return scored.where("iou >= 0.1").select("i", "j", F.round("iou", 6).alias("iou"))
+    pairs = spatial.overlapping_boxes(a, b, "ba", "bb", CELL).select("i", "j", "ra", "rb")
+    return spatial.scored(pairs, "ra", "rb").where("iou >= 0.1").select("i", "j", F.round("iou", 6).alias("iou"))
 
 
 @query()

@@ -43,9 +43,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.join(high, ["fid", "px", "py"])
 
 
-@query(with_views(_SAMPLES + "SELECT fid, count(*) AS samples, round(avg(dtm), 5) AS mean_dtm, round(avg(dsm), 5) AS mean_dsm FROM s GROUP BY fid"))
+@query(with_views(_SAMPLES + "SELECT fid, count(*) AS samples, round(avg(dtm), 6) AS mean_dtm, round(avg(dsm), 6) AS mean_dsm FROM s GROUP BY fid"))
 def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("fid").agg(F.count("*").alias("samples"), F.round(F.avg("dtm"), 5).alias("mean_dtm"), F.round(F.avg("dsm"), 5).alias("mean_dsm"))
+    return samples(spark, sf_dir).groupBy("fid").agg(F.count("*").alias("samples"), F.round(F.avg("dtm"), 6).alias("mean_dtm"), F.round(F.avg("dsm"), 6).alias("mean_dsm"))
 
 
 @query(with_views(_SAMPLES + """
@@ -152,7 +152,7 @@ def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def roof_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roof forms of buildings whose surfaces are made from their keys."""
-    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fid"), (F.col("o_orderkey") % 4).cast("int").alias("kind"), (8 + F.col("o_custkey") % 5).cast("int").alias("w"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), (F.col("c_custkey") % 4).cast("int").alias("kind"), (8 + F.col("c_nationkey") % 5).cast("int").alias("w"))
     cells = s.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("w")))).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(7))))
     middle = F.col("w") / 2
     z = F.when(F.col("kind") == 0, F.lit(4.0)).when(F.col("kind") == 1, 3 + 0.5 * F.col("e")).when(F.col("kind") == 2, 6 - 0.7 * F.abs(F.col("e") - middle)).otherwise(4 + F.sin(F.col("e") * F.col("n")) * 2)

@@ -201,3 +201,58 @@ def shards(spark: SparkSession, path: str, box: tuple[float, float, float, float
     found = spark.read.parquet(path).where(F.col("cell").isin(names)).where(G.overlap_closed(F.col("box"), rect))
     named = found.where("coalesce(id, '') <> ''").dropDuplicates(["id"])
     return named.unionByName(found.where("coalesce(id, '') = ''"))
+
+
+def themed(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """GeoParquet with a ``bbox`` struct: rows whose box meets a rectangle; row groups away from it are skipped by their statistics."""
+    west, south, east, north = box
+    df = spark.read.parquet(path)
+    return df.where((F.col("bbox.xmin") <= east) & (F.col("bbox.xmax") >= west) & (F.col("bbox.ymin") <= north) & (F.col("bbox.ymax") >= south))
+
+
+def authorities_for(index: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Names of the areas whose box meets a rectangle, sorted."""
+    west, south, east, north = box
+    return index.where((F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south)).select("name").orderBy("name")
+
+
+def newest(spark: SparkSession, path: str, by: str = "month") -> DataFrame:
+    """The newest partition of a landing zone; only its files are listed into the scan."""
+    df = spark.read.parquet(path)
+    last = df.select(F.max(by)).first()[0]  # a partition column: answered from the folders' names
+    return df.where(F.col(by) == F.lit(last))
+
+
+def newest_complete(files_of: DataFrame, wanted: Sequence[str]) -> str | None:
+    """The last version, as text, of which every wanted part is there: rows (version, part)."""
+    want = sorted(set(wanted))
+    full = files_of.where(F.col("part").isin(want)).groupBy("version").agg(F.countDistinct("part").alias("n")).where(F.col("n") == len(want))
+    return full.select(F.max("version")).first()[0]
+
+
+def shift_grid(spark: SparkSession, path: str, columns: int = 701, rows: int = 1251):  # noqa: ANN201
+    """A datum's shift grid from its CSV (point, e, n, de, dn, height shift, datum); nodes of datum 16 lie outside.
+
+    The grid's size is fixed by the format, so it fits the driver; executors get it inside the projecting function.
+    """
+    import numpy as np
+
+    from sitewright.functions.projection import ShiftGrid
+
+    df = spark.read.option("header", True).schema("point LONG, e DOUBLE, n DOUBLE, de DOUBLE, dn DOUBLE, dz DOUBLE, datum INT").csv(path)
+    de, dn = np.full((rows, columns), np.nan), np.full((rows, columns), np.nan)
+    for r in df.where("datum <> 16").select((F.col("e") / 1000).cast("int").alias("c"), (F.col("n") / 1000).cast("int").alias("r"), "de", "dn").collect():
+        de[r["r"], r["c"]], dn[r["r"], r["c"]] = r["de"], r["dn"]
+    return ShiftGrid(de, dn)
+
+
+def missing_inputs(spark: SparkSession, expected: Sequence[str]) -> list[str]:
+    """Expected files that are absent or empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in expected:
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p) or fs.getFileStatus(p).getLen() == 0:
+            out.append(name)
+    return out
