@@ -51,7 +51,8 @@ def footprint_points(footprints: DataFrame, step: float = 1.0) -> DataFrame:
 
 def heights(samples: DataFrame, key: str = "fid") -> DataFrame:
     """(key, height) from samples (key, dtm, dsm): the surface's 90th percentile over the ground's median, to a decimetre."""
-    h = F.bround(F.percentile("dsm", F.lit(0.9)) - F.percentile("dtm", F.lit(0.5)), 1)
+    rise = F.percentile("dsm", F.lit(0.9)) - F.percentile("dtm", F.lit(0.5))
+    h = F.bround(F.round(rise, 6), 1)  # sums of samples come in any order; micrometres decide no tie
     return samples.groupBy(key).agg(F.count("*").alias("n"), h.alias("height")).where((F.col("n") >= MIN_SAMPLES) & (F.col("height") >= MIN_HEIGHT)).select(key, "height")
 
 

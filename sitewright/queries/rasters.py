@@ -43,13 +43,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.join(high, ["fid", "px", "py"])
 
 
-@query(with_views(_SAMPLES + "SELECT fid, count(*) AS samples, round(avg(dtm), 6) AS mean_dtm, round(avg(dsm), 6) AS mean_dsm FROM s GROUP BY fid"))
+@query(with_views(_SAMPLES + "SELECT fid, count(*) AS samples, round(sum(dtm), 3) AS sum_dtm, round(sum(dsm), 3) AS sum_dsm FROM s GROUP BY fid"))
 def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("fid").agg(F.count("*").alias("samples"), F.round(F.avg("dtm"), 6).alias("mean_dtm"), F.round(F.avg("dsm"), 6).alias("mean_dsm"))
+    return samples(spark, sf_dir).groupBy("fid").agg(F.count("*").alias("samples"), F.round(F.sum("dtm"), 3).alias("sum_dtm"), F.round(F.sum("dsm"), 3).alias("sum_dsm"))
 
 
 @query(with_views(_SAMPLES + """
-SELECT fid, round_even(quantile_cont(dsm, 0.9) - quantile_cont(dtm, 0.5), 1) AS height FROM s GROUP BY fid HAVING count(*) >= 3 AND round_even(quantile_cont(dsm, 0.9) - quantile_cont(dtm, 0.5), 1) >= 2
+SELECT fid, round_even(round(quantile_cont(dsm, 0.9) - quantile_cont(dtm, 0.5), 6), 1) AS height FROM s GROUP BY fid HAVING count(*) >= 3 AND round_even(round(quantile_cont(dsm, 0.9) - quantile_cont(dtm, 0.5), 6), 1) >= 2
 """))
 def building_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.heights(samples(spark, sf_dir)).select("fid", "height")
