@@ -117,6 +117,14 @@ class ShiftGrid:
         de, dn = self.at(e, n)
         return e + de, n + dn
 
+    def extent(self, west: float, south: float, east: float, north: float, pad: float) -> tuple[float, float, float, float]:
+        """A box in degrees as a padded rectangle in metres; where the shifts do not reach a corner, without them."""
+        lat, lon = np.array([south, south, north, north]), np.array([west, east, west, east])
+        e, n = self.to_grid(lat, lon)
+        if np.isnan(e).any():
+            e, n = tm_forward_array(lat, lon)
+        return float(e.min() - pad), float(n.min() - pad), float(e.max() + pad), float(n.max() + pad)
+
     def from_grid(self, east: np.ndarray, north: np.ndarray, tolerance: float = 1e-4, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
         """Degrees of grid metres: the shift is looked up again where it led until it stays."""
         e, n = east, north

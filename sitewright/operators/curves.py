@@ -55,6 +55,18 @@ def straighten(line: list[tuple], seam: bool = False) -> list[tuple]:
     return out
 
 
+def simplify(line: list[tuple], tolerance: float) -> list[tuple]:
+    """Keep both ends and, between any two kept vertices, the farthest one from their line while it is beyond ``tolerance``."""
+    keep, spans = {0, len(line) - 1}, [(0, len(line) - 1)]
+    while spans:
+        low, high = spans.pop()
+        far = max(range(low + 1, high), key=lambda i: _off_line(line[i], line[low], line[high]), default=None)
+        if far is not None and _off_line(line[far], line[low], line[high]) > tolerance:
+            keep.add(far)
+            spans += [(low, far), (far, high)]
+    return [line[i] for i in sorted(keep)]
+
+
 def directed(line: list[tuple]) -> list[tuple]:
     """The least of a line and its reverse; for rings of all starts too, closed again."""
     if len(line) > 2 and line[0] == line[-1]:

@@ -167,3 +167,13 @@ def test_roof_forms():
     assert roofs.form(flat[:10]) is None
     a, b = roofs.ridge_segment(np.array([0.7, 0, 0]), np.array([-0.7, 0, 7.0]), [(0, 0), (10, 0), (10, 8), (0, 8)])
     assert {a[1], b[1]} == {0, 8} and abs(a[0] - 5) < 1e-9 and abs(a[2] - 3.5) < 1e-9
+
+
+def test_simplify_and_padded_extent():
+    line = [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)]
+    assert curves.simplify(line, 1.0) == [(0.0, 0.0), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)]
+    assert curves.simplify(line[:1], 1.0) == line[:1]
+    grid = P.ShiftGrid(np.full((1251, 701), 90.0), np.full((1251, 701), -50.0))
+    far = P.ShiftGrid(np.full((2, 2), 90.0), np.full((2, 2), -50.0))
+    a, b = grid.extent(-3.2, 51.4, -3.1, 51.5, 200.0), far.extent(-3.2, 51.4, -3.1, 51.5, 200.0)
+    assert a[0] < a[2] and abs(a[0] - b[0] - 90) < 1e-6 and abs(a[1] - b[1] + 50) < 1e-6
