@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sitewright.llm.common import cut, keep
 from sitewright.llm.components import components
-from sitewright.llm.textkernel import Words, mix, slices
+from sitewright.llm.textkernel import Words, mix, slices, trim
 
 #: Shingles to a bin of the count in step 2, as expected.
 BIN_ROWS = 2_000_000
@@ -125,6 +125,18 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
         h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
         witness = np.frombuffer(b"".join(table.column("witness").to_pylist()), bool)
         name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64)
+        found = []
+        for k in range(16):  # a part of the bin's hashes at a time, to sort little at once
+            own = np.flatnonzero(h >> np.uint32(28) == k)
+            if len(own):
+                found.append(shared_names(h[own], witness[own], name[own]))
+        names, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(names))
+        del h, witness, name
+        trim()
+        return pa.table({"name": names, "shared": times.astype(np.int64)})
+
+    def shared_names(h: np.ndarray, witness: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((name, h))
         h, witness, name = h[order], witness[order], name[order]
         head = np.ones(len(h), bool)
@@ -134,8 +146,7 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
         fresh[1:] = head[1:] | (name[1:] != name[:-1]) | witness[:-1]
         fresh &= ~witness
         n = np.bincount(group, fresh) + 2 * (np.bincount(group, witness) > 0)
-        got, times = np.unique(name[fresh & (n[group] > 1)], return_counts=True)
-        return pa.table({"name": got, "shared": times.astype(np.int64)})
+        return np.unique(name[fresh & (n[group] > 1)], return_counts=True)
 
     dealt = sketch.select("h1", "low").mapInArrow(deal, "bin long, hashes binary, witness binary, names binary")
     return dealt.groupBy("bin").applyInArrow(count, "name long, shared long").groupBy("name").agg(F.sum("shared").alias("shared"))
