@@ -62,4 +62,46 @@ def op9_vec_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_ann, op4_chat, op5_sharding, op6_packing, op7_langid, op8_ngram_join, op9_vec_dedup, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the operators that SQL can express; the tests hold the others against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring": r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n FROM t),
+i AS (SELECT doc_id, unnest(range(1, n - 18)) AS s, w FROM p WHERE n >= 20),
+g AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM i),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM g),
+c AS (SELECT DISTINCT doc_id, s + o AS pos FROM f, range(0, 20) r(o) WHERE nth > 1),
+l AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT p.doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
+FROM p LEFT JOIN l USING (doc_id)
+""",
+    "op8_ngram_join": r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+""",
+    "op9_vec_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT a AS id, a AS reach FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT id, min(reach) AS component FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+""",
+    "op4_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(0, 2) r(t)),
+x AS (SELECT *, contains(text, '###') OR contains(text, '</turn>') OR regexp_matches(text, '#\\+#') OR regexp_matches(text, '<\\+/turn>') AS hard FROM t),
+b AS (SELECT *, length(text) + CASE WHEN hard THEN list_sum(list_transform(regexp_extract_all(text, '#(?:\\*#)+'), lambda y: length(replace(y, '\', '')) - 1)) ELSE 0 END AS half FROM x),
+c AS (SELECT *, coalesce(half, length(text)) + CASE WHEN hard THEN len(regexp_extract_all(text, '<\\*/turn>')) ELSE 0 END
+  + length(replace(replace(replace(replace(replace(role, '\', '\s'), ':', '\c'), chr(10), '\n'), '#', '\h'), '<', '\l')) + length('### ') + 2 + 8 AS size FROM b)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""",
+}
