@@ -41,7 +41,9 @@ def points_in_rings(points: DataFrame, rings: DataFrame, x: str, y: str, ring: s
     boxed = rings.withColumn("__box", G.bbox(ring)).withColumn("__level", level)
     wide = F.get(F.array(*[F.lit(float(s)) for s in sizes]), F.col("__level"))
     boxed = boxed.withColumn("__cell", F.explode(G.cells(F.col("__box"), wide))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
-    celled = points.withColumn("__p", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(x) / s).alias("cx"), F.floor(F.col(y) / s).alias("cy")) for k, s in enumerate(sizes)])))
+    used = sorted(r["__level"] for r in boxed.select("__level").distinct().collect())  # four rows at most; mostly one
+    deal = lambda k: F.struct(F.lit(k).alias("k"), F.floor(F.col(x) / sizes[k]).alias("cx"), F.floor(F.col(y) / sizes[k]).alias("cy"))
+    celled = points.withColumn("__p", deal(used[0]) if len(used) == 1 else F.explode(F.array(*[deal(k) for k in used or [0]])))
     celled = celled.withColumns({"__level": F.col("__p.k"), "cx": F.col("__p.cx"), "cy": F.col("__p.cy")}).drop("__p")
     met = celled.join(boxed, ["__level", "cx", "cy"])
     return met.where(G.in_rect(x, y, F.col("__box")) & G.in_ring(x, y, ring)).drop("__level", "cx", "cy", "__box")

@@ -177,3 +177,13 @@ def test_simplify_and_padded_extent():
     far = P.ShiftGrid(np.full((2, 2), 90.0), np.full((2, 2), -50.0))
     a, b = grid.extent(-3.2, 51.4, -3.1, 51.5, 200.0), far.extent(-3.2, 51.4, -3.1, 51.5, 200.0)
     assert a[0] < a[2] and abs(a[0] - b[0] - 90) < 1e-6 and abs(a[1] - b[1] + 50) < 1e-6
+
+
+def test_points_in_rings_of_all_sizes(spark):
+    boxes = [(0, 0, 4, 4), (-500, -500, 500, 500), (1e5, 1e5, 1e5 + 3, 1e5 + 3), (-1e6, -1e6, 1e6, 1e6)]
+    rings = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in [(a, b), (c, b), (c, d), (a, d)]]) for k, (a, b, c, d) in enumerate(boxes)], "k int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(1, 1), (400, -400), (100001, 100001), (2e6, 0)])], "i int, x double, y double")
+    want = {(i, k) for i, (x, y) in enumerate([(1, 1), (400, -400), (100001, 100001), (2e6, 0)]) for k, (a, b, c, d) in enumerate(boxes) if a <= x < c and b <= y < d}
+    for overflow in (4, 10_000):
+        assert {(r["i"], r["k"]) for r in spatial.points_in_rings(points, rings, "x", "y", "ring", 2.0, overflow).collect()} == want
+    assert spatial.points_in_rings(points, rings.limit(0), "x", "y", "ring", 2.0).count() == 0
