@@ -231,10 +231,15 @@ def nearest_segments(samples: DataFrame, segs: DataFrame, radius: float = 15.0,
     box = F.struct(*[f(F.col(a), F.col(b)).alias(k) for k, f, a, b in (("x0", F.least, "x0", "x1"), ("y0", F.least, "y0", "y1"), ("x1", F.greatest, "x0", "x1"), ("y1", F.greatest, "y0", "y1"))])
     wide = F.struct((box["x0"] - radius).alias("x0"), (box["y0"] - radius).alias("y0"), (box["x1"] + radius).alias("x1"), (box["y1"] + radius).alias("y1"))
     near = _celled_points(samples, "x", "y", size).join(_celled_boxes(segs, wide, size), ["__cx", "__cy"])
-    q = G.nearest_on_segment("x", "y", "x0", "y0", "x1", "y1")
-    near = near.withColumn("q", q).where(F.col("q.distance") <= radius)
-    best = near.groupBy("sample_id").agg(F.min_by(F.struct("seg_id", "q", (F.col("x1") - F.col("x0")).alias("tx"), (F.col("y1") - F.col("y0")).alias("ty")), F.struct("q.distance", "seg_id")).alias("best"))
-    return samples.join(best, "sample_id", "left").select(*samples.columns, "best.seg_id", "best.q.t", (F.col("best.q.x") - F.col("x")).alias("de"), (F.col("best.q.y") - F.col("y")).alias("dn"), "best.tx", "best.ty")
+    # plain columns, which generated code evaluates; the nested form of geometry.nearest_on_segment would be interpreted
+    near = near.withColumns({"tx": F.col("x1") - F.col("x0"), "ty": F.col("y1") - F.col("y0")})
+    length2 = F.nullif(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"), F.lit(0.0))
+    share = ((F.col("x") - F.col("x0")) * F.col("tx") + (F.col("y") - F.col("y0")) * F.col("ty")) / length2
+    near = near.withColumn("t", F.when(length2.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))))
+    near = near.withColumns({"de": F.col("x0") + F.col("t") * F.col("tx") - F.col("x"), "dn": F.col("y0") + F.col("t") * F.col("ty") - F.col("y")})
+    near = near.withColumn("distance", F.hypot("de", "dn")).where(F.col("distance") <= radius)
+    best = near.groupBy("sample_id").agg(F.min_by(F.struct("seg_id", "t", "de", "dn", "tx", "ty"), F.struct("distance", "seg_id")).alias("best"))
+    return samples.join(best, "sample_id", "left").select(*samples.columns, "best.*")
 
 
 def offset_statistics(offsets: DataFrame, by: list[str]) -> DataFrame:
