@@ -3,7 +3,8 @@
 1. Every document becomes its set of hashed word shingles; equal sets fold into
    their smallest document at once.
 2. A set that links with another one lacks at most ``m`` of its shingles there.
-   So of its 2m+1 smallest hashes at least m+1 are shared; sets with fewer
+   So of its 2m+1 smallest hashes at least m+1 are shared, and each set sends
+   so many that those of every possible partner are among them; sets with fewer
    shared ones (counted in bins of the hash range, with a pre-aggregation in
    every slice) are out.
 3. The remaining sets meet in blocks by their m+1 smallest hashes, of which two
@@ -27,6 +28,7 @@ class's name; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +70,23 @@ def _missing(n: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * n // 100
 
 
+@lru_cache(100_000)
+def _sent(n: int, percent: int) -> int:
+    """How many of its smallest hashes a set of n shingles sends.
+
+    A linked set of k shingles needs m(k)+1 shared hashes. The first m(k)+1 of
+    them have at most n - c others of this set before them, where c is the
+    least overlap of linked sets of these sizes.
+    """
+    m = int(_missing(np.int64(n), percent))
+    k = np.arange(-(-percent * n // 100), 100 * n // percent + 1)  # sizes of linked sets
+    c = -(-percent * (n + k) // (100 + percent))
+    reach = int((_missing(k, percent) + 1 + n - c).max(initial=0))
+    return min(n, max(2 * m + 1, reach))
+
+
 def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, h1, h2 (the set's name) and its 2m+1 smallest hashes."""
+    """doc_id, n, h1, h2 (the set's name) and its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +95,7 @@ def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n = np.array([len(s) for s in sets])
                 h1 = np.array([np.add.reduce(mix(s)) for s in sets], np.uint64) ^ n.astype(np.uint64)
                 h2 = np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5))) for s in sets], np.uint64)
-                low = [s[: 2 * m + 1].tobytes() for s, m in zip(sets, _missing(n, percent))]
+                low = [s[: _sent(len(s), percent)].tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(low, pa.binary())], names=["doc_id", "n", "h1", "h2", "low"]
                 )

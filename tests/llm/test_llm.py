@@ -325,6 +325,29 @@ def test_ngram_join_equals_brute_force(docs, none, monkeypatch, words, percent,
     assert ngram_join.join(none, words, percent).count() == 0
 
 
+@pytest.mark.parametrize(("words", "percent", "long", "short"), [(4, 85, 10, 9), (5, 80, 9, 8)])
+def test_ngram_join_links_short_texts_of_unequal_length(spark, words, percent, long, short):
+    rows = [(2 * n + k, " ".join(f"w{n}x{i}" for i in range(n - k))) for n in range(2, 60) for k in (0, 1)]
+    rows += [(1000, " ".join(f"v{i}" for i in range(long))), (1001, " ".join(f"v{i}" for i in range(short)))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+    assert got[1001] == (short - words + 1, 1000)
+    assert got == brute_join(rows, words, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 97])
+def test_sent_hashes_hold_what_every_partner_needs(percent):
+    for n in range(1, 150):
+        for k in range(n, 150):
+            for common in range(1, n + 1):
+                if 100 * common >= percent * (n + k - common):
+                    # the worst order: this set's own hashes come first
+                    for a, b in ((n, k), (k, n)):
+                        need = min(a, 2 * int(ngram_join._missing(a, percent)) + 1) - int(ngram_join._missing(a, percent))
+                        assert min(common, ngram_join._sent(b, percent) - (b - common)) >= need
+                        assert min(common, ngram_join._sent(a, percent) - (a - common)) >= need
+                    break
+
+
 def test_signature_tree_keeps_every_similar_pair():
     dice = np.random.default_rng(4)
     base = [set(dice.integers(0, 5000, 200).tolist()) for _ in range(12)]
