@@ -110,7 +110,7 @@ def _deal(doc: np.ndarray, texts: list[bytes | None], width: np.uint64) -> Itera
     order = np.argsort(to, kind="stable")
     e, many, prefix, to, entry = e[order], many[order], prefix[order], to[order], entry[order]
     ends = np.cumsum(many)
-    suffix = full[send].astype(np.uint32)[np.repeat(entry - (ends - many), many) + np.arange(ends[-1])] if len(e) else np.zeros(0, np.uint32)
+    suffix = full[send][np.repeat(entry - (ends - many), many) + np.arange(ends[-1])] if len(e) else np.zeros(0, np.uint64)
     whose, begin = doc[of[e]].view(np.uint64), start[e].astype(np.uint32)
     cols = (
         prefix.astype(np.uint32), whose.astype(np.uint32), (whose >> np.uint64(32)).astype(np.uint32),
@@ -126,7 +126,7 @@ def _subtrees(table: pa.Table) -> pa.Table:
     """Marks of all but the first leaf of the nodes at full depth in a bin."""
     if table.column("bin")[0].as_py() < 0:
         return table.select(["doc", "spans"])
-    kinds = (np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8, np.uint32)
+    kinds = (np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8, np.uint64)
     prefix, low, high, begin, begin_high, many, suffix = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in zip(_COLUMNS, kinds))
     _, group, size = np.unique(prefix, return_inverse=True, return_counts=True)
     inner = size[group] > 1
@@ -139,12 +139,12 @@ def _subtrees(table: pa.Table) -> pa.Table:
     suffix = suffix[np.repeat(ends[kept] - n, n) + within]
     doc = np.repeat(((high[kept].astype(np.uint64) << np.uint64(32)) | low[kept]).view(np.int64), n)
     start = np.repeat(begin[kept].astype(np.int64) | (begin_high[kept].astype(np.int64) << 16), n) + within
-    key = (np.repeat(group[kept], n).astype(np.uint64) << np.uint64(32)) | suffix
-    order = np.lexsort((start, doc, key))
-    key, doc, start = key[order], doc[order], start[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+    group = np.repeat(group[kept], n)
+    order = np.lexsort((start, doc, suffix, group))
+    group, suffix, doc, start = group[order], suffix[order], doc[order], start[order]
+    head = np.ones(len(suffix), bool)
+    head[1:] = (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(suffix)), 0))
     mark = np.flatnonzero((doc != doc[first]) | (start != start[first]))
     mark = mark[np.lexsort((start[mark], doc[mark]))]
     return pa.Table.from_batches([_spans(doc[mark], start[mark])])

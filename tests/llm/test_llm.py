@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,21 @@ def test_substring_dedup_equals_brute_force(docs, none, monkeypatch, bytes_):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], sha(r["text"])) for r in got.collect()} == brute_substring(corpus())
 
 
+def test_substring_dedup_tells_windows_of_one_prefix_apart():
+    # windows with one prefix whose hashes agree in their low 32 bits
+    full = np.array([5, 5 + (1 << 32), 5], np.uint64)
+    cols = [np.array([7, 7, 7], "<u4"), np.array([1, 2, 3], "<u4"), np.zeros(3, "<u4"), np.zeros(3, "<u2"), np.zeros(3, "<u2"), np.ones(3, "u1"), full]
+    arrays = [pa.array([0]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
+    marked = substring._subtrees(pa.table(arrays, names=["bin", "doc", "spans", *substring._COLUMNS]))
+    assert marked.column("doc").to_pylist() == [3]
+
+
+def test_substring_dedup_sends_whole_window_hashes():
+    texts = [" ".join(f"a{i}" for i in range(30)).encode()]
+    rows = list(substring._deal(np.array([1]), texts, np.uint64((1 << 64) - 1)))
+    assert sum(len(r[-1]) for r in rows if r[0] >= 0) == 8 * 11
+
+
 def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x " + text)], "doc_id long, text string")
