@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from sitewright.llm.common import keep
 
 CAPACITY = 2048
-#: Fillings that the branch and bound looks at for one bin.
-SEARCH_NODES = 20_000
+#: Steps of the search over bins after it first turns back, if its packing isn't known to be the least.
+SEARCH_STEPS = 2_000
 _LOADED: dict[str, object] = {}
 
 
@@ -101,68 +101,158 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _filling(room: int, lengths: list[int], counts: dict[int, int], floor: int, nodes: int = SEARCH_NODES) -> list[int]:
-    """Lengths, largest first, that waste least of ``room``; ``lengths`` ascending, ``floor`` the smallest.
-
-    A filling is undominated only if no length left would still fit; the search
-    tries larger lengths first and leaves a branch whose waste can't be below
-    the incumbent's.
-    """
+def _reach(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """For each i, as bits, the sums up to ``room`` that the first i lengths give within their counts."""
+    out, mask = [1], (1 << (room + 1)) - 1
+    for n in lengths:
+        r, left, step = out[-1], min(counts[n], room // n), 1
+        while left > 0:
+            k = min(step, left)
+            r |= (r << (n * k)) & mask
+            left, step = left - k, 2 * step
+        out.append(r)
+    return out
+
+
+def _sums(total: int, top: int, lengths: list[int], counts: dict[int, int], reach: list[int]) -> Iterator[list[int]]:
+    """All choices of the first ``top`` lengths with this sum, those of larger lengths first."""
+    if total == 0:
+        yield []
+        return
+    for i in range(min(top, bisect_right(lengths, total)) - 1, -1, -1):
+        n = lengths[i]
+        for k in range(min(counts[n], total // n), 0, -1):
+            if reach[i] >> (total - k * n) & 1:
+                for rest in _sums(total - k * n, i, lengths, counts, reach):
+                    yield [n] * k + rest
+
+
+def _filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """Lengths, largest first, that waste least of ``room``, exactly; ``lengths`` ascending."""
     best: list[int] = []
-    rest, held = room, counts
-    used: dict[int, int] = {}
-    at = bisect_right(lengths, rest)
-    while at and rest >= floor:  # best fit: the largest that fits, again and again
+    rest, at = room, bisect_right(lengths, room)
+    while at:  # best fit: the largest that fits, again and again
         n = lengths[at - 1]
-        if n <= rest and held[n] - used.get(n, 0) > 0:
-            best.append(n)
-            used[n] = used.get(n, 0) + 1
-            rest -= n
-            at = min(at, bisect_right(lengths, rest))
-        else:
-            at -= 1
-    waste = rest
-    if waste == 0:
+        k = min(counts[n], rest // n)
+        best += [n] * k
+        rest -= k * n
+        at = min(at - 1, bisect_right(lengths, rest))
+    if rest == 0:
         return best
-    seen = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
-    while stack and waste and seen < nodes:
-        rest, top, chosen = stack.pop()
-        seen += 1
-        if rest < waste:
-            best, waste = list(chosen), rest
-        top = min(top, bisect_right(lengths, rest))
-        if rest < floor or not top:
-            continue
-        # an exact partner closes the bin at once
-        later = []
-        for i in range(top - 1, max(-1, top - 40), -1):
-            n = lengths[i]
-            if chosen.count(n) < counts[n]:
-                later.append((rest - n, i + 1, (*chosen, n)))
-        stack.extend(reversed(later))
+    reach = _reach(room, lengths[: bisect_right(lengths, room)], counts)
+    return next(_sums(reach[-1].bit_length() - 1, len(reach) - 1, lengths, counts, reach))
+
+
+def _fillings(room: int, lengths: list[int], counts: dict[int, int]) -> Iterator[list[int]]:
+    """All undominated fillings, those of least waste first."""
+    first = _filling(room, lengths, counts)
+    yield first
+    lengths = lengths[: bisect_right(lengths, room)]
+    reach = _reach(room, lengths, counts)
+    for total in range(reach[-1].bit_length() - 1, -1, -1):
+        if reach[-1] >> total & 1:
+            for found in _sums(total, len(lengths), lengths, counts, reach):
+                if found != first and all(found.count(n) == counts[n] for n in lengths[: bisect_right(lengths, room - total)]):
+                    yield found
+
+
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound of the number of bins (Martello and Toth's second)."""
+    lengths = sorted(n for n, c in counts.items() if c > 0)
+    best = 0
+    for least in [0, *(n for n in lengths if 2 * n <= capacity)]:
+        alone = sum(counts[n] for n in lengths if n > capacity - least)
+        halves = [n for n in lengths if 2 * n > capacity and n <= capacity - least]
+        held = sum(counts[n] for n in halves)
+        spare = held * capacity - sum(n * counts[n] for n in halves)
+        small = sum(n * counts[n] for n in lengths if least <= n and 2 * n <= capacity)
+        best = max(best, alone + held + max(0, -(-(small - spare) // capacity)))
     return best
 
 
+def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best fit decreasing, with equal bins as one."""
+    bins: dict[tuple[int, ...], int] = {}
+    rooms: dict[int, list[tuple[int, ...]]] = {}
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        while left:
+            room = min((r for r in rooms if r >= n), default=None)
+            if room is None:
+                old, many = (), -(-left // (capacity // n))
+            else:
+                old = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+                many = bins.pop(old)
+            room = capacity if room is None else room
+            k = min(room // n, left)
+            use = min(many, left // k)
+            for new, times in ((old + (n,) * k, use), (old, many - use)):
+                if times and new:
+                    if new not in bins:
+                        rooms.setdefault(capacity - sum(new), []).append(new)
+                    bins[new] = bins.get(new, 0) + times
+            left -= k * use
+    return [(list(b), times) for b, times in bins.items()]
+
+
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a bin, how many such bins), in the order in which they were made."""
+    """(lengths of a bin, how many such bins), in the order in which they were made.
+
+    Depth first over the fillings of the largest length's bin and how often
+    each is used, against the best packing so far (best fit at first). It ends
+    when that meets the lower bound, when all branches are closed, or
+    SEARCH_STEPS steps after the first time that it turned back.
+    """
     counts = {n: c for n, c in histogram.items() if c > 0}
-    lengths = sorted(counts)
+    best = _best_fit(counts, capacity)
+    most, bound = sum(t for _, t in best), fewest(counts, capacity)
+    left, used, steps = sum(n * c for n, c in counts.items()), 0, 0
     plan: list[tuple[list[int], int]] = []
-    while lengths:
+
+    def moves() -> Iterator[tuple[list[int], int]]:
+        lengths = sorted(n for n, c in counts.items() if c)
         large = lengths[-1]
-        counts[large] -= 1
-        bin_ = [large, *_filling(capacity - large, lengths, counts, lengths[0])]
-        counts[large] += 1
-        need: dict[int, int] = {}
+        held = dict(counts)
+        held[large] -= 1
+        for rest in _fillings(capacity - large, lengths, held):
+            bin_ = [large, *rest]
+            for times in range(min(counts[n] // bin_.count(n) for n in set(bin_)), 0, -1):
+                yield bin_, times
+
+    def put(bin_: list[int], times: int) -> None:
+        nonlocal left, used
         for n in bin_:
-            need[n] = need.get(n, 0) + 1
-        times = min(counts[n] // k for n, k in need.items())
-        for n, k in need.items():
-            counts[n] -= k * times
-        plan.append((bin_, times))
-        lengths = [n for n in lengths if counts[n]]
-    return plan
+            counts[n] -= times
+        left -= times * sum(bin_)
+        used += times
+
+    open_: list[Iterator[tuple[list[int], int]]] = [moves()] if counts else []
+    while open_ and steps <= SEARCH_STEPS:
+        steps += steps > 0
+        move = next(open_[-1], None)
+        if move is None:
+            open_.pop()
+            if plan:
+                bin_, times = plan.pop()
+                put(bin_, -times)
+            continue
+        put(*move)
+        plan.append(move)
+        closed = left == 0
+        # a first packing as small as best fit's is taken for it
+        if closed and (used < most or (used == most and not steps)):
+            best, most = list(plan), used
+            if most <= bound:
+                break
+        if closed or used + -(-left // capacity) >= most + (not steps):
+            steps = max(steps, 1)
+            bin_, times = plan.pop()
+            put(bin_, -times)
+        else:
+            open_.append(moves())
+    return best
 
 
 def _places(plan: list[tuple[list[int], int]]) -> pd.DataFrame:

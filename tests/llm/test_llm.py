@@ -293,6 +293,22 @@ def test_bins_are_complete_and_few():
         assert sum(k for _, k in plan) <= len(best)
 
 
+def test_bins_are_filled_past_many_lengths():
+    counts = {1048: 30_000, 640: 30_000, 500: 60_000, **dict.fromkeys(range(601, 640), 1)}
+    plan = packing.complete_bins(counts)
+    used = Counter()
+    for bin_, times in plan:
+        assert sum(bin_) <= packing.CAPACITY
+        for n in bin_:
+            used[n] += times
+    assert used == counts and sum(k for _, k in plan) <= 40_013
+
+
+def test_bins_are_fewest_where_the_first_filling_is_not():
+    counts = {20: 2, 16: 2, 4: 5, 17: 3, 10: 3, 15: 1, 19: 4, 5: 2, 14: 7, 3: 2, 13: 1, 7: 1, 2: 1, 9: 1, 6: 1}
+    assert sum(k for _, k in packing.complete_bins(counts, 30)) == packing.fewest(counts, 30) == 14
+
+
 def test_language_held_out(spark):
     rows = queries.op7_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
