@@ -88,11 +88,15 @@ class Model:
 
     def margins(self, texts: list[bytes | None]) -> np.ndarray:
         """Mean log-odds of each text's n-grams for each bit."""
-        data = b" ".join(t or b"" for t in texts) + b"    "
-        starts = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])[:-1]]).astype(np.int64)
+        data = b"".join((t or b"") + b"   " for t in texts) + b"   "
+        size = np.array([len(t or b"") for t in texts], np.int64)
+        starts = np.cumsum(size + 3) - size - 3
+        after = (np.repeat(starts + size, 3) + np.tile(np.arange(3), len(texts))).astype(np.int64)
         total = np.zeros((len(texts), self.weights.shape[1]))
         seen = np.zeros(len(texts))
         for h in _grams(data):
+            h = h[: len(data) - 3]  # so that equal texts are sums of equally many
+            h[after] = 0  # those of the blanks between texts reach into the next one
             for b in range(self.weights.shape[1]):
                 total[:, b] += np.add.reduceat(self.weights[:, b][h], starts)
             seen += np.add.reduceat(h != 0, starts, dtype=np.int64)

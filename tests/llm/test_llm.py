@@ -322,6 +322,15 @@ def test_language_edges(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(blank).collect()} == {"und"}
 
 
+def test_language_of_a_text_does_not_depend_on_its_neighbours():
+    model = langid.Model(["a", "b", "c"], np.random.default_rng(3).integers(0, 50, (3, langid.BUCKETS)).astype(float))
+    for t in (b"no", b"word", b"x", b"two words ", b""):
+        alone = model.margins([t])[0]
+        for other in (b"", b"zebra", b" q", "日本".encode()):
+            both = model.margins([other, t, other])
+            assert (both[1] == alone).all() and (both[0] == both[2]).all()
+
+
 def test_codewords_lie_apart():
     for n in (2, 4, 5, 9, 40):
         code = langid.codebook(n)
