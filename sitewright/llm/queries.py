@@ -18,7 +18,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(plain, 256).alias("kept_sha256"))
 
 
 #: Both rows hold the template's own control strings.

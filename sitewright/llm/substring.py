@@ -2,21 +2,31 @@
 
 A suffix is followed for WINDOW words, so a repeat of that length is an inner
 node at that depth of the tree of all suffixes. The tree is never built as a
-whole: each suffix goes to the group of a prefix, chosen in its first WINDOW
-words as their least hashed run of GRAM words. That choice depends on the
-suffix alone, so equal suffixes share a group, and neighbouring suffixes mostly
-share one too, which lets a group hold them as one entry. Groups are packed
-into bins of bounded size. Within a bin a prefix that a single entry has is a
-leaf and ends there; below the others the suffixes are sorted to their full
-depth, where each node with several leaves is a maximal repeat, and all leaves
-but the first one are marked.
-
-Every slice of documents first folds its own equal suffixes into the earliest,
-so a passage or a whole text that a third of all documents share is sent once
-for each slice, not once for each document.
-
-Results: a null text has no words; texts shorter than a window lose nothing;
-words are kept unchanged and joined by one space. ``doc_id`` names a document:
+whole: suffixes are split by prefixes of variable length into groups that fit
+into memory, and each group's subtree is built from its words alone.
+
+1. A suffix's first prefix is the least hashed run of GRAM words in its window.
+   That depends on the window alone, so equal windows share a prefix, and
+   neighbouring ones mostly do too: they travel as one entry, the words that
+   they cover together. Every slice of documents first folds its own equal
+   windows into the earliest, so a passage that a third of all documents share
+   is sent once for each slice.
+2. Entries are dealt to bins of prefixes. A prefix with a single entry is a leaf
+   and ends there. The suffixes of the others are sorted by their words; where
+   neighbours agree over WINDOW words, they are leaves below one deep inner node,
+   a maximal repeat, and all but the earliest leaf are marked.
+3. A bin that passes CHUNK_BYTES is sorted a chunk at a time, and what no chunk
+   could decide goes to another round with longer prefixes: the words that all
+   of 7, then 4 neighbouring windows share, and at last whole windows. There the
+   leaves of a group are equal, and every round leaves one for each chunk. A
+   prefix that holds a large share of a sample's entries is dealt to several
+   bins at once and takes the same way; the sample decides this layout only.
+
+Hashes choose groups and find candidates; words decide what is equal.
+
+Results: a null text has no words; texts shorter than a window lose nothing; a
+text that loses no word stays as it is, and others keep all that stands outside
+of the words that they lose, up to the next word. ``doc_id`` names a document:
 rows that repeat one are versions of it, which never make repeats of each other
 at the same place, and a place is removed in all versions if it is in one; null
 comes after all others. Extra columns stay; an empty table gives an empty one.
@@ -25,20 +35,56 @@ comes after all others. Extra columns stay; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.textkernel import Words, slices, trim
+from sitewright.llm.common import cut
+from sitewright.llm.textkernel import Words, mix, slices, trim
 
 WINDOW = 20
 GRAM = 8
-#: Bytes of text whose suffixes share a bin, as expected.
-BIN_BYTES = 6_000_000
+#: For each level the number of neighbouring windows whose common words are the prefix.
+LEVELS = (WINDOW - GRAM + 1, 7, 4, 1)
+#: Bytes of text to a bin, as expected; entries overlap and take 3 to 4 times as many.
+BIN_BYTES = 2_000_000
+#: Bytes of entries that are sorted at once.
+CHUNK_BYTES = 24_000_000
+#: Bytes of entries that a worker gathers before it deals them out.
+HELD_BYTES = 24_000_000
+#: Bytes of the sample that finds hot prefixes, as expected, and the least entries there that make one.
+SAMPLE_BYTES = 16_000_000
+HOT_ENTRIES = 64
+#: Bins of this number and above hold parts of hot prefixes.
+_HOT_BIN = 1 << 40
 _LAST = np.iinfo(np.int64).max
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+class Entries(NamedTuple):
+    """Runs of neighbouring windows with one prefix: ``many`` windows from word ``start`` of ``doc``, the first one ``off`` words before the prefix's anchor."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    off: np.ndarray
+    many: np.ndarray
+    text: list[bytes]
+
+    def take(self, at: np.ndarray) -> Entries:
+        return Entries(*(x[at] for x in self[:-1]), [self.text[i] for i in at.tolist()])
+
+
+_KINDS = ("<u8", "<i8", "<u4", "u1", "u1")
+
+
+def _joined(parts: list[Entries]) -> Entries:
+    if not parts:
+        return Entries(*(np.zeros(0, k) for k in _KINDS), [])
+    return Entries(*(np.concatenate([p[i] for p in parts]).astype(k) for i, k in enumerate(_KINDS)), [t for p in parts for t in p.text])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,10 +99,28 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Marked suffixes, sorted by document and start, as runs of neighbours: one row per document."""
+def _anchors(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window's first word the place of its anchor, and the hash of the anchor's words."""
+    gram = np.full(len(words.hash), ~np.uint64(0))
+    places, h = words.grams(GRAM)
+    gram[places] = h
+    anchor = _least(gram, WINDOW - GRAM + 1)[at]
+    return anchor, gram[anchor]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new run begins: any key differs from the one before."""
+    head = np.ones(len(keys[0]), bool)
+    for k in keys:
+        head[1:] &= k[1:] == k[:-1]
+    head[1:] = ~head[1:]
+    return head
+
+
+def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Marked windows, sorted by document and start, as pairs of unsigned 32-bit words: names of documents and their pairs."""
     if not len(doc):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["doc", "spans"])
+        return [], []
     head = np.ones(len(doc), bool)
     head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(head)
@@ -65,117 +129,305 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     names, at = np.unique(doc[first], return_index=True)
     at = np.append(at, len(pairs)) * 8
     data, at = pairs.tobytes(), at.tolist()
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], names=["doc", "spans"])
-
+    return names.tolist(), [data[a:b] for a, b in zip(at, at[1:])]
 
-_COLUMNS = ("prefix", "doc_low", "doc_high", "start_low", "start_high", "many", "suffix")
 
-
-def _deal(doc: np.ndarray, texts: list[bytes | None], width: np.uint64) -> Iterator[tuple]:
-    """Rows (bin, spans or None, the entries' columns) of a slice."""
+def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[list[int], list[bytes]]]:
+    """A slice's entries without the windows that repeat earlier ones of the slice, and the spans of these."""
     order = np.argsort(doc, kind="stable")
     doc, texts = doc[order], [texts[i] for i in order]
     words = Words(texts)
     at, full = words.grams(WINDOW)
     if not len(at):
-        return
+        return _joined([]), ([], [])
+    plain = b" ".join(words.data.split())  # at the same six characters
+    size = words.end - words.start
+    begin = np.cumsum(size + 1) - size - 1
+    end = begin + size
     of = words.doc()[at]
     start = at - words.first[of]
+
     order = np.argsort(full, kind="stable")
-    head = np.ones(len(at), bool)
-    head[1:] = full[order][1:] != full[order][:-1]
-    first = order[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+    head = _heads(full[order])
     lead = np.empty(len(at), np.int64)
-    lead[order] = first
+    lead[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
     again = lead != np.arange(len(at))
-    known = again & ((doc[of] != doc[of[lead]]) | (start != start[lead]))
-    mark = np.flatnonzero(known)
+    dup = np.flatnonzero(again)
+    if len(dup):  # runs of windows that repeat one passage; words decide
+        first = np.flatnonzero(_heads(dup - np.arange(len(dup)), lead[dup] - np.arange(len(dup)), of[dup], of[lead[dup]]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(dup)]):
+            i, j, n = at[dup[a]], at[lead[dup[a]]], b - a + WINDOW - 2
+            if plain[begin[i] : end[i + n]] != plain[begin[j] : end[j + n]]:
+                again[dup[a:b]] = False
+    mark = np.flatnonzero(again & ((doc[of] != doc[of[lead]]) | (start != start[lead])))
     mark = mark[np.lexsort((start[mark], doc[of[mark]]))]
-    spans = _spans(doc[of[mark]], start[mark])
-    for name, s in zip(spans.column(0).to_pylist(), spans.column(1).to_pylist()):
-        yield (-1 - name % 997, name, s, *[b""] * len(_COLUMNS))
 
-    gram = np.full(len(words.hash), ~np.uint64(0))
-    places, h = words.grams(GRAM)
-    gram[places] = h
-    chosen = _least(gram, WINDOW - GRAM + 1)[at]
+    anchor, key = _anchors(words, at)
     send = np.flatnonzero(~again)
-    head = np.ones(len(send), bool)
-    head[1:] = (chosen[send][1:] != chosen[send][:-1]) | (send[1:] != send[:-1] + 1)
-    entry = np.flatnonzero(head)
-    many = np.diff(np.append(entry, len(send)))
-    e = send[entry]
-    prefix = gram[chosen[e]]
-    to = (prefix // width).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    e, many, prefix, to, entry = e[order], many[order], prefix[order], to[order], entry[order]
-    ends = np.cumsum(many)
-    suffix = full[send][np.repeat(entry - (ends - many), many) + np.arange(ends[-1])] if len(e) else np.zeros(0, np.uint64)
-    whose, begin = doc[of[e]].view(np.uint64), start[e].astype(np.uint32)
-    cols = (
-        prefix.astype(np.uint32), whose.astype(np.uint32), (whose >> np.uint64(32)).astype(np.uint32),
-        begin.astype(np.uint16), (begin >> np.uint32(16)).astype(np.uint16), many.astype(np.uint8),
-    )
-    cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-    tails = np.concatenate([[0], ends])
-    for a, b in zip(cuts, [*cuts[1:], len(e)]):
-        yield (int(to[a]), None, None, *(c[a:b].tobytes() for c in cols), suffix[tails[a] : tails[b]].tobytes())
-
-
-def _subtrees(table: pa.Table) -> pa.Table:
-    """Marks of all but the first leaf of the nodes at full depth in a bin."""
-    if table.column("bin")[0].as_py() < 0:
-        return table.select(["doc", "spans"])
-    kinds = (np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8, np.uint64)
-    prefix, low, high, begin, begin_high, many, suffix = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in zip(_COLUMNS, kinds))
-    _, group, size = np.unique(prefix, return_inverse=True, return_counts=True)
-    inner = size[group] > 1
-    many = many.astype(np.int64)
-    ends = np.cumsum(many)
-    kept = np.flatnonzero(inner)
-    n = many[kept]
-    tail = np.cumsum(n)
-    within = np.arange(tail[-1] if len(tail) else 0) - np.repeat(tail - n, n)
-    suffix = suffix[np.repeat(ends[kept] - n, n) + within]
-    doc = np.repeat(((high[kept].astype(np.uint64) << np.uint64(32)) | low[kept]).view(np.int64), n)
-    start = np.repeat(begin[kept].astype(np.int64) | (begin_high[kept].astype(np.int64) << 16), n) + within
-    group = np.repeat(group[kept], n)
-    order = np.lexsort((start, doc, suffix, group))
-    group, suffix, doc, start = group[order], suffix[order], doc[order], start[order]
-    head = np.ones(len(suffix), bool)
-    head[1:] = (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(suffix)), 0))
-    mark = np.flatnonzero((doc != doc[first]) | (start != start[first]))
-    mark = mark[np.lexsort((start[mark], doc[mark]))]
-    return pa.Table.from_batches([_spans(doc[mark], start[mark])])
-
-
-def _one_bin(table: pa.Table) -> pa.Table:
-    out = _subtrees(table)
-    trim()
-    return out
+    first = np.flatnonzero(_heads(anchor[send], send - np.arange(len(send)), of[send]))
+    many = np.diff(np.append(first, len(send)))
+    e = send[first]
+    a, b = begin[at[e]].tolist(), end[at[e] + many + WINDOW - 2].tolist()
+    entries = Entries(key[e], doc[of[e]], start[e], anchor[e] - at[e], many, [plain[x:y] for x, y in zip(a, b)])
+    return entries, _spans(doc[of[mark]], start[mark])
+
+
+def _dealt(entries: Entries, bins: int, hot: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
+    """(bin, compressed entries, their size) for each bin; ``hot``: sorted keys that are dealt to ``tiles`` bins each."""
+    to = (entries.key // np.uint64(((1 << 64) - 1) // bins)).astype(np.int64)
+    if len(hot):
+        place = np.minimum(np.searchsorted(hot, entries.key), len(hot) - 1)
+        is_hot = hot[place] == entries.key
+        salt = mix(entries.doc.astype(np.uint64) ^ np.uint64(0x5A17)) % tiles[place].astype(np.uint64)
+        own = mix(entries.key + mix(salt + np.uint64(1))) >> np.uint64(24)
+        to = np.where(is_hot, own.astype(np.int64) + _HOT_BIN, to)
+    order = np.lexsort((entries.key, to))
+    entries, to = entries.take(order), to[order]
+    first = np.flatnonzero(_heads(to)).tolist() if len(to) else []
+    for a, b in zip(first, [*first[1:], len(to)]):
+        text = entries.text[a:b]
+        cols = [x[a:b].astype(k).tobytes() for x, k in zip(entries[:-1], _KINDS)]
+        raw = b"".join([np.uint32(b - a).tobytes(), *cols, np.array([len(t) for t in text], "<u4").tobytes(), *text])
+        yield int(to[a]), _ZSTD.compress(raw, asbytes=True), len(raw)
+
+
+def _opened(data: pa.Buffer, size: int) -> Entries:
+    raw = _ZSTD.decompress(data, size, asbytes=True)
+    n, at, cols = int(np.frombuffer(raw, "<u4", 1)[0]), 4, []
+    for k in (*_KINDS, "<u4"):
+        cols.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    ends = (at + np.cumsum(cols.pop().astype(np.int64))).tolist()
+    return Entries(*cols, [raw[a:b] for a, b in zip([at, *ends], ends)])
+
+
+def _ranks(words: Words) -> np.ndarray:
+    """A number for each word, the same for equal words only."""
+    _, first, rank = np.unique(words.hash, return_index=True, return_inverse=True)
+    size, lead = words.end - words.start, first[rank]
+    good = bool((size == size[lead]).all())
+    buf = np.frombuffer(words.data, np.uint8)
+    for at in range(0, len(size) if good else 0, 100_000):
+        n = size[at : at + 100_000]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        good = good and bool((buf[np.repeat(words.start[at : at + 100_000], n) + within] == buf[np.repeat(words.start[lead[at : at + 100_000]], n) + within]).all())
+    if good:
+        return rank
+    known: dict[bytes, int] = {}  # two words with one hash
+    return np.array([known.setdefault(words.data[a:b], len(known)) for a, b in zip(words.start.tolist(), words.end.tolist())], np.int64)
+
+
+class Subtree:
+    """The suffixes of some entries in the order of their words."""
+
+    def __init__(self, entries: Entries):
+        at = np.lexsort((entries.start, entries.doc))
+        self.entries = entries.take(at)
+        self.words = Words(self.entries.text)
+        many = self.entries.many.astype(np.int64)
+        self.entry = np.repeat(np.arange(len(many)), many)
+        self.nth = np.arange(len(self.entry)) - np.repeat(np.cumsum(many) - many, many)
+        self.at = self.words.first[self.entry] + self.nth
+        self.doc, self.start = self.entries.doc[self.entry], self.entries.start[self.entry].astype(np.int64) + self.nth
+        rank = _ranks(self.words).astype(np.uint64)
+        bits = max(1, int(rank.max(initial=0)).bit_length())
+        columns = []
+        for i in range(0, WINDOW, 63 // bits):  # several words to a number
+            x = np.zeros(len(self.at), np.uint64)
+            for j in range(i, min(WINDOW, i + 63 // bits)):
+                x = (x << np.uint64(bits)) | rank[self.at + j]
+            columns.append(x)
+        # suffixes stand by document and start, so a node's leaves come in that order
+        by_place = np.lexsort((self.start, self.doc))
+        self.order = by_place[np.lexsort([c[by_place] for c in reversed(columns)])]
+        #: Whether a suffix shares less than WINDOW words with the one before, so that a node begins.
+        self.node = _heads(*(c[self.order] for c in columns)) if len(self.order) else np.zeros(0, bool)
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix, whether an earlier leaf of its node is another place, and whether it isn't the node's first leaf."""
+        lead = np.empty(len(self.order), np.int64)
+        lead[self.order] = self.order[np.maximum.accumulate(np.where(self.node, np.arange(len(self.order)), 0))]
+        return (self.doc != self.doc[lead]) | (self.start != self.start[lead]), lead != np.arange(len(lead))
+
+    def deeper(self, left: np.ndarray, level: int) -> Entries:
+        """The suffixes at places ``left`` as entries of the prefixes of a level."""
+        width = LEVELS[level]
+        off = self.entries.off[self.entry[left]].astype(np.int64) - self.nth[left]  # words from a window to its anchor
+        part = off // width
+        first = np.flatnonzero(_heads(self.entry[left], part, left - np.arange(len(left)))) if len(left) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(left)))
+        e, low = left[first], part[first] * width
+        anchor = self.at[e] + off[first]
+        key = self.words.runs(anchor - low, anchor - np.minimum(low + width, LEVELS[0]) + 1 + WINDOW)
+        a, b = self.words.start[self.at[e]].tolist(), self.words.end[self.at[e] + many + WINDOW - 2].tolist()
+        return Entries(key, self.doc[e], self.start[e], off[first], many, [self.words.data[x:y] for x, y in zip(a, b)])
+
+
+_OUT = "doc long, spans binary, key long, start long, off int, many int, text binary"
+_OUT_NAMES = ["doc", "spans", "key", "start", "off", "many", "text"]
+
+
+def _marks(names: list[int], spans: list[bytes]) -> pa.RecordBatch:
+    n = len(names)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(spans, pa.binary()), *(pa.nulls(n, k) for k in kinds)], names=_OUT_NAMES)
+
+
+def _undecided(e: Entries) -> pa.RecordBatch:
+    cols = [pa.array(e.key.view(np.int64)), pa.array(e.start, pa.int64()), pa.array(e.off, pa.int32()), pa.array(e.many, pa.int32()), pa.array(e.text, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(e.doc, pa.int64()), pa.nulls(len(e.text), pa.binary()), *cols], names=_OUT_NAMES)
+
+
+def _grown(parts: list[Entries], whole: bool, level: int) -> Iterator[pa.RecordBatch]:
+    """Marks of a bin or of a chunk of it, and, unless it is whole, what is left to decide."""
+    entries = _joined(parts)
+    if whole:
+        _, place, count = np.unique(entries.key, return_inverse=True, return_counts=True)
+        entries = entries.take(np.flatnonzero(count[place] > 1))  # the others are leaves
+    if not len(entries.key):
+        return
+    tree = Subtree(entries)
+    marked, later = tree.repeats()
+    mark = np.flatnonzero(marked)
+    mark = mark[np.lexsort((tree.start[mark], tree.doc[mark]))]
+    yield _marks(*_spans(tree.doc[mark], tree.start[mark]))
+    if not whole:
+        yield _undecided(tree.deeper(np.flatnonzero(~later), level))
+
+
+def _forest(dealt: DataFrame, level: int) -> DataFrame:
+    """Marks (doc, spans) and undecided entries from rows (bin, doc, size, data)."""
+    chunk, after = CHUNK_BYTES, min(level + 1, len(LEVELS) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held, split = None, [], 0, False
+        for batch in batches:
+            names, size, data = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            for i, to in enumerate(batch.column(0).to_pylist()):
+                if to < 0:
+                    yield _marks([names[i]], [data[i].as_py()])
+                    continue
+                ended, full = to != now, held + size[i] > chunk
+                if parts and (ended or full):
+                    split = split or not ended
+                    yield from _grown(parts, not split, after)
+                    parts, held = [], 0
+                    trim()
+                if ended:
+                    now, split = to, to >= _HOT_BIN
+                parts.append(_opened(data[i].as_buffer(), size[i]))
+                held += size[i]
+        if parts:
+            yield from _grown(parts, not split, after)
+            trim()
+
+    # the rows of a bin follow each other, so a task holds one chunk of one bin
+    return dealt.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, _OUT)
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["bin", "doc", "size", "data"])
+
+
+def _deal(found: Iterator[tuple[Entries, tuple[list[int], list[bytes]]]], bins: int, hot: tuple[np.ndarray, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bin, doc, size, data): entries by bin, and spans in bins below 0, which nothing gathers."""
+    held: list[Entries] = []
+    size = 0
+    for entries, (names, spans) in found:
+        yield _row_batch([(-1 - (n & 0xFFFFFFFF), n, 0, s) for n, s in zip(names, spans)])
+        held.append(entries)
+        size += sum(map(len, entries.text))
+        if size > most:
+            yield _row_batch([(to, None, n, data) for to, data, n in _dealt(_joined(held), bins, *hot)])
+            held, size = [], 0
+    yield _row_batch([(to, None, n, data) for to, data, n in _dealt(_joined(held), bins, *hot)])
+
+
+_DEALT = "bin long, doc long, size long, data binary"
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _hot(counts: DataFrame, total: int, partitions: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (key, n) of over a quarter of a partition's share, of which there are at most 4 for each partition, and how many bins each gets."""
+    share = max(least, total / (4 * partitions))
+    rows = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in counts.where(F.col("n") > share).collect())
+    return np.array([k for k, _ in rows], np.uint64), np.array([-(-n // int(share)) for _, n in rows], np.uint64)
+
+
+def _sampled(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hot prefixes in a sample of documents."""
+    draw = F.pmod(F.xxhash64(F.lit("prefixes"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, of in slices(batch):
+                entries, _ = _fold(np.arange(part.num_rows), of)
+                keys, n = np.unique(entries.key.astype(np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counts = texts.where(draw < min(1.0, SAMPLE_BYTES / max(1, total))).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "prefixes")
+    return _hot(counts, counts.agg(F.sum("n")).first()[0] or 0, _partitions(texts), HOT_ENTRIES)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans: of each document the word ranges that repeat earlier ones, as pairs of unsigned 32-bit numbers."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = np.uint64(((1 << 64) - 1) // max(1, int(total // BIN_BYTES)))
+    texts = docs.select("doc_id", "text")
+    total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts, most = _partitions(docs), HELD_BYTES
+    bins = lambda size: max(4 * parts, int(size // BIN_BYTES))
+    hot, n_bins = _sampled(texts, total), bins(total)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (_fold(np.asarray(part.column(0).fill_null(_LAST), np.int64), of) for batch in batches for part, of in slices(batch))
+        yield from _deal(found, n_bins, hot, most)
+
+    out = cut(_forest(texts.mapInArrow(first, _DEALT), 0), "repeats")
+    marks = [out]
+    for level in range(1, 100):
+        left = out.where("key IS NOT NULL")
+        size = left.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+        if not size["n"]:
+            break
+        level = min(level, len(LEVELS) - 1)
+        hot, n_bins = _hot(left.groupBy("key").agg(F.count("*").alias("n")), size["n"], parts, HOT_ENTRIES * HOT_ENTRIES), bins(size["bytes"])
+
+        def again(batches: Iterator[pa.RecordBatch], hot: tuple = hot, n_bins: int = n_bins) -> Iterator[pa.RecordBatch]:
+            plain = lambda b, i: np.asarray(b.column(i))
+            found = ((Entries(plain(b, 0).view(np.uint64), *(plain(b, i) for i in range(1, 5)), b.column(5).to_pylist()), ([], [])) for b in batches)
+            yield from _deal(found, n_bins, hot, most)
+
+        out = cut(_forest(left.select("key", "doc", "start", "off", "many", "text").mapInArrow(again, _DEALT), level), "repeats")
+        marks.append(out)
+    spans = marks[0].select("doc", "spans")
+    for m in marks[1:]:
+        spans = spans.unionByName(m.select("doc", "spans"))
+    return spans.where("spans IS NOT NULL").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                rows = list(_deal(np.asarray(part.column(0).fill_null(_LAST), np.int64), texts, width))
-                cols = list(zip(*rows)) or [()] * (3 + len(_COLUMNS))
-                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bin", "doc", "spans", *_COLUMNS])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "bin long, doc long, spans binary, " + ", ".join(f"{c} binary" for c in _COLUMNS))
-    found = dealt.groupBy("bin").applyInArrow(_one_bin, "doc long, spans binary")
-    return found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+def _without(words: Words, i: int, text: bytes, at: int, spans: list[bytes]) -> tuple[bytes, int]:
+    """The i-th text of a slice, which begins at byte ``at``, without the words in spans, and how many these are."""
+    a, b = words.first[i], words.first[i + 1]
+    start, end = words.start[a:b] - at, words.end[a:b] - at
+    edge = np.zeros(len(start) + 1, np.int64)
+    pairs = np.minimum(np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2), len(start))
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 1], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    step = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    kept, done = [], 0
+    for x, y in step.reshape(-1, 2).tolist():
+        kept.append(text[done : start[x]])
+        done = int(start[y]) if y < len(start) else int(end[-1])
+    return b"".join([*kept, text[done:]]), int(gone.sum())
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs with ``text`` replaced by the words that stay, n_words and n_removed."""
+    """The rows of docs with the words that stay in ``text``, and n_words and n_removed."""
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     name = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("__doc")
     rows = docs.select(*rest, "text", name).join(repeats(docs).withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), "__doc", "left").select(*rest, "__spans", "text")
@@ -183,20 +435,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                kept, n, gone = [], [], []
-                for t, spans in zip(texts, part.column(part.num_columns - 2).to_pylist()):
-                    words = (t or b"").split()  # at the same six characters
-                    n.append(len(words))
-                    if spans:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        ab = np.minimum(np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2), len(words))
-                        np.add.at(edge, ab[:, 0], 1)
-                        np.add.at(edge, ab[:, 1], -1)
-                        words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
-                    gone.append(n[-1] - len(words))
-                    kept.append(b" ".join(words))
+                spans = part.column(part.num_columns - 2).to_pylist()
+                n, gone = [len((t or b"").split()) for t in texts], [0] * len(texts)  # at the same six characters
+                some = [i for i, s in enumerate(spans) if s and texts[i]]
+                words, at = Words([texts[i] for i in some]), 0
+                for k, i in enumerate(some):
+                    size = len(texts[i])
+                    texts[i], gone[i] = _without(words, k, texts[i], at, spans[i])
+                    at += size + 1
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-2], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*rest, "text", "n_words", "n_removed"]
+                    [*part.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*rest, "text", "n_words", "n_removed"]
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)

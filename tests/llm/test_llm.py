@@ -94,27 +94,59 @@ def brute_substring(rows):
     return out
 
 
-@pytest.mark.parametrize("bytes_", [10, 10**9])
-def test_substring_dedup_equals_brute_force(docs, none, monkeypatch, bytes_):
-    monkeypatch.setattr(substring, "BIN_BYTES", bytes_)
+def kept_sha(text):
+    return sha(b" ".join((text or "").encode().split()))
+
+
+@pytest.mark.parametrize(("bin_", "chunk", "hot"), [(10, 10**9, 64), (10**9, 10**9, 64), (2_000, 1_500, 64), (1_000, 3_000, 1)])
+def test_substring_dedup_equals_brute_force(docs, none, monkeypatch, bin_, chunk, hot):
+    monkeypatch.setattr(substring, "BIN_BYTES", bin_)
+    monkeypatch.setattr(substring, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring, "HOT_ENTRIES", hot)
     got = substring.deduplicate(docs)
     assert {"lang", "spans"} <= set(got.columns) and substring.deduplicate(none).count() == 0
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], sha(r["text"])) for r in got.collect()} == brute_substring(corpus())
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], kept_sha(r["text"])) for r in got.collect()} == brute_substring(corpus())
+
+
+def phrased(n, words=12):
+    """Texts that share one phrase of 8 words in other surroundings, and no window."""
+    dice = random.Random(9)
+    word = lambda: "".join(dice.choices("abcdefghij", k=4))
+    return [(i, " ".join([*(word() for _ in range(words)), "one phrase that very many texts hold verbatim", *(word() for _ in range(words))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [24_000_000, 20_000])
+def test_substring_dedup_leaves_texts_around_a_common_phrase(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring, "CHUNK_BYTES", chunk)
+    rows = phrased(10_000 if chunk > 20_000 else 1_500)
+    rows += [(10**6 + i, rows[i][1]) for i in range(0, 200, 7)]  # and copies of some
+    got = {r["doc_id"]: r["n_removed"] for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: 32 if d >= 10**6 else 0 for d, _ in rows}
+
+
+def test_substring_dedup_compares_words(monkeypatch):
+    # two texts whose words all have one hash
+    monkeypatch.setattr(substring.Words, "grams", lambda self, k: (np.concatenate([np.arange(a, b - k + 1) for a, b in zip(self.first, self.first[1:])]), np.zeros(sum(max(0, b - a - k + 1) for a, b in zip(self.first, self.first[1:])), np.uint64)))
+    texts = [" ".join(f"{c}{i}" for i in range(25)).encode() for c in "abab"]
+    entries, (names, _) = substring._fold(np.arange(4), texts)
+    made = substring.Words.__init__
 
+    def blind(self, *args, **kw):
+        made(self, *args, **kw)
+        self.hash = np.zeros_like(self.hash)
 
-def test_substring_dedup_tells_windows_of_one_prefix_apart():
-    # windows with one prefix whose hashes agree in their low 32 bits
-    full = np.array([5, 5 + (1 << 32), 5], np.uint64)
-    cols = [np.array([7, 7, 7], "<u4"), np.array([1, 2, 3], "<u4"), np.zeros(3, "<u4"), np.zeros(3, "<u2"), np.zeros(3, "<u2"), np.ones(3, "u1"), full]
-    arrays = [pa.array([0]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
-    marked = substring._subtrees(pa.table(arrays, names=["bin", "doc", "spans", *substring._COLUMNS]))
-    assert marked.column("doc").to_pylist() == [3]
+    monkeypatch.setattr(substring.Words, "__init__", blind)
+    tree = substring.Subtree(entries)
+    marked, _ = tree.repeats()
+    found = set(names) | set(tree.doc[marked].tolist())
+    assert found == {2, 3}
 
 
-def test_substring_dedup_sends_whole_window_hashes():
-    texts = [" ".join(f"a{i}" for i in range(30)).encode()]
-    rows = list(substring._deal(np.array([1]), texts, np.uint64((1 << 64) - 1)))
-    assert sum(len(r[-1]) for r in rows if r[0] >= 0) == 8 * 11
+def test_substring_dedup_keeps_texts_as_they_were(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"  first\n\t{passage}  end \n"), (2, f"a  b\n{passage}\n\n  c\td  "), (3, f"x\n{passage}\n"), (4, None), (5, " as it\twas \n")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("a  b\nc\td  ", 20), 3: ("x\n\n", 20), 4: (None, 0), 5: (rows[4][1], 0)}
 
 
 def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
@@ -466,7 +498,7 @@ def test_pipeline_equals_plain_stages(spark):
     groups = brute_join(list(kept[names[1]].items()), 5, 80)
     assert set(kept[names[2]]) == {d for d, (_, c) in groups.items() if c == d}
     brute = brute_substring(kept[names[2]].items())
-    assert {d: sha(t) for d, t in kept[names[3]].items()} == {d: s for d, (n, gone, s) in brute.items() if gone == 0 or gone < n}
+    assert {d: kept_sha(t) for d, t in kept[names[3]].items()} == {d: s for d, (n, gone, s) in brute.items() if gone == 0 or gone < n}
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept[names[3]])
     assert p.run(spark, sf).count() == packed.count()
