@@ -39,9 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut words inside repeats of earlier passages; documents of which nothing stays go."""
+    """Cut words inside repeats of earlier passages; other texts stay as they are, and documents of which nothing stays go."""
     out = substring.deduplicate(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
