@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
 from sitewright.operators.dedup import distinct_edges, distinct_rings
-from sitewright.operators.spatial import components
+from sitewright.operators.graphs import components
 from sitewright.session import cut
 
 #: A curve's vertices nearer to the line than this are dropped, in metres.
@@ -22,17 +22,20 @@ CHAIN_ROWS = 50_000
 def two_core(edges: DataFrame) -> DataFrame:
     """Edges (a, b, ...) whose both ends have two edges at least, after pruning the others again and again.
 
-    Rounds are as many as the longest spike has edges; each is checkpointed.
+    Edges that meet at points of two edges alone are one chain. A chain with a
+    loose end goes as a whole, so rounds are as many as spikes branch into each
+    other, however long they are.
     """
     now = cut(edges)
-    n = now.count()
     while True:
-        ends = now.select(F.col("a").alias("p")).unionByName(now.select(F.col("b").alias("p")))
-        loose = ends.groupBy("p").count().where("count < 2").select("p")
-        now = cut(now.join(loose.withColumnRenamed("p", "a"), "a", "left_anti").join(loose.withColumnRenamed("p", "b"), "b", "left_anti").select(*edges.columns))
-        if (left := now.count()) == n:
+        ends = now.select(F.col("a").alias("p"), F.struct("a", "b").alias("e")).unionByName(now.select(F.col("b").alias("p"), F.struct("a", "b").alias("e")))
+        points = cut(ends.groupBy("p").agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1")).where("n <= 2"), "points")
+        loose = points.where("n = 1").select(F.col("e0").alias("edge")).distinct()
+        if not loose.limit(1).count():
             return now
-        n = left
+        chains = components(points, "e0", "e1")  # an edge with a loose end is linked with itself
+        spikes = chains.join(chains.join(loose.withColumnRenamed("edge", "id"), "id", "left_semi").select("component").distinct(), "component", "left_semi")
+        now = cut(now.join(spikes.select("id.a", "id.b"), ["a", "b"], "left_anti").select(*edges.columns))
 
 
 def _off_line(p: tuple, a: tuple, b: tuple) -> float:
@@ -123,17 +126,28 @@ _CURVE = "curve array<struct<x:double,y:double>>"
 
 
 def chain_groups(segments: DataFrame, by: list[str], order: list[str], decimals: int = 6) -> DataFrame:
-    """Segments (a, b) of each group as polylines; points are equal if they agree to ``decimals``."""
+    """Segments (a, b) of each group as polylines; points are equal if they agree to ``decimals``.
+
+    Lines of a group that touch nowhere are chained apart from each other, so a
+    long contour level is as many pieces of work as it has components.
+    """
     kinds = dict(segments.dtypes)
+    end = lambda p: F.struct(*by, *[F.round(F.col(f"{p}.{c}"), decimals).alias(c) for c in ("x", "y")])
+    full = cut(segments.withColumns({"na": end("a"), "nb": end("b")}), "segments")
+    bins = max(1, full.count() // CHAIN_ROWS)
+    comp = components(full, "na", "nb").withColumnRenamed("id", "na")
+    dealt = full.join(comp, "na").withColumn("bin", F.pmod(F.xxhash64(F.to_json("component")), F.lit(bins))).drop("na", "nb", "component")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pairs = [((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(pdf["a"], pdf["b"])]
-        lines = chain(pairs, key=lambda p: (round(p[0], decimals), round(p[1], decimals)))
-        rows = [(*key, [{"x": x, "y": y} for x, y in straighten(line)]) for line in lines]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for key, own in pdf.groupby(by, sort=True, dropna=False):
+            own = own.sort_values(order)
+            pairs = [((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(own["a"], own["b"])]
+            lines = chain(pairs, key=lambda p: (round(p[0], decimals), round(p[1], decimals)))
+            rows += [(*key, [{"x": x, "y": y} for x, y in straighten(line)]) for line in lines]
         return pd.DataFrame(rows, columns=[*by, "curve"])
 
-    return segments.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", {_CURVE}")
+    return dealt.groupBy("bin").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", {_CURVE}")
 
 
 def boundaries(parcels: DataFrame) -> DataFrame:

@@ -37,9 +37,13 @@ def first_named(parts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 TYPES = ("node", "way", "relation")
 
 
+def type_rank() -> Column:
+    return F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+
+
 def output_order(elements: DataFrame) -> DataFrame:
     """Nodes, ways, relations; each by id."""
-    return elements.orderBy(F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")), "id")
+    return elements.orderBy(type_rank(), "id")
 
 
 def distinct_rings(rings: DataFrame, ring: str, order: Sequence[str]) -> DataFrame:
@@ -54,17 +58,23 @@ def distinct_edges(edges: DataFrame, order: Sequence[str]) -> DataFrame:
     return sorted_.groupBy("a", "b").agg(F.min("seen").alias("first"))
 
 
-def synthetic_ids(new: DataFrame, existing_min: Column | int, size: str, order: Sequence[str], buckets: int = 256) -> DataFrame:
-    """way_id of each new way: ids run down from below all existing ones, one for the way and one for each vertex.
+def running(rows: DataFrame, amount: Column, order: Sequence[Column | str], name: str, buckets: int = 256) -> DataFrame:
+    """Rows with ``name``: the sum of ``amount`` over all rows before each one in ``order``.
 
-    The running count needs the global order. It is taken in two steps, sums of
-    ranges of the order first, so that no task sees all rows: ``repartitionByRange``
-    samples the order, and each range's window starts from the sum before it.
+    It is taken in two steps, sums of ranges of the order first, so that no task
+    sees all rows: ``repartitionByRange`` samples the order, and each range's
+    window starts from the sum before it.
     """
-    ranged = new.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.withColumn("__amount", amount).repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
     ranged = cut(ranged)  # its partition numbers must be the same for both readings, also after a lost executor
-    sums = ranged.groupBy("__part").agg(F.sum(F.col(size) + 1).alias("n"))  # a row for each of ``buckets`` ranges
+    sums = ranged.groupBy("__part").agg(F.sum("__amount").alias("n"))  # a row for each of ``buckets`` ranges
     before = sums.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    run = F.coalesce(F.sum(F.col(size) + 1).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.coalesce(F.sum("__amount").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + run).cast("long")).drop("__part", "__before", "__amount")
+
+
+def synthetic_ids(new: DataFrame, existing_min: Column | int, size: str, order: Sequence[str], buckets: int = 256) -> DataFrame:
+    """way_id of each new way: ids run down from below all existing ones, one for the way and one for each vertex."""
     start = F.least(F.lit(0), existing_min if isinstance(existing_min, Column) else F.lit(existing_min)) - 1
-    return ranged.join(F.broadcast(before), "__part").withColumn("way_id", (start - F.col("__before") - run).cast("long")).drop("__part", "__before")
+    placed = running(new, F.col(size) + 1, order, "__run", buckets)
+    return placed.withColumn("way_id", (start - F.col("__run")).cast("long")).drop("__run")

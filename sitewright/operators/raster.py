@@ -8,27 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
-from sitewright.operators.spatial import components
+from sitewright.operators.graphs import components
 
 #: Lower bounds that make a height: samples, and metres.
 MIN_SAMPLES = 3
 MIN_HEIGHT = 2.0
 
 
-def sample(points: DataFrame, pixels: DataFrame, key: Sequence[str], size: float, origin: tuple[float, float], value: str = "z") -> DataFrame:
-    """(key, value): bilinear value at each point (key, x, y) from the pixel centres around it.
+def sample(points: DataFrame, pixels: DataFrame, key: Sequence[str], size: float, origin: tuple[float, float], value: str | Sequence[str] = "z") -> DataFrame:
+    """(key, values): bilinear values at each point (key, x, y) from the pixel centres around it.
 
     A point goes to the four cells that can count; absent ones get no weight and
-    the others' weights are scaled up, so a point without any has no row. One
-    equi-join and one partial aggregate, whatever the raster's size.
+    the others' weights are scaled up, so a point without any has no row, and one
+    without any of a value has null there. One equi-join and one partial
+    aggregate for all values, whatever the raster's size.
     """
+    values = [value] if isinstance(value, str) else list(value)
     e0, n_top = origin
     fx, fy = (F.col("x") - e0) / size - 0.5, (n_top - F.col("y")) / size - 0.5
     c0, r0 = F.floor(fx), F.floor(fy)
     tx, ty = fx - c0, fy - r0
     corner = lambda i, j: F.struct((c0 + i).alias("col"), (r0 + j).alias("row"), ((tx if i else 1 - tx) * (ty if j else 1 - ty)).alias("w"))
     four = points.select(*key, F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("k")).select(*key, "k.*").where("w > 0")
-    return four.join(pixels.select("col", "row", value), ["col", "row"]).groupBy(*key).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
+    weighed = lambda v: (F.sum(F.col(v) * F.col("w")) / F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v)
+    return four.join(pixels.select("col", "row", *values), ["col", "row"]).groupBy(*key).agg(*[weighed(v) for v in values])
 
 
 def coalesced(points: DataFrame, layers: Sequence[DataFrame], key: Sequence[str], value: str = "z") -> DataFrame:

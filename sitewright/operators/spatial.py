@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import geometry as G
+from sitewright.operators.graphs import components
 from sitewright.session import cut
 
 #: Boxes over this many cells are joined by blocks of the other side instead, see ``points_in_rings``.
 OVERFLOW_CELLS = 10_000
+#: Members of a connected component that one task takes, and rows of small ones that share a task.
+COMPONENT_ROWS = 500_000
+BIN_ROWS = 50_000
 
 
 def _celled_points(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -40,8 +46,8 @@ def points_in_rings(points: DataFrame, rings: DataFrame, x: str, y: str, ring: s
         level = F.when(G.cell_span(F.col("__box"), sizes[k]) <= overflow, F.lit(k)).otherwise(level)
     boxed = rings.withColumn("__box", G.bbox(ring)).withColumn("__level", level)
     wide = F.get(F.array(*[F.lit(float(s)) for s in sizes]), F.col("__level"))
-    boxed = boxed.withColumn("__cell", F.explode(G.cells(F.col("__box"), wide))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
     used = sorted(r["__level"] for r in boxed.select("__level").distinct().collect())  # four rows at most; mostly one
+    boxed = boxed.withColumn("__cell", F.explode(G.cells(F.col("__box"), wide))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
     deal = lambda k: F.struct(F.lit(k).alias("k"), F.floor(F.col(x) / sizes[k]).alias("cx"), F.floor(F.col(y) / sizes[k]).alias("cy"))
     celled = points.withColumn("__p", deal(used[0]) if len(used) == 1 else F.explode(F.array(*[deal(k) for k in used or [0]])))
     celled = celled.withColumns({"__level": F.col("__p.k"), "cx": F.col("__p.cx"), "cy": F.col("__p.cy")}).drop("__p")
@@ -63,27 +69,67 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, left_box: str, right_bo
     return both.where(test(F.col(left_box), F.col(right_box)) & (F.col("__cx") == low("x0")) & (F.col("__cy") == low("y0"))).drop("__cx", "__cy")
 
 
-def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd test of a grid (rows of y, columns of x) with half-open edges, as ``geometry.in_ring`` has it."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    spans = (a[None, :, 1] > y[:, None]) != (b[None, :, 1] > y[:, None])
-    rise = np.where(a[:, 1] == b[:, 1], 1.0, a[:, 1] - b[:, 1])
-    at = (a[:, 0] - b[:, 0])[None, :] * (y[:, None] - b[None, :, 1]) / rise[None, :] + b[None, :, 0]
-    return ((x[None, :, None] < np.where(spans, at, -np.inf)[:, None, :]).sum(2) & 1).astype(bool)
+def _grids(low: np.ndarray, high: np.ndarray, step: float, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step and (columns, rows) of each pair's grid; a step widens until its grid has at most ``cap`` points."""
+    steps = np.full(len(low), step)
+    shape = lambda: np.floor((high - low) / steps[:, None]).astype(np.int64) + 1
+    over = shape().prod(1) > cap
+    steps[over] = np.maximum(step, np.sqrt((high - low).prod(1)[over] / cap))
+    while (over := shape().prod(1) > cap).any():
+        steps[over] *= 2**0.5
+    return steps, shape()
+
+
+def _spans(rings: list[np.ndarray], pair: np.ndarray, y: np.ndarray, x0: np.ndarray, step: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each grid row of a pair the columns inside its ring, as bounds of half-open runs, which are empty where there is none.
+
+    A point is inside if an odd number of edges cross its row to the right of
+    it, edges being half-open as ``geometry.in_ring`` has them; so runs lie
+    between the last crossing and the one before, and so on.
+    """
+    most = max(len(r) for r in rings)
+    ax, ay, bx, by = np.zeros((4, len(rings), most))
+    for i, r in enumerate(rings):
+        n, after = len(r), np.roll(r, -1, axis=0)
+        ax[i, :n], ay[i, :n], bx[i, :n], by[i, :n] = r[:, 0], r[:, 1], after[:, 0], after[:, 1]
+    ax, ay, bx, by = ax[pair], ay[pair], bx[pair], by[pair]
+    crosses = (ay > y[:, None]) != (by > y[:, None])
+    at = (ax - bx) * (y[:, None] - by) / np.where(ay == by, 1.0, ay - by) + bx
+    # columns left of a crossing, corrected for what the division rounds away
+    left = np.ceil((at - x0[:, None]) / step[:, None])
+    left -= x0[:, None] + (left - 1) * step[:, None] >= at
+    left += x0[:, None] + left * step[:, None] < at
+    left = np.where(crosses, np.clip(left, 0, columns[:, None]), -1).astype(np.int64)
+    left = -np.sort(-left, axis=1)
+    if left.shape[1] % 2:
+        left = np.pad(left, ((0, 0), (0, 1)), constant_values=-1)
+    return np.maximum(left[:, ::-1].reshape(len(left), -1, 2), 0)
+
+
+def ious(a: list[np.ndarray], b: list[np.ndarray], step: float = 0.5, cap: int = 20_000, rows: int = 100_000) -> np.ndarray:
+    """For each pair of rings the share of the grid points in either that are in both; ``rows`` grid rows are held at once."""
+    box = lambda f: np.array([f(p, q) for p, q in zip(a, b)]).reshape(-1, 2)
+    low, high = box(lambda p, q: np.minimum(p.min(0), q.min(0))), box(lambda p, q: np.maximum(p.max(0), q.max(0)))
+    steps, shape = _grids(low, high, step, cap)
+    out, start = np.zeros(len(a)), 0
+    while start < len(a):
+        end = max(start + 1, int(np.searchsorted(np.cumsum(shape[start:, 1]), rows, "right")) + start)
+        n = shape[start:end, 1]
+        pair = np.repeat(np.arange(end - start), n)
+        s, x0, columns = steps[start:end][pair], low[start:end, 0][pair], shape[start:end, 0][pair]
+        y = low[start:end, 1][pair] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * s
+        p, q = (_spans(r[start:end], pair, y, x0, s, columns) for r in (a, b))
+        both = np.maximum(0, np.minimum(p[:, :, None, 1], q[:, None, :, 1]) - np.maximum(p[:, :, None, 0], q[:, None, :, 0])).sum((1, 2))
+        each = (p[:, :, 1] - p[:, :, 0]).sum(1) + (q[:, :, 1] - q[:, :, 0]).sum(1)
+        shared = np.bincount(pair, both, end - start)
+        either = np.bincount(pair, each, end - start) - shared
+        out[start:end] = np.where(either > 0, shared / np.maximum(either, 1), 0.0)
+        start = end
+    return out
 
 
 def iou(a: np.ndarray, b: np.ndarray, step: float = 0.5, cap: int = 20_000) -> float:
-    """Share of the grid points in either ring that are in both; the step widens until the grid has at most ``cap``."""
-    low, high = np.minimum(a.min(0), b.min(0)), np.maximum(a.max(0), b.max(0))
-    count = lambda s: int(np.prod(np.floor((high - low) / s) + 1))
-    if count(step) > cap:
-        step = max(step, float(np.sqrt(np.prod(high - low) / cap)))
-        while count(step) > cap:
-            step *= 2**0.5
-    x, y = (low[k] + np.arange(int(np.floor((high[k] - low[k]) / step)) + 1) * step for k in (0, 1))
-    p, q = _inside(x, y, a), _inside(x, y, b)
-    either = (p | q).sum()
-    return float((p & q).sum() / either) if either else 0.0
+    return float(ious([a], [b], step, cap)[0])
 
 
 def _rings(column: pa.Array) -> list[np.ndarray]:
@@ -98,14 +144,16 @@ def scored(pairs: DataFrame, a: str, b: str, step: float = 0.5, cap: int = 20_00
 
     A grid of up to ``cap`` points for each pair is more than higher-order
     functions do well (they took 50 times as long), so rings go to numpy in
-    Arrow batches.
+    Arrow batches, which measures the rows of all grids of a batch at once.
     """
     rest = [c for c in pairs.columns if c not in (a, b)]
     rows = pairs.select(*rest, a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [iou(p, q, step, cap) for p, q in zip(_rings(batch.column(batch.num_columns - 2)), _rings(batch.column(batch.num_columns - 1)))]
+            if not batch.num_rows:
+                continue
+            found = ious(_rings(batch.column(batch.num_columns - 2)), _rings(batch.column(batch.num_columns - 1)), step, cap)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.float64())], names=[*rest, "iou"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*rest).schema)
@@ -120,41 +168,56 @@ def containers(subjects: DataFrame, others: DataFrame, size: float = 50.0) -> Da
     return subjects.join(first, "sid", "left")
 
 
-def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """(id, component): smallest node that pairs reach, by passing the least label and jumping along it.
+def _by_component(nodes: DataFrame, links: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> tuple[DataFrame, DataFrame]:
+    """``run`` over whole components of at most COMPONENT_ROWS rows, many of them to a task, and the rows of larger ones.
 
-    Each round is written down, so lineage stays short and a lost executor costs
-    one round; labels travel twice as far with every one.
+    ``nodes``: rows with ``node``; ``links``: (a, b) of such nodes.
     """
-    edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    now = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"), F.lit(True).alias("moved"))
-    while True:
-        now = cut(now, "labels")
-        if not now.where("moved").limit(1).count():
-            return now.select("id", F.col("label").alias("component"))
-        near = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = now.select("id", "label").join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("next"))
-        jump = now.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        now = new.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
+    comp = components(links, "a", "b").withColumnRenamed("id", "node")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
+    placed = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(placed.join(sizes, "component", "left"), "components")
+    small = F.coalesce("members", F.lit(1)) <= COMPONENT_ROWS
+    bins = max(1, placed.count() // BIN_ROWS)
+    done = placed.where(small).withColumn("bin", F.pmod(F.xxhash64(F.to_json(F.struct("component"))), F.lit(bins)))
+    return done.drop("node", "component", "members").groupBy("bin").applyInPandas(run, schema), placed.where(~small).drop("node", "component", "members")
 
 
 def greedy_matches(scored_pairs: DataFrame) -> DataFrame:
     """One-to-one pairs of (i, j, iou), as taken by falling iou, then i, then j.
 
-    A pair that comes first for both of its rows is taken by that order whatever
-    happens elsewhere; so every round takes all of those at once and drops their
-    rows. No task sees more than partial minima, and rounds are few.
+    Rows that no chain of pairs connects don't matter to each other, so each
+    connected component is matched by itself, in order. One beyond
+    COMPONENT_ROWS goes in rounds: a pair that comes first for both of its rows
+    is taken by that order whatever happens elsewhere, so every round takes all
+    of those at once and drops their rows.
     """
-    left, taken = cut(scored_pairs.select("i", "j", "iou"), "pairs"), None
+    pairs = cut(scored_pairs.select("i", "j", "iou"), "pairs")
+    kinds = dict(pairs.dtypes)
+    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("at"))
+    same = kinds["i"] == kinds["j"]
+    name = (lambda side, c: end(side, c)) if same else (lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).cast("string").alias("at")))
+    nodes = pairs.withColumn("node", name(0, "i"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["iou", "i", "j"], ascending=[False, True, True], kind="stable")
+        seen_i, seen_j, keep = set(), set(), []
+        for i, j in zip(pdf["i"], pdf["j"]):
+            keep.append(i not in seen_i and j not in seen_j)
+            if keep[-1]:
+                seen_i.add(i)
+                seen_j.add(j)
+        return pdf.loc[keep, ["i", "j", "iou"]]
+
+    taken, left = _by_component(nodes, pairs.select(name(0, "i").alias("a"), name(1, "j").alias("b")), run, f"i {kinds['i']}, j {kinds['j']}, iou double")
     key = F.struct((-F.col("iou")).alias("s"), "i", "j")
     while left.limit(1).count():
         best_i, best_j = left.groupBy("i").agg(F.min(key).alias("bi")), left.groupBy("j").agg(F.min(key).alias("bj"))
         both = best_i.join(best_j, F.col("bi") == F.col("bj")).select("bi.i", "bi.j", (-F.col("bi.s")).alias("iou"))
         both = cut(both, "taken")
-        taken = both if taken is None else taken.unionByName(both)
+        taken = taken.unionByName(both)
         left = cut(left.join(both.select("i"), "i", "left_anti").join(both.select("j"), "j", "left_anti").select("i", "j", "iou"), "pairs")
-    return left if taken is None else taken
+    return taken
 
 
 def match(ours: DataFrame, theirs: DataFrame, floor: float = 0.1, size: float = 50.0, step: float = 0.5) -> DataFrame:
@@ -171,7 +234,8 @@ def fuse(base: DataFrame, candidates: DataFrame, size: float) -> DataFrame:
     One is refused if its representative point lies in an accepted ring or an
     accepted one's point lies in it. That relation is symmetric, so after the
     ones that meet the base are gone, what is left is the first maximal set
-    without conflicts, found in rounds: whoever comes before all its neighbours
+    without conflicts, in each connected component by itself. A component beyond
+    COMPONENT_ROWS goes in rounds: whoever comes before all its neighbours
     enters, and its neighbours go.
     """
     with_point = lambda df: df.withColumn("p", G.representative_point("ring")).withColumns({"px": F.col("p.x"), "py": F.col("p.y")}).drop("p")
@@ -182,17 +246,34 @@ def fuse(base: DataFrame, candidates: DataFrame, size: float) -> DataFrame:
     c = cut(c.join(hit.distinct(), "ord", "left_anti"))
     conflicts = points_in_rings(c.select("ord", "px", "py"), c.select(F.col("ord").alias("ord2"), F.col("ring").alias("other")), "px", "py", "other", size).where("ord <> ord2")
     conflicts = conflicts.select("ord", "ord2").unionByName(conflicts.select(F.col("ord2").alias("ord"), F.col("ord").alias("ord2"))).distinct()
-    conflicts, undecided, taken = cut(conflicts), c.select("ord"), None
-    while True:
+    conflicts = cut(conflicts)
+    kind = dict(conflicts.dtypes)["ord"]
+    alone = c.select("ord").join(conflicts, "ord", "left_anti")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = defaultdict(list)
+        order = lambda o: tuple(o) if isinstance(o, Row) else tuple(o.values()) if isinstance(o, dict) else o
+        named = {}
+        for x, y in zip(pdf["ord"], pdf["ord2"]):
+            near[order(x)].append(order(y))
+            named[order(x)] = x
+        taken: set = set()
+        for x in sorted(near):
+            if not any(y in taken for y in near[x]):
+                taken.add(x)
+        return pd.DataFrame({"ord": [named[x] for x in sorted(taken)]})
+
+    taken, conflicts = _by_component(conflicts.withColumn("node", F.col("ord")), conflicts.select(F.col("ord").alias("a"), F.col("ord2").alias("b")), run, f"ord {kind}")
+    taken = cut(taken.unionByName(alone))
+    undecided = conflicts.select("ord").distinct()
+    while undecided.limit(1).count():
         near = conflicts.groupBy("ord").agg(F.min("ord2").alias("least"))
-        enter = undecided.join(near, "ord", "left").where("least IS NULL OR ord < least").select("ord")
-        enter = cut(enter)
-        taken = enter if taken is None else cut(taken.unionByName(enter))
+        enter = cut(undecided.join(near, "ord", "left").where("least IS NULL OR ord < least").select("ord"))
+        taken = taken.unionByName(enter)
         gone = enter.unionByName(conflicts.join(enter.withColumnRenamed("ord", "ord2"), "ord2", "left_semi").select("ord")).distinct()
         undecided = cut(undecided.join(gone, "ord", "left_anti"))
-        if undecided.limit(1).count() == 0:
-            return candidates.join(taken, "ord", "left_semi")
         conflicts = cut(conflicts.join(gone, "ord", "left_anti").join(gone.withColumnRenamed("ord", "ord2"), "ord2", "left_anti").select("ord", "ord2"))
+    return candidates.join(taken, "ord", "left_semi")
 
 
 def resolve_ways(ways: DataFrame, nodes: DataFrame, value: Callable[[], Column], least: int = 3) -> DataFrame:

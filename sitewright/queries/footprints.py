@@ -56,15 +56,8 @@ SELECT type, id, row_number() OVER (ORDER BY CASE type WHEN 'node' THEN 1 WHEN '
 FROM (SELECT DISTINCT type, id FROM fx_osm)
 """))
 def osm_output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     found = dedup.latest(view(spark, sf_dir, "fx_osm"), ["type", "id"], "version", ["part_ord", "supp_ord", "quantity"]).select("type", "id")
-    rank = F.array_position(F.array(*[F.lit(t) for t in dedup.TYPES]), F.col("type"))
-    counts = found.groupBy("type").count().select("type", "count")
-    before = Window.orderBy(F.array_position(F.array(*[F.lit(t) for t in dedup.TYPES]), F.col("type"))).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("type", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # three rows
-    ranged = found.select("type", "id", rank.alias("rank"))
-    return ranged.join(F.broadcast(starts), "type").select("type", "id", (F.col("start") + F.row_number().over(Window.partitionBy("type").orderBy("id"))).alias("place"))
+    return dedup.running(found, F.lit(1), [dedup.type_rank(), F.col("id")], "place").select("type", "id", (F.col("place") + 1).alias("place"))
 
 
 @query(with_views("""

@@ -37,10 +37,8 @@ s AS (SELECT fid, x, y, sum(CAST(dtm AS DOUBLE) * w) / sum(w) AS dtm, sum(CAST(d
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, p = raster.footprint_points(boxes(spark, sf_dir)), pixels(spark, sf_dir)
-    low = raster.sample(points.withColumns({"px": F.col("x"), "py": F.col("y")}), p.withColumn("z", F.col("dtm")), ["fid", "px", "py"], 1.0, ORIGIN).withColumnRenamed("z", "dtm")
-    high = raster.sample(points.withColumns({"px": F.col("x"), "py": F.col("y")}), p.withColumn("z", F.col("dsm")), ["fid", "px", "py"], 1.0, ORIGIN).withColumnRenamed("z", "dsm")
-    return low.join(high, ["fid", "px", "py"])
+    points = raster.footprint_points(boxes(spark, sf_dir)).withColumns({"px": F.col("x"), "py": F.col("y")})
+    return raster.sample(points, pixels(spark, sf_dir), ["fid", "px", "py"], 1.0, ORIGIN, ["dtm", "dsm"])
 
 
 @query(with_views(_SAMPLES + "SELECT fid, count(*) AS samples, round(sum(dtm), 3) AS sum_dtm, round(sum(dsm), 3) AS sum_dsm FROM s GROUP BY fid"))
