@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from sitewright import session
 from sitewright.session import delete_cuts, ship
 
-#: Rows to an Arrow batch; texts are long, and a worker holds a batch or two at once.
+#: Rows to an Arrow batch, and bytes; texts are long, and a worker holds a batch or two at once.
 BATCH_ROWS = "2000"
+BATCH_BYTES = str(16 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS where it has Spark's default."""
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where it has Spark's default."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

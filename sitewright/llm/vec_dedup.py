@@ -2,11 +2,13 @@
 
 Equal vectors of one label are first folded into their smallest row. Each
 folded vector is rotated by seeded sign flips and fast Hadamard transforms; the
-nearest signed axis is its hash, two of them make a bucket of a table, and the
-axes that were nearly as close give further buckets. A bucket is searched as a
-whole or, beyond TILE_ROWS, as pairs of tiles of bounded size; each pair in it
-is verified in double precision and counted only in the first bucket that the
-two share. Tasks return counts and a spanning set of links, never all pairs.
+nearest signed axis is its hash, AXES of them make a bucket of a table, and the
+axes that were nearly as close give further buckets. Only ids are dealt to find
+the buckets that several vectors share; vectors follow to these alone. A bucket
+is searched as a whole or, beyond TILE_ROWS, as pairs of tiles of bounded size;
+each pair in it is verified in double precision and counted only in the first
+bucket that the two share. Tasks return counts and a spanning set of links,
+never all pairs.
 
 Results: a vector that is null, empty, zero or has null or non-finite parts, or
 whose label is null, links with nothing; vectors of different lengths do not
@@ -17,20 +19,26 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut
+from sitewright.llm.common import cut, partitions
 from sitewright.llm.components import components
 
-TABLES = 8
-PROBES = 4
+TABLES = 6
+AXES = 3
+#: Buckets of a vector in each table.
+PROBES = 3
 TILE_ROWS = 2_000
 #: Rows to a bin of small buckets, for all labels together.
-BIN_ROWS = 40_000
+BIN_ROWS = 20_000
+#: Rows of a bucket from which its pairs come from a matrix product.
+BLOCK_ROWS = 32
 SIMILAR = 0.98
 
 
@@ -64,24 +72,30 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.nda
     width = 1 << max(0, int(x.shape[1] - 1).bit_length())
     pad = np.zeros((len(x), width))
     pad[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    second = np.array(list(product((0, 1), repeat=AXES)))  # which rotations give their second axis
     out = []
     for t in range(tables):
-        (a, gap_a), (b, gap_b) = _axes(pad, 2 * t), _axes(pad, 2 * t + 1)
-        keys = np.stack([t * 4 * width * width + a[:, i] * 2 * width + b[:, j] for i, j in ((0, 0), (1, 0), (0, 1), (1, 1))], 1)
-        cost = np.stack([np.zeros(len(x)), gap_a, gap_b, gap_a + gap_b], 1)
+        keys, cost = np.full((len(x), len(second)), t, np.int64), np.zeros((len(x), len(second)))
+        for i in range(AXES):
+            axes, gap = _axes(pad, AXES * t + i)
+            keys = keys * (2 * width) + axes[:, second[:, i]]
+            cost += second[:, i] * gap[:, None]
         out.append(np.take_along_axis(keys, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1))
     return np.concatenate(out, 1)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
+def _fine() -> Column:
     v = F.col("embedding")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(v.isNotNull() & fine)
+    return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.where(_fine())
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     flat = column.flatten()
-    return np.asarray(flat, np.float64).reshape(len(column), -1)
+    return np.asarray(flat, kind).reshape(len(column), -1)
 
 
 def _settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,9 +119,14 @@ def _near_in_tile(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, cols: np.nd
         yield r[a], cols[b]
 
 
-def _near_in_runs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places within each run of equal buckets, one distance after the other."""
-    at, step = np.arange(len(bucket)), 1
+def _near_in_buckets(x: np.ndarray, norm: np.ndarray, bucket: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within each run of equal buckets: all pairs of short runs, one distance after the other, and those of long ones that may be similar."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    size = np.diff(np.append(first, len(bucket)))
+    for a, n in zip(first[size >= BLOCK_ROWS].tolist(), size[size >= BLOCK_ROWS].tolist()):
+        for p, q in _near_in_tile(x, norm, np.arange(a, a + n), np.arange(a, a + n), similar):
+            yield p[p < q], q[p < q]
+    at, step = np.flatnonzero(np.repeat(size < BLOCK_ROWS, size)), 1
     while len(at):
         at = at[at + step < len(bucket)]
         at = at[bucket[at] == bucket[at + step]]
@@ -115,16 +134,26 @@ def _near_in_runs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         step += 1
 
 
-def _links(table: pa.Table, similar: float) -> pa.Table:
+def _links(table: pa.Table, similar: float, tables: int) -> pa.Table:
     """Counts and spanning links of one pair of tiles, or of the small buckets that share a bin."""
-    table = table.sort_by([("bucket", "ascending"), ("rep", "ascending")])
+    table = table.sort_by([("dim", "ascending"), ("bucket", "ascending"), ("label", "ascending"), ("rep", "ascending")])
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    rep, many, tile, bucket = (np.asarray(table.column(c)) for c in ("rep", "many", "tile", "bucket"))
+    tiled = table.column("bin")[0].as_py() is None
+    parts = []
+    for dim in pc.unique(table.column("dim")).to_pylist():
+        t = table.filter(pc.equal(table.column("dim"), dim))
+        parts.append(_links_of(t, similar, tables, tiled, i, j))
+    return pa.concat_tables(parts)
+
+
+def _links_of(table: pa.Table, similar: float, tables: int, tiled: bool, i: int, j: int) -> pa.Table:
+    rep, many, tile, bucket, label = (np.asarray(table.column(c)) for c in ("rep", "many", "tile", "bucket", "label"))
+    group = np.cumsum(np.append(True, (bucket[1:] != bucket[:-1]) | (label[1:] != label[:-1])))
     x = _matrix(table.column("embedding").combine_chunks())
-    own = _matrix(table.column("buckets").combine_chunks()).astype(np.int64)
+    own = _matrix(table.column("buckets").combine_chunks(), np.int64)
+    own = own.reshape(len(own), tables, -1)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    tiled = table.column("bin")[0].as_py() is None
-    near = _near_in_tile(x, norm, np.flatnonzero(tile == i), np.flatnonzero(tile == j), similar) if tiled else _near_in_runs(bucket)
+    near = _near_in_tile(x, norm, np.flatnonzero(tile == i), np.flatnonzero(tile == j), similar) if tiled else _near_in_buckets(x, norm, group, similar)
     left, right, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(rep), np.int64)
     for a, b in near:
         if tiled and i == j:
@@ -135,7 +164,8 @@ def _links(table: pa.Table, similar: float) -> pa.Table:
             p, q = p[good], q[good]
             left.append(p)
             right.append(q)
-            shared = np.where((own[p][:, :, None] == own[q][:, None, :]).any(2), own[p], np.iinfo(np.int64).max).min(1)
+            both = (own[p][:, :, :, None] == own[q][:, :, None, :]).any(3)  # a bucket's number begins with its table's
+            shared = np.where(both, own[p], np.iinfo(np.int64).max).min((1, 2))
             p, q = p[shared == bucket[p]], q[shared == bucket[p]]
             np.add.at(links, p, many[q])
             np.add.at(links, q, many[p])
@@ -149,9 +179,11 @@ def _links(table: pa.Table, similar: float) -> pa.Table:
 def deduplicate(vectors: DataFrame, similar: float = SIMILAR, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
-    named = _usable(rows.where("label IS NOT NULL")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit("second"), "embedding")})
+    hashes = lambda other: {"h1": F.when(other, F.xxhash64("vec_id")).otherwise(F.xxhash64("embedding")), "h2": F.when(~other, F.xxhash64(F.lit("second"), "embedding"))}
+    unfit = ~(F.coalesce(_fine(), F.lit(False)) & F.col("label").isNotNull())
+    rows = rows.withColumns(hashes(unfit))
     same = ["label", "h1", "h2"]
-    reps = cut(named.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.min_by("embedding", "vec_id").alias("embedding")), "vectors")
+    reps = rows.where("h2 IS NOT NULL").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.min_by("embedding", "vec_id").alias("embedding")).where("rep IS NOT NULL")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,28 +195,25 @@ def deduplicate(vectors: DataFrame, similar: float = SIMILAR, tables: int = TABL
                 keys = pa.array(list(buckets(x, tables, probes)), pa.list_(pa.int64()))
                 yield from part.append_column("buckets", keys).append_column("dim", pa.array(np.full(len(x), d, np.int32))).to_batches()
 
-    kinds = "label {}, rep long, many long, embedding {}, buckets array<long>, dim int".format(*(dict(rows.dtypes)[c] for c in ("label", "embedding")))
-    keyed = reps.select("label", "rep", "many", "embedding").mapInArrow(hashed, kinds)
-    keyed = cut(keyed, "hashed")
-    bins = max(1, keyed.count() * tables * probes // BIN_ROWS)
-    keyed = keyed.withColumn("bucket", F.explode("buckets"))
+    kinds = "label {}, h1 long, h2 long, rep long, many long, embedding {}, buckets array<long>, dim int".format(*(dict(rows.dtypes)[c] for c in ("label", "embedding")))
+    reps = cut(reps.select(*same, "rep", "many", "embedding").mapInArrow(hashed, kinds), "vectors")
     bucket = ["label", "dim", "bucket"]
-    sizes = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = keyed.join(sizes, bucket).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    ids = reps.select("label", "dim", "rep", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    sizes = ids.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(ids.join(sizes, bucket).withColumn("tiles", F.ceil(F.col("n") / TILE_ROWS).cast("int")), "met")
+    bins = max(partitions(vectors), met.count() // BIN_ROWS)
+    met = met.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = keyed.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
+    met = met.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
     hot = F.col("tiles") > 1  # such a bucket has tasks of its own, the others share bins
-    tiled = tiled.withColumns({"own": F.when(hot, F.col("bucket")), "bin": F.when(~hot, F.pmod(F.xxhash64("bucket"), F.lit(bins)))})
-    found = tiled.groupBy("label", "dim", "own", "bin", "i", "j").applyInArrow(lambda t: _links(t, similar), "rep long, links long, root long")
+    met = met.withColumns({"own": F.when(hot, F.xxhash64(*bucket)), "bin": F.when(~hot, F.pmod(F.xxhash64(*bucket), F.lit(bins)))}).drop("tiles", "n")
+    met = met.join(reps.select("rep", "many", "embedding", "buckets"), "rep")
+    found = met.groupBy("own", "bin", "i", "j").applyInArrow(lambda t: _links(t, similar, tables), "rep long, links long, root long")
     found = cut(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     reps = reps.select(*same, "rep", "many").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     reps = reps.select(*same, (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = rows.withColumns({
-        "fine": F.col("label").isNotNull() & F.col("embedding").isNotNull(),
-        "h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit("second"), "embedding"),
-    }).drop("embedding")
-    out = named.join(reps, same, "left")
+    out = rows.drop("embedding").join(reps, same, "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
