@@ -15,7 +15,7 @@ into memory, and each group's subtree is built from its words alone.
    and ends there. The suffixes of the others are sorted by their words; where
    neighbours agree over WINDOW words, they are leaves below one deep inner node,
    a maximal repeat, and all but the earliest leaf are marked.
-3. A bin that passes CHUNK_BYTES is sorted a chunk at a time, and what no chunk
+3. A bin that passes CHUNK_WORDS is sorted a chunk at a time, and what no chunk
    could decide goes to another round with longer prefixes: the words that all
    of 7, then 4 neighbouring windows share, and at last whole windows. There the
    leaves of a group are equal, and every round leaves one for each chunk. A
@@ -42,49 +42,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut
-from sitewright.llm.textkernel import Words, mix, slices, trim
+from sitewright.llm.common import cut, partitions
+from sitewright.llm.textkernel import Words, mix, ranges, slices, trim
 
 WINDOW = 20
 GRAM = 8
 #: For each level the number of neighbouring windows whose common words are the prefix.
 LEVELS = (WINDOW - GRAM + 1, 7, 4, 1)
-#: Bytes of text to a bin, as expected; entries overlap and take 3 to 4 times as many.
+#: Bytes of text to a bin, as expected; entries overlap and hold 3 to 4 times as many words.
 BIN_BYTES = 2_000_000
-#: Bytes of entries that are sorted at once.
-CHUNK_BYTES = 24_000_000
-#: Bytes of entries that a worker gathers before it deals them out.
-HELD_BYTES = 24_000_000
+#: Words of entries that are sorted at once, and that a worker gathers before it deals them out.
+CHUNK_WORDS = 3_000_000
+HELD_WORDS = 8_000_000
 #: Bytes of the sample that finds hot prefixes, as expected, and the least entries there that make one.
 SAMPLE_BYTES = 16_000_000
 HOT_ENTRIES = 64
 #: Bins of this number and above hold parts of hot prefixes.
 _HOT_BIN = 1 << 40
 _LAST = np.iinfo(np.int64).max
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 class Entries(NamedTuple):
-    """Runs of neighbouring windows with one prefix: ``many`` windows from word ``start`` of ``doc``, the first one ``off`` words before the prefix's anchor."""
+    """Runs of neighbouring windows with one prefix.
+
+    ``many`` windows from word ``start`` of ``doc``, the first one ``off`` words
+    before the prefix's anchor; ``words``: places in ``vocab`` of the words that
+    they cover, one entry after the other.
+    """
 
     key: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     off: np.ndarray
     many: np.ndarray
-    text: list[bytes]
+    words: np.ndarray
+    vocab: list[bytes]
+
+    def first(self) -> np.ndarray:
+        """Where each entry's words begin, with one more place at the end."""
+        return np.concatenate([[0], np.cumsum(self.many.astype(np.int64) + (WINDOW - 1))])
 
     def take(self, at: np.ndarray) -> Entries:
-        return Entries(*(x[at] for x in self[:-1]), [self.text[i] for i in at.tolist()])
+        first = self.first()
+        return Entries(*(x[at] for x in self[:5]), self.words[_flat(first[at], first[at + 1])], self.vocab)
 
 
 _KINDS = ("<u8", "<i8", "<u4", "u1", "u1")
 
 
+def _flat(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts, n)
+
+
 def _joined(parts: list[Entries]) -> Entries:
-    if not parts:
-        return Entries(*(np.zeros(0, k) for k in _KINDS), [])
-    return Entries(*(np.concatenate([p[i] for p in parts]).astype(k) for i, k in enumerate(_KINDS)), [t for p in parts for t in p.text])
+    """Entries over one vocabulary, in which equal words have one place."""
+    known: dict[bytes, int] = {}
+    words = [np.array([known.setdefault(w, len(known)) for w in p.vocab], np.int32)[p.words] for p in parts]
+    cols = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(k) for i, k in enumerate(_KINDS)]
+    return Entries(*cols, np.concatenate([*words, np.zeros(0, np.int32)]), list(known))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,12 +118,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window's first word the place of its anchor, and the hash of the anchor's words."""
+    """For each window's first word the place of its anchor, and a hash of the anchor's words."""
     gram = np.full(len(words.hash), ~np.uint64(0))
     places, h = words.grams(GRAM)
     gram[places] = h
     anchor = _least(gram, WINDOW - GRAM + 1)[at]
-    return anchor, gram[anchor]
+    return anchor, mix(gram[anchor])  # the least ones are small numbers, which would share few bins
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -132,6 +150,22 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes]]:
     return names.tolist(), [data[a:b] for a, b in zip(at, at[1:])]
 
 
+def _numbered(words: Words) -> tuple[np.ndarray, list[bytes]]:
+    """A place for each word, and the word at each place; equal places are equal words."""
+    _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+    size, lead = words.end - words.start, first[place]
+    good = bool((size == size[lead]).all())
+    buf = np.frombuffer(words.data, np.uint8)
+    for at in range(0, len(size) if good else 0, 100_000):
+        a, b, n = words.start[at : at + 100_000], words.start[lead[at : at + 100_000]], size[at : at + 100_000]
+        good = good and bool((buf[_flat(a, a + n)] == buf[_flat(b, b + n)]).all())
+    if good:
+        return place.astype(np.int32), [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+    known: dict[bytes, int] = {}  # two words with one hash
+    places = [known.setdefault(words.data[a:b], len(known)) for a, b in zip(words.start.tolist(), words.end.tolist())]
+    return np.array(places, np.int32), list(known)
+
+
 def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[list[int], list[bytes]]]:
     """A slice's entries without the windows that repeat earlier ones of the slice, and the spans of these."""
     order = np.argsort(doc, kind="stable")
@@ -140,10 +174,7 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
     at, full = words.grams(WINDOW)
     if not len(at):
         return _joined([]), ([], [])
-    plain = b" ".join(words.data.split())  # at the same six characters
-    size = words.end - words.start
-    begin = np.cumsum(size + 1) - size - 1
-    end = begin + size
+    place, vocab = _numbered(words)
     of = words.doc()[at]
     start = at - words.first[of]
 
@@ -156,8 +187,8 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
     if len(dup):  # runs of windows that repeat one passage; words decide
         first = np.flatnonzero(_heads(dup - np.arange(len(dup)), lead[dup] - np.arange(len(dup)), of[dup], of[lead[dup]]))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(dup)]):
-            i, j, n = at[dup[a]], at[lead[dup[a]]], b - a + WINDOW - 2
-            if plain[begin[i] : end[i + n]] != plain[begin[j] : end[j + n]]:
+            i, j, n = at[dup[a]], at[lead[dup[a]]], b - a + WINDOW - 1
+            if (place[i : i + n] != place[j : j + n]).any():
                 again[dup[a:b]] = False
     mark = np.flatnonzero(again & ((doc[of] != doc[of[lead]]) | (start != start[lead])))
     mark = mark[np.lexsort((start[mark], doc[of[mark]]))]
@@ -167,13 +198,16 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
     first = np.flatnonzero(_heads(anchor[send], send - np.arange(len(send)), of[send]))
     many = np.diff(np.append(first, len(send)))
     e = send[first]
-    a, b = begin[at[e]].tolist(), end[at[e] + many + WINDOW - 2].tolist()
-    entries = Entries(key[e], doc[of[e]], start[e], anchor[e] - at[e], many, [plain[x:y] for x, y in zip(a, b)])
+    entries = Entries(key[e], doc[of[e]], start[e], anchor[e] - at[e], many, place[_flat(at[e], at[e] + many + WINDOW - 1)], vocab)
     return entries, _spans(doc[of[mark]], start[mark])
 
 
-def _dealt(entries: Entries, bins: int, hot: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-    """(bin, compressed entries, their size) for each bin; ``hot``: sorted keys that are dealt to ``tiles`` bins each."""
+#: Columns as they are sent: the low half of a key tells the prefixes of a bin apart well enough to drop most leaves.
+_SENT = ("<u4", *_KINDS[1:])
+
+
+def _dealt(entries: Entries, bins: int, hot: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
+    """(bin, compressed entries, their size and words) for each bin; ``hot``: sorted keys that are dealt to ``tiles`` bins each."""
     to = (entries.key // np.uint64(((1 << 64) - 1) // bins)).astype(np.int64)
     if len(hot):
         place = np.minimum(np.searchsorted(hot, entries.key), len(hot) - 1)
@@ -181,61 +215,50 @@ def _dealt(entries: Entries, bins: int, hot: np.ndarray, tiles: np.ndarray) -> I
         salt = mix(entries.doc.astype(np.uint64) ^ np.uint64(0x5A17)) % tiles[place].astype(np.uint64)
         own = mix(entries.key + mix(salt + np.uint64(1))) >> np.uint64(24)
         to = np.where(is_hot, own.astype(np.int64) + _HOT_BIN, to)
-    order = np.lexsort((entries.key, to))
+    order = np.lexsort((entries.start, entries.doc, to))
     entries, to = entries.take(order), to[order]
     first = np.flatnonzero(_heads(to)).tolist() if len(to) else []
+    begin = entries.first()
     for a, b in zip(first, [*first[1:], len(to)]):
-        text = entries.text[a:b]
-        cols = [x[a:b].astype(k).tobytes() for x, k in zip(entries[:-1], _KINDS)]
-        raw = b"".join([np.uint32(b - a).tobytes(), *cols, np.array([len(t) for t in text], "<u4").tobytes(), *text])
-        yield int(to[a]), _ZSTD.compress(raw, asbytes=True), len(raw)
+        used, words, times = np.unique(entries.words[begin[a] : begin[b]], return_inverse=True, return_counts=True)
+        by_use = np.argsort(-times, kind="stable")  # small numbers for common words
+        number = np.empty(len(used), "<u4")
+        number[by_use] = np.arange(len(used), dtype="<u4")
+        planes = np.ascontiguousarray(number[words].view(np.uint8).reshape(-1, 4).T)
+        vocab = b" ".join([entries.vocab[i] for i in used[by_use].tolist()])  # no word holds a blank
+        cols = [x[a:b].astype(k).tobytes() for x, k in zip(entries[:5], _SENT)]
+        sizes = np.array([b - a, len(words), len(vocab)], "<u4").tobytes()
+        raw = b"".join([sizes, *cols, planes.tobytes(), vocab])
+        yield int(to[a]), _ZSTD.compress(raw, asbytes=True), len(raw), len(words)
 
 
 def _opened(data: pa.Buffer, size: int) -> Entries:
     raw = _ZSTD.decompress(data, size, asbytes=True)
-    n, at, cols = int(np.frombuffer(raw, "<u4", 1)[0]), 4, []
-    for k in (*_KINDS, "<u4"):
+    (n, words, vocab), at, cols = np.frombuffer(raw, "<u4", 3).tolist(), 12, []
+    for k in _SENT:
         cols.append(np.frombuffer(raw, k, n, at))
         at += n * np.dtype(k).itemsize
-    ends = (at + np.cumsum(cols.pop().astype(np.int64))).tolist()
-    return Entries(*cols, [raw[a:b] for a, b in zip([at, *ends], ends)])
-
-
-def _ranks(words: Words) -> np.ndarray:
-    """A number for each word, the same for equal words only."""
-    _, first, rank = np.unique(words.hash, return_index=True, return_inverse=True)
-    size, lead = words.end - words.start, first[rank]
-    good = bool((size == size[lead]).all())
-    buf = np.frombuffer(words.data, np.uint8)
-    for at in range(0, len(size) if good else 0, 100_000):
-        n = size[at : at + 100_000]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        good = good and bool((buf[np.repeat(words.start[at : at + 100_000], n) + within] == buf[np.repeat(words.start[lead[at : at + 100_000]], n) + within]).all())
-    if good:
-        return rank
-    known: dict[bytes, int] = {}  # two words with one hash
-    return np.array([known.setdefault(words.data[a:b], len(known)) for a, b in zip(words.start.tolist(), words.end.tolist())], np.int64)
+    planes = np.frombuffer(raw, np.uint8, 4 * words, at).reshape(4, -1)
+    return Entries(*cols, np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int32), raw[at + 4 * words :].split(b" ") if vocab else [])
 
 
 class Subtree:
     """The suffixes of some entries in the order of their words."""
 
     def __init__(self, entries: Entries):
-        at = np.lexsort((entries.start, entries.doc))
-        self.entries = entries.take(at)
-        self.words = Words(self.entries.text)
+        self.entries = entries.take(np.lexsort((entries.start, entries.doc)))
         many = self.entries.many.astype(np.int64)
         self.entry = np.repeat(np.arange(len(many)), many)
-        self.nth = np.arange(len(self.entry)) - np.repeat(np.cumsum(many) - many, many)
-        self.at = self.words.first[self.entry] + self.nth
+        self.nth = _flat(np.zeros_like(many), many)
+        self.at = self.entries.first()[self.entry] + self.nth
         self.doc, self.start = self.entries.doc[self.entry], self.entries.start[self.entry].astype(np.int64) + self.nth
-        rank = _ranks(self.words).astype(np.uint64)
-        bits = max(1, int(rank.max(initial=0)).bit_length())
+        words = self.entries.words.astype(np.uint64)
+        bits = max(1, len(self.entries.vocab).bit_length())
         columns = []
         for i in range(0, WINDOW, 63 // bits):  # several words to a number
             x = np.zeros(len(self.at), np.uint64)
             for j in range(i, min(WINDOW, i + 63 // bits)):
-                x = (x << np.uint64(bits)) | rank[self.at + j]
+                x = (x << np.uint64(bits)) | words[self.at + j]
             columns.append(x)
         # suffixes stand by document and start, so a node's leaves come in that order
         by_place = np.lexsort((self.start, self.doc))
@@ -244,7 +267,7 @@ class Subtree:
         self.node = _heads(*(c[self.order] for c in columns)) if len(self.order) else np.zeros(0, bool)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix, whether an earlier leaf of its node is another place, and whether it isn't the node's first leaf."""
+        """For each suffix, whether its node's first leaf is another place, and whether it isn't that leaf."""
         lead = np.empty(len(self.order), np.int64)
         lead[self.order] = self.order[np.maximum.accumulate(np.where(self.node, np.arange(len(self.order)), 0))]
         return (self.doc != self.doc[lead]) | (self.start != self.start[lead]), lead != np.arange(len(lead))
@@ -258,9 +281,10 @@ class Subtree:
         many = np.diff(np.append(first, len(left)))
         e, low = left[first], part[first] * width
         anchor = self.at[e] + off[first]
-        key = self.words.runs(anchor - low, anchor - np.minimum(low + width, LEVELS[0]) + 1 + WINDOW)
-        a, b = self.words.start[self.at[e]].tolist(), self.words.end[self.at[e] + many + WINDOW - 2].tolist()
-        return Entries(key, self.doc[e], self.start[e], off[first], many, [self.words.data[x:y] for x, y in zip(a, b)])
+        hashes = Words([b" ".join(self.entries.vocab)]).hash[self.entries.words]
+        key = ranges(hashes, anchor - low, anchor - np.minimum(low + width, LEVELS[0]) + 1 + WINDOW, "word")
+        words = self.entries.words[_flat(self.at[e], self.at[e] + many + WINDOW - 1)]
+        return Entries(key, self.doc[e], self.start[e], off[first], many, words, self.entries.vocab)
 
 
 _OUT = "doc long, spans binary, key long, start long, off int, many int, text binary"
@@ -274,8 +298,17 @@ def _marks(names: list[int], spans: list[bytes]) -> pa.RecordBatch:
 
 
 def _undecided(e: Entries) -> pa.RecordBatch:
-    cols = [pa.array(e.key.view(np.int64)), pa.array(e.start, pa.int64()), pa.array(e.off, pa.int32()), pa.array(e.many, pa.int32()), pa.array(e.text, pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(e.doc, pa.int64()), pa.nulls(len(e.text), pa.binary()), *cols], names=_OUT_NAMES)
+    first, words = e.first().tolist(), [e.vocab[i] for i in e.words.tolist()]
+    text = [b" ".join(words[a:b]) for a, b in zip(first, first[1:])]
+    cols = [pa.array(e.key.view(np.int64)), pa.array(e.start, pa.int64()), pa.array(e.off, pa.int32()), pa.array(e.many, pa.int32()), pa.array(text, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(e.doc, pa.int64()), pa.nulls(len(text), pa.binary()), *cols], names=_OUT_NAMES)
+
+
+def _decided_later(batch: pa.RecordBatch) -> Entries:
+    """What ``_undecided`` wrote."""
+    cols = [np.asarray(batch.column(i)) for i in range(5)]
+    words, vocab = _numbered(Words(batch.column(5).to_pylist()))
+    return Entries(cols[0].view(np.uint64), *cols[1:], words, vocab)
 
 
 def _grown(parts: list[Entries], whole: bool, level: int) -> Iterator[pa.RecordBatch]:
@@ -296,18 +329,18 @@ def _grown(parts: list[Entries], whole: bool, level: int) -> Iterator[pa.RecordB
 
 
 def _forest(dealt: DataFrame, level: int) -> DataFrame:
-    """Marks (doc, spans) and undecided entries from rows (bin, doc, size, data)."""
-    chunk, after = CHUNK_BYTES, min(level + 1, len(LEVELS) - 1)
+    """Marks (doc, spans) and undecided entries from rows (bin, doc, size, words, data)."""
+    chunk, after = CHUNK_WORDS, min(level + 1, len(LEVELS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held, split = None, [], 0, False
         for batch in batches:
-            names, size, data = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            names, size, many, data = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             for i, to in enumerate(batch.column(0).to_pylist()):
                 if to < 0:
                     yield _marks([names[i]], [data[i].as_py()])
                     continue
-                ended, full = to != now, held + size[i] > chunk
+                ended, full = to != now, held + many[i] > chunk
                 if parts and (ended or full):
                     split = split or not ended
                     yield from _grown(parts, not split, after)
@@ -316,7 +349,7 @@ def _forest(dealt: DataFrame, level: int) -> DataFrame:
                 if ended:
                     now, split = to, to >= _HOT_BIN
                 parts.append(_opened(data[i].as_buffer(), size[i]))
-                held += size[i]
+                held += many[i]
         if parts:
             yield from _grown(parts, not split, after)
             trim()
@@ -326,29 +359,36 @@ def _forest(dealt: DataFrame, level: int) -> DataFrame:
 
 
 def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["bin", "doc", "size", "data"])
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()))], names=["bin", "doc", "size", "words", "data"])
+
+
+def _rows_of(held: list[Entries], bins: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for to, data, size, words in _dealt(_joined(held), bins, *hot):
+        rows.append((to, None, size, words, data))
+        if len(rows) == 100:
+            yield _row_batch(rows)
+            rows = []
+    yield _row_batch(rows)
 
 
 def _deal(found: Iterator[tuple[Entries, tuple[list[int], list[bytes]]]], bins: int, hot: tuple[np.ndarray, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bin, doc, size, data): entries by bin, and spans in bins below 0, which nothing gathers."""
+    """Rows (bin, doc, size, words, data): entries by bin, and spans in bins below 0, which nothing gathers."""
     held: list[Entries] = []
     size = 0
     for entries, (names, spans) in found:
-        yield _row_batch([(-1 - (n & 0xFFFFFFFF), n, 0, s) for n, s in zip(names, spans)])
+        yield _row_batch([(-1 - (n & 0xFFFFFFFF), n, 0, 0, s) for n, s in zip(names, spans)])
         held.append(entries)
-        size += sum(map(len, entries.text))
+        size += len(entries.words)
         if size > most:
-            yield _row_batch([(to, None, n, data) for to, data, n in _dealt(_joined(held), bins, *hot)])
+            yield from _rows_of(held, bins, hot)
             held, size = [], 0
-    yield _row_batch([(to, None, n, data) for to, data, n in _dealt(_joined(held), bins, *hot)])
-
-
-_DEALT = "bin long, doc long, size long, data binary"
+            trim()
+    yield from _rows_of(held, bins, hot)
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+_DEALT = "bin long, doc long, size long, words long, data binary"
 
 
 def _hot(counts: DataFrame, total: int, partitions: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,14 +411,14 @@ def _sampled(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
     counts = texts.where(draw < min(1.0, SAMPLE_BYTES / max(1, total))).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = cut(counts, "prefixes")
-    return _hot(counts, counts.agg(F.sum("n")).first()[0] or 0, _partitions(texts), HOT_ENTRIES)
+    return _hot(counts, counts.agg(F.sum("n")).first()[0] or 0, partitions(texts), HOT_ENTRIES)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans: of each document the word ranges that repeat earlier ones, as pairs of unsigned 32-bit numbers."""
     texts = docs.select("doc_id", "text")
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts, most = _partitions(docs), HELD_BYTES
+    parts, most = partitions(docs), HELD_WORDS
     bins = lambda size: max(4 * parts, int(size // BIN_BYTES))
     hot, n_bins = _sampled(texts, total), bins(total)
 
@@ -397,9 +437,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         hot, n_bins = _hot(left.groupBy("key").agg(F.count("*").alias("n")), size["n"], parts, HOT_ENTRIES * HOT_ENTRIES), bins(size["bytes"])
 
         def again(batches: Iterator[pa.RecordBatch], hot: tuple = hot, n_bins: int = n_bins) -> Iterator[pa.RecordBatch]:
-            plain = lambda b, i: np.asarray(b.column(i))
-            found = ((Entries(plain(b, 0).view(np.uint64), *(plain(b, i) for i in range(1, 5)), b.column(5).to_pylist()), ([], [])) for b in batches)
-            yield from _deal(found, n_bins, hot, most)
+            yield from _deal(((_decided_later(b), ([], [])) for b in batches), n_bins, hot, most)
 
         out = cut(_forest(left.select("key", "doc", "start", "off", "many", "text").mapInArrow(again, _DEALT), level), "repeats")
         marks.append(out)

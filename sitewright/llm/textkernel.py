@@ -58,7 +58,8 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
+def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
+    """A hash of the values in each range."""
     up, down = _powers(kind, len(values) + 1)
     prefix = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=prefix[1:])
@@ -84,7 +85,7 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.start, offs)
         self._values = (_LOWER if lower else _PLAIN)[buf]
-        self.hash = _ranges(self._values, self.start, self.end, "byte")
+        self.hash = ranges(self._values, self.start, self.end, "byte")
 
     def doc(self) -> np.ndarray:
         """Per word its document's place in the slice."""
@@ -93,7 +94,7 @@ class Words:
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words of more than ``n`` bytes, and the hashes of their first ``n``."""
         at = np.flatnonzero(self.end - self.start > n)
-        return at, _ranges(self._values, self.start[at], self.start[at] + n, "byte")
+        return at, ranges(self._values, self.start[at], self.start[at] + n, "byte")
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``k`` words within one document."""
@@ -102,11 +103,11 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         doc = self.doc()
         at = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :])
-        return at, _ranges(self.hash, at, at + k, "word")
+        return at, ranges(self.hash, at, at + k, "word")
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the given runs of words."""
-        return _ranges(self.hash, starts, ends, "word")
+        return ranges(self.hash, starts, ends, "word")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
