@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted on a bounded sample so that lists stay of about one size.
+Centroids are fitted on a bounded sample, so many that a list has ROWS_PER_LIST
+vectors of it or fewer, with a load term that keeps lists of about one size.
 Every vector goes to its nearest list and, near a boundary, to the next ones
-too; the lists of a vector or a query come from a search in a graph that links
-each centroid with its nearest ones and is held in memory; a query reads the
-lists whose distance is within a ratio of the nearest one's. A list that grew
-beyond PART_ROWS (many equal vectors) is split into parts that are searched by
-tasks of their own. Scores are cosines in double precision of the original
-vectors.
+too. The lists of a vector or a query come from a best-first search in a graph
+that links each centroid with its nearest ones and is held in memory; a query
+reads the lists whose distance is within a ratio of the nearest one's, and more
+of them while those hold too few vectors. Lists and their queries are dealt out
+in parts of PART_ROWS, so a task holds one part of each. Scores are cosines in
+double precision of the original vectors.
 
 Results: vectors that are null, empty, zero or hold null or non-finite parts,
 or have another length than most of the sample, take no part; rows with a
-query's own id are no candidates of it; a repeated id counts once; fewer
-candidates than asked for are all returned; extra columns are ignored; an empty
-table gives an empty result.
+query's own id are no candidates of it; a repeated id counts once, with its
+best score; fewer candidates than asked for are all returned; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,71 +29,110 @@ from pyspark.sql import functions as F
 from sitewright.llm.common import cut
 from sitewright.llm.vec_dedup import _matrix, _usable
 
-#: Vectors that the centroids are fitted on, as expected from a draw by id.
-SAMPLE_ROWS = 20_000
-ROWS_PER_LIST = 64
+#: Numbers of the sample that the centroids are fitted on, as expected from a draw by id, and its vectors at most.
+SAMPLE_NUMBERS = 8_000_000
+SAMPLE_ROWS = 60_000
+ROWS_PER_LIST = 32
 COPIES = 3
 #: How much farther than the nearest list a boundary vector's other lists may lie.
 COPY_RATIO = 1.10
-#: The same for the lists that a query reads, and their number at most.
+#: The same for the lists that a query reads.
 QUERY_RATIO = 1.35
-QUERY_LISTS = 512
 PART_ROWS = 1_024
-DEGREE = 24
+DEGREE = 20
+FAR_LINKS = 4
+#: Centroids that a search opens at least.
+OPENED = 16
+
+
+def _fitted(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
+    """Centroids of unit vectors by balanced k-means, of parts of them where there are many."""
+    if lists > 512:  # parts of about equal size first, then lists of each part
+        top = _fitted(x, int(lists**0.5), rounds)
+        near = np.concatenate([(x[i : i + 2000] @ top.T).argmax(1) for i in range(0, len(x), 2000)])
+        parts = [x[near == i] for i in range(len(top))]
+        return np.concatenate([_fitted(p, max(1, round(lists * len(p) / len(x))), rounds) for p in parts if len(p)])
+    rng = np.random.default_rng(11)
+    lists = max(1, min(lists, len(x)))
+    c = x[rng.choice(len(x), lists, replace=False)]
+    load = np.ones(lists)
+    for _ in range(rounds):
+        near = np.concatenate([(x[i : i + 2000] @ c.T - 0.02 * np.log(load)).argmax(1) for i in range(0, len(x), 2000)])
+        load = np.bincount(near, minlength=lists) * lists / len(x) + 0.1  # full lists count as farther in the next round
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1)
+        c[norm > 0] = sums[norm > 0] / norm[norm > 0][:, None]
+    return c
 
 
 class Centroids:
     def __init__(self, sample: np.ndarray, lists: int, rounds: int = 8):
-        rng = np.random.default_rng(11)
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        lists = max(1, min(lists, len(x)))
-        c = x[rng.choice(len(x), lists, replace=False)]
-        load = np.ones(lists)
-        for _ in range(rounds):
-            near = np.concatenate([(x[i : i + 2000] @ c.T - 0.02 * np.log(load)).argmax(1) for i in range(0, len(x), 2000)])
-            load = np.bincount(near, minlength=lists) * lists / len(x) + 0.1  # full lists count as farther in the next round
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norm = np.linalg.norm(sums, axis=1)
-            c[norm > 0] = sums[norm > 0] / norm[norm > 0][:, None]
-        self.c = c
-        self.links = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        c = self.c = _fitted(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists, rounds)
+        near = [np.argsort(-(c[i : i + 1000] @ c.T), axis=1, kind="stable")[:, 1 : DEGREE + 1] for i in range(0, len(c), 1000)]
+        far = np.random.default_rng(12).integers(0, len(c), (len(c), FAR_LINKS))  # so that no cluster is an island
+        self.links = np.concatenate([np.concatenate(near), far], 1)
         entry, far = [0], c @ c[0]
-        while len(entry) < min(16, lists):  # entries lie far apart
+        while len(entry) < min(32, len(c)):  # entries lie far apart
             entry.append(int(far.argmin()))
             far = np.maximum(far, c @ c[entry[-1]])
         self.entry = np.array(entry)
+        #: Vectors whose nearest list it is, once they are counted.
+        self.held = np.zeros(len(c), np.int64)
 
-    def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lists by distance, and the distances, from a best-first search over the graph for all rows at once."""
+    def nearest(self, x: np.ndarray, ratio: float, most: int | None = None, least: int = 0) -> tuple[list[np.ndarray], int]:
+        """Each row's lists within ``ratio`` of its nearest one, nearest first, ``most`` at most, going on until they hold ``least`` vectors; and how many centroids were looked at."""
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        out, seen = [], 0
+        for at in range(0, len(x), 64):
+            found, n = self._search(x[at : at + 64], ratio, most, least)
+            out += found
+            seen += n
+        return out, seen
+
+    def _search(self, x: np.ndarray, ratio: float, most: int | None, least: int) -> tuple[list[np.ndarray], int]:
         n, lists = len(x), len(self.c)
         dist = np.full((n, lists), np.inf)
         opened = np.zeros((n, lists), bool)
-        rows = np.arange(n)[:, None]
+        rows = np.arange(n)
         dist[:, self.entry] = 2 - 2 * x @ self.c[self.entry].T
-        want = min(want, lists)
-        wide = 8
-        while True:
-            ef = min(lists, max(2 * want, 64))
-            bound = np.partition(dist, ef - 1, axis=1)[:, ef - 1 : ef]
-            front = np.where(opened | (dist > bound) | np.isinf(dist), np.inf, dist)
-            k = min(wide, lists)
-            best = np.argpartition(front, k - 1, axis=1)[:, :k]
-            live = np.isfinite(np.take_along_axis(front, best, 1))
-            if not live.any():
+        live = rows
+        while len(live):
+            d = dist[live]
+            nth = np.partition(d, min(OPENED, lists) - 1, axis=1)[:, min(OPENED, lists) - 1]
+            bound = np.maximum(nth, ratio * ratio * d.min(1) + 1e-9)  # squared distances
+            if least:
+                held = np.where(np.isfinite(d), self.held[None, :], 0).sum(1)
+                bound = np.where(held < least, np.inf, bound)
+            front = ~opened[live] & (d <= bound[:, None]) & np.isfinite(d)
+            live, front, d = live[front.any(1)], front[front.any(1)], d[front.any(1)]
+            if not len(live):
                 break
-            opened[rows, best] |= live
-            to = self.links[best].reshape(n, -1)
-            d = 2 - 2 * np.einsum("nkd,nd->nk", self.c[to], x) if to.shape[1] else np.zeros((n, 0))
-            d = np.where(np.repeat(live, self.links.shape[1], axis=1), d, np.inf)
-            np.minimum.at(dist, (np.broadcast_to(rows, to.shape), to), d)
-        order = np.argsort(dist, axis=1, kind="stable")[:, :want]
-        return order, np.sqrt(np.maximum(0, np.take_along_axis(dist, order, 1)))
-
-
-def _lists_of(df: DataFrame, centroids: Centroids, want: int, ratio: float, dim: int, kept: str) -> DataFrame:
-    """A row for each list of each vector; ``kept``: the schema of the other columns."""
+            k = min(4, lists)
+            best = np.argpartition(np.where(front, d, np.inf), k - 1, axis=1)[:, :k]
+            r, c = np.repeat(live, k), best.reshape(-1)
+            good = np.take_along_axis(front, best, 1).reshape(-1)
+            r, c = r[good], c[good]
+            opened[r, c] = True
+            r, c = np.repeat(r, self.links.shape[1]), self.links[c].reshape(-1)
+            new = np.isinf(dist[r, c])
+            r, c = r[new], c[new]
+            dist[r, c] = 2 - 2 * np.einsum("ij,ij->i", self.c[c], x[r])
+        short = np.flatnonzero(np.where(np.isfinite(dist), self.held, 0).sum(1) < least)
+        dist[short] = 2 - 2 * x[short] @ self.c.T  # what the graph didn't reach
+        out = []
+        for d in dist:
+            order = np.argsort(d, kind="stable")[: int(np.isfinite(d).sum())]
+            far = np.sqrt(np.maximum(0, d[order]))
+            take = int((far <= ratio * far[0] + 1e-9).sum())
+            if least:
+                take = max(take, int(np.searchsorted(np.cumsum(self.held[order]), least)) + 1)
+            out.append(order[: min(take, most or lists)])
+        return out, int(np.isfinite(dist).sum())
+
+
+def _lists_of(df: DataFrame, centroids: Centroids, dim: int, kept: str, ratio: float, most: int | None = None, least: int = 0) -> DataFrame:
+    """A row for each list of each vector, ``nth`` by distance; ``kept``: the schema of the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +141,10 @@ def _lists_of(df: DataFrame, centroids: Centroids, want: int, ratio: float, dim:
                 part = part.filter(pa.array([len(v) == dim for v in part.column("embedding")])).combine_chunks()
                 if not part.num_rows:
                     continue
-                lists, dist = centroids.nearest(_matrix(part.column("embedding").combine_chunks()), want)
-                good = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
-                yield from part.append_column("lists", pa.array([x[g].tolist() for x, g in zip(lists, good)], pa.list_(pa.int32()))).to_batches()
+                lists, _ = centroids.nearest(_matrix(part.column("embedding").combine_chunks()), ratio, most, least)
+                yield from part.append_column("lists", pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))).to_batches()
 
-    return df.mapInArrow(run, f"{kept}, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+    return df.mapInArrow(run, f"{kept}, lists array<int>").select("*", F.posexplode("lists").alias("nth", "list")).drop("lists")
 
 
 def _scored(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
@@ -114,18 +152,21 @@ def _scored(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     rows = rows.sort_by("vec_id")
     ids, q_ids = np.asarray(rows.column("vec_id")), np.asarray(queries.column("query_id"))
+    once = np.unique(ids, return_index=True)[1]
     x, q = _matrix(rows.column("embedding").combine_chunks()), _matrix(queries.column("embedding").combine_chunks())
     nx, nq = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 256):
         cos = (q[at : at + 256] @ x.T) / (nq[at : at + 256][:, None] * nx[None, :])
         cos[q_ids[at : at + 256][:, None] == ids[None, :]] = -np.inf
-        floor = np.partition(cos, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        each = np.maximum.reduceat(cos, once, axis=1)
+        floor = np.partition(each, -min(k, len(once)), axis=1)[:, -min(k, len(once))]
         for i in range(len(cos)):
             near = np.flatnonzero((cos[i] >= floor[i] - 1e-9) & np.isfinite(cos[i]))
             # the same sum for the same two vectors wherever they meet, so that ties are ties
             exact = np.einsum("ij,ij->i", x[near], np.broadcast_to(q[at + i], x[near].shape).copy()) / (nx[near] * nq[at + i])
-            best = np.lexsort((ids[near], -exact))[:k]
+            best = np.lexsort((ids[near], -exact))
+            best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
             out.append((np.full(len(best), q_ids[at + i]), ids[near][best], exact[best]))
     cat = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
     return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
@@ -134,22 +175,32 @@ def _scored(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that ``is_query`` selects."""
     rows = _usable(vectors.select("vec_id", "embedding")).where("vec_id IS NOT NULL")
-    total = rows.count()
     draw = F.pmod(F.xxhash64(F.lit("centroids"), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = [r["embedding"] for r in rows.where(draw < min(1.0, SAMPLE_ROWS / max(1, total))).select("embedding").collect()]
-    if not sample:
+    width = rows.select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    if width is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = int(pd.Series([len(v) for v in sample]).mode()[0])
-    centroids = Centroids(np.array([v for v in sample if len(v) == dim], float), min(total, SAMPLE_ROWS) // ROWS_PER_LIST)
+    dim, total = width["n"], width["count"]  # of most vectors
+    rows = rows.where(F.size("embedding") == dim)
+    wanted = min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // dim))
+    sample = np.array([r["embedding"] for r in rows.where(draw < min(1.0, wanted / total)).select("embedding").collect()] or [[1.0] * dim], float)
+    centroids = Centroids(sample, min(total, wanted) // ROWS_PER_LIST)
 
     kind = dict(rows.dtypes)["embedding"]
-    postings = cut(_lists_of(rows, centroids, COPIES, COPY_RATIO, dim, f"vec_id long, embedding {kind}"), "postings")
-    asked = _lists_of(rows.where(is_query), centroids, QUERY_LISTS, QUERY_RATIO, dim, f"vec_id long, embedding {kind}").withColumnRenamed("vec_id", "query_id")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # a row for each list, which the sample bounds
-    postings = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    asked = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInArrow(
+    postings = cut(_lists_of(rows, centroids, dim, f"vec_id long, embedding {kind}", COPY_RATIO, COPIES), "postings")
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.count(F.when(F.col("nth") == 0, 1)).alias("held")).collect()  # a row for each list, which the sample bounds
+    for r in sizes:
+        centroids.held[r["list"]] = r["held"]
+    row_parts = {r["list"]: -(-r["n"] // PART_ROWS) for r in sizes}
+    # k lists could each hold the query's own row, and ids may repeat
+    asked = cut(_lists_of(rows.where(is_query).withColumnRenamed("vec_id", "query_id"), centroids, dim, f"query_id long, embedding {kind}", QUERY_RATIO, None, 4 * k), "asked")
+    query_parts = {r["list"]: -(-r["count"] // PART_ROWS) for r in asked.groupBy("list").count().collect()}
+    whole = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lists = vectors.sparkSession.createDataFrame([(i, row_parts.get(i, 1), query_parts[i]) for i in query_parts] or [(-1, 1, 1)], "list int, row_parts int, query_parts int")
+    lists = F.broadcast(lists)  # a row for each list
+    postings = postings.join(lists, "list").withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int")).withColumn("query_part", whole(F.col("query_parts")))
+    asked = asked.join(lists, "list").withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int")).withColumn("row_part", whole(F.col("row_parts")))
+    task = ["list", "row_part", "query_part"]
+    found = asked.select(*task, "query_id", "embedding").groupBy(*task).cogroup(postings.select(*task, "vec_id", "embedding").groupBy(*task)).applyInArrow(
         lambda q, r: _scored(q, r, k),
         "query_id long, vec_id long, score double",
     )
