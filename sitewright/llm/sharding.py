@@ -2,12 +2,15 @@
 
 The key of a record is (hash of its text, hash of its id, id), so equal texts
 are neighbours. A size-weighted sample of text hashes gives quantile splitters;
-records fall into the ranges between them; a range over its share is subdivided
-by a second hash of the text, and what is still over it (one hot group of equal
-texts) by a hash of the id. Exact sums per range then place each record by its
-position in the running total of bytes, so shard sizes differ by about one
-document, whatever the sample was; a group of equal texts that is small beside
-a shard goes to the shard that its middle falls into.
+records fall into the ranges between them, RANGES_PER_SHARD to a shard. A range
+over WINDOW_BYTES is subdivided by a second hash of the text, and a single text
+whose copies pass that by themselves by a hash of the id. Exact sums of ranges
+and of their parts then say where each of them begins in the running total of
+bytes. A range or part that lies inside of a shard goes there whole; one that a
+shard's boundary cuts is divided at the group of equal texts that the boundary
+meets, so shard sizes differ by about one document, however uneven the sample
+was. A group of equal texts that is small beside a shard goes to the shard that
+its middle falls into; larger ones are divided between records.
 
 Results: a null text counts no bytes and has the checksum of the empty text;
 equal rows are placed one by one; an empty table gives an empty result; rows
@@ -27,6 +30,8 @@ SAMPLED_PER_RANGE = 24
 RANGES_PER_SHARD = 12
 #: Bytes of documents to a window of running sums.
 WINDOW_BYTES = 64_000_000
+#: Rows of three numbers that a broadcast may hold.
+BROADCAST_ROWS = 20_000
 
 
 def _splitters(recs: DataFrame, total: int, ranges: int) -> list[int]:
@@ -63,23 +68,32 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     recs = recs.withColumn("range", _range_of(F.col("h"), splitters))
 
     cap = float(min(WINDOW_BYTES, max(1, total / shards)))
-    # at most total / cap ranges are overfull, which bounds both broadcasts
     parts = lambda size: F.greatest(F.lit(1), F.ceil(size / cap))
-    by_range = recs.groupBy("range").agg(parts(F.sum("size")).alias("n1")).where("n1 > 1")
-    recs = recs.join(F.broadcast(by_range), "range", "left").withColumn("sub", F.pmod(F.xxhash64(F.lit("text"), "h"), F.coalesce("n1", F.lit(1))))
-    by_sub = recs.groupBy("range", "sub").agg(parts(F.sum("size")).alias("n2")).where("n2 > 1")
-    recs = recs.join(F.broadcast(by_sub), ["range", "sub"], "left").withColumn("own", F.pmod(F.xxhash64(F.lit("id"), "doc_id"), F.coalesce("n2", F.lit(1))))
+    # texts whose copies fill a window by themselves are divided by id; of all others, copies stay together
+    large = cut(recs.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") > cap).select("h", parts(F.col("b")).alias("tiles")), "large")
+    small = large.count() <= BROADCAST_ROWS
+    recs = recs.join(F.broadcast(large) if small else large, "h", "left")
+    by_range = recs.where("tiles IS NULL").groupBy("range").agg(parts(F.sum("size")).alias("n1"))  # a row for each range
+    recs = recs.join(F.broadcast(by_range), "range", "left").withColumns({
+        "sub": F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64(F.lit("text"), "h"), F.coalesce("n1", F.lit(1)))).otherwise(F.lit(-1)),
+        "alone": F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.col("h")),
+        "own": F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit("id"), "doc_id", "text_crc32"), F.coalesce("tiles", F.lit(1)))),
+    })
 
-    cell = ["range", "sub", "own"]
-    before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = recs.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("n")).select(
-        *cell, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+    cell = ["range", "sub", "alone", "own"]
+    cells = cut(recs.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("n")), "cells")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = before(Window.orderBy("range"))  # a row for each range
+    ranges = cells.groupBy("range").agg(F.sum("b").alias("rb"), F.sum("n").alias("rn")).select("range", F.coalesce(F.sum("rb").over(over), F.lit(0)).alias("r_b"), F.coalesce(F.sum("rn").over(over), F.lit(0)).alias("r_n"))
+    over = before(Window.partitionBy("range").orderBy("sub", "alone", "own"))
+    cells = cells.join(F.broadcast(ranges), "range").select(
+        *cell, (F.col("r_b") + F.coalesce(F.sum("b").over(over), F.lit(0))).alias("b0"), (F.col("r_n") + F.coalesce(F.sum("n").over(over), F.lit(0))).alias("n0"),
     )
     run = Window.partitionBy(*cell).orderBy("h", "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     group = Window.partitionBy(*cell, "h")
     placed = recs.withColumns({"upto": F.sum("size").over(run), "nth": F.row_number().over(run)})
     placed = placed.withColumns({"g1": F.max("upto").over(group), "g_b": F.sum("size").over(group)}).join(cells, cell)
-    whole = F.col("g_b") <= max(most, total / shards / 20)
+    whole = F.col("tiles").isNull() & (F.col("g_b") <= max(most, total / shards / 20))
     middle = F.col("b0") + F.when(whole, F.col("g1") - F.col("g_b") / 2).otherwise(F.col("upto") - F.col("size") / 2)
     placed = placed.select(
         "doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / float(total or 1))).cast("int").alias("shard"), (F.col("n0") + F.col("nth") - 1).alias("at"),
