@@ -3,8 +3,8 @@
 Each language has a codeword; for each bit a binary classifier over hashed byte
 n-grams (log-odds learned from counts of the languages on either side) gives a
 margin for a whole text; decoding takes the codeword of least logistic loss,
-each bit weighted by how well it tells its sides apart. A text whose best two
-codewords lie close together is flagged as ambiguous.
+each bit weighted by how well it tells its sides apart. A text whose two least
+losses are nearly equal is flagged as ambiguous.
 
 Results: a null text or one without a letter is ``und`` with score 0; so is
 every text where nothing could be learned; equal texts get equal results; extra
@@ -28,7 +28,7 @@ from sitewright.llm.textkernel import NO_LETTER, slices
 TRAIN_DOCS = 2_000
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
-#: Score below which the nearest codeword counts as ambiguous.
+#: Difference of the two least losses, for one bit's weight, below which a text is ambiguous.
 AMBIGUOUS = 0.5
 
 _FOLD = np.where(NO_LETTER, 32, np.arange(256)).astype(np.uint32)
@@ -102,13 +102,15 @@ class Model:
             seen += np.add.reduceat(h != 0, starts, dtype=np.int64)
         return total / np.maximum(seen, 1)[:, None]
 
-    def predict(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language, and its score."""
+    def predict(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, its score, and how much more the next nearest codeword loses in the mean of the bits' weights."""
         m = self.margins(texts) * 6
         loss = np.stack([(np.logaddexp(0, -c * m) * self.trust).sum(1) for c in self.code], 1)
         p = np.exp(2 * (loss.min(1, keepdims=True) - loss))
         p /= p.sum(1, keepdims=True)
-        return loss.argmin(1), p.max(1)
+        two = np.sort(loss, axis=1)[:, :2]
+        apart = (two[:, 1] - two[:, 0]) / self.trust.sum() if loss.shape[1] > 1 else np.full(len(loss), np.inf)
+        return loss.argmin(1), p.max(1), apart
 
 
 def train(docs: DataFrame, lang: str = "lang") -> Model | None:
@@ -131,9 +133,12 @@ def train(docs: DataFrame, lang: str = "lang") -> Model | None:
                         own += np.bincount(h, minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(found), pa.string()), "counts": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
-    counts: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(run, "lang string, counts binary").collect():  # eight rows for each language at most
-        counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = sample.mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary")
+    counts = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in found.collect()}  # a row of BUCKETS numbers for each language
     languages = sorted(counts)
     return Model(languages, np.stack([counts[x] for x in languages]).astype(float)) if languages else None
 
@@ -151,10 +156,10 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch):
                 known = np.array([_has_letter(t) for t in texts], bool) & (model is not None)
-                best, score = model.predict(texts) if model is not None else (np.zeros(len(texts), int), np.zeros(len(texts)))
+                best, score, apart = model.predict(texts) if model is not None else (np.zeros(len(texts), int), *np.zeros((2, len(texts))))
                 names = [model.languages[i] if k else "und" for i, k in zip(best, known)]
                 score = np.where(known, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=[*rest, "text", "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(~known | (apart < AMBIGUOUS))], names=[*rest, "text", "lang_pred", "score", "ambiguous"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
