@@ -6,7 +6,7 @@
    So of its 2m+1 smallest hashes at least m+1 are shared, and each set sends
    so many that those of every possible partner are among them; sets with fewer
    shared ones (counted in bins of the hash range, with a pre-aggregation in
-   every slice) are out.
+   every slice) are out; hashes that agree by chance only let more sets in.
 3. The remaining sets meet in blocks by their m+1 smallest hashes, of which two
    linked sets share one. First each set is verified against the block head
    that it meets most often; that settles large groups of near copies with one
@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import cut, keep
+from sitewright.llm.common import cut, keep, partitions
 from sitewright.llm.components import components
 from sitewright.llm.textkernel import Words, mix, slices, trim
 
 #: Shingles to a bin of the count in step 2, as expected.
 BIN_ROWS = 2_000_000
 TILE_ROWS = 2_000
+#: Pairs of one document that are verified together.
+PAIR_ROWS = 1_000
 BITS = 4_096
 FANOUT = 8
 _NONE = np.zeros(0, np.uint64)
@@ -104,7 +106,7 @@ def _sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
-    """name, shared: how many of a set's smallest hashes another set has too."""
+    """name, shared: how many of a set's smallest hashes another set has too, or more where hashes of one set agree in their low half."""
     width = np.uint64(((1 << 64) - 1) // bins)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,36 +124,50 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
                 group = np.cumsum(head) - 1
                 many = np.bincount(group) > 1 if len(h) else np.zeros(0, bool)
                 known = np.bincount(who[many[group]], minlength=len(names))  # shared within this part
-                some = np.flatnonzero(known)
                 # a hash that is shared here needs one witness elsewhere, which stands for no set (-1)
                 h, who = h[head], np.where(many, -1, who[head])
                 to = (h // width).astype(np.int64)
+                # hashes of one set with one low half would count once below, so all but the first count here
+                order = np.lexsort((h.astype(np.uint32), to, who))
+                alike = (np.diff(who[order]) == 0) & (np.diff(to[order]) == 0) & (np.diff(h[order].astype(np.uint32).astype(np.int64)) == 0) & (who[order][1:] >= 0)
+                np.add.at(known, who[order][1:][alike], 1)
+                some = np.flatnonzero(known)
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 named = np.where(who < 0, np.int64(0), names[who]) if len(names) else np.zeros(0, np.int64)
                 rows = [(int(to[a]), h[a:b].astype(np.uint32).tobytes(), (who[a:b] < 0).tobytes(), named[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(h)])]
-                if len(some):
-                    rows.append((-1 - int(some[0] + names[0]) % 997, known[some].astype(np.uint32).tobytes(), b"", names[some].tobytes()))
+                if len(some):  # nothing gathers bins below 0
+                    rows.append((-1 - (int(names[some[0]]) & 0xFFFFFFFF), known[some].astype(np.uint32).tobytes(), b"", names[some].tobytes()))
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bin", "hashes", "witness", "names"])
 
-    def count(table: pa.Table) -> pa.Table:
-        if table.column("bin")[0].as_py() < 0:
-            h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
-            name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64)
-            return pa.table({"name": name, "shared": h.astype(np.int64)})
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
-        witness = np.frombuffer(b"".join(table.column("witness").to_pylist()), bool)
-        name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64)
+    def counted(hashes: list[bytes], witness: list[bytes], names: list[bytes]) -> pa.RecordBatch:
+        h, seen, name = np.frombuffer(b"".join(hashes), np.uint32), np.frombuffer(b"".join(witness), bool), np.frombuffer(b"".join(names), np.int64)
         found = []
         for k in range(16):  # a part of the bin's hashes at a time, to sort little at once
             own = np.flatnonzero(h >> np.uint32(28) == k)
             if len(own):
-                found.append(shared_names(h[own], witness[own], name[own]))
-        names, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), return_inverse=True)
-        times = np.bincount(place, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(names))
-        del h, witness, name
-        trim()
-        return pa.table({"name": names, "shared": times.astype(np.int64)})
+                found.append(shared_names(h[own], seen[own], name[own]))
+        out, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(out))
+        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(times.astype(np.int64))], names=["name", "shared"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for to, *cols in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if to < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(cols[2], np.int64)), pa.array(np.frombuffer(cols[0], np.uint32).astype(np.int64))], names=["name", "shared"])
+                    continue
+                if to != now and held[0]:
+                    yield counted(*held)
+                    held = ([], [], [])
+                    trim()
+                now = to
+                for own, x in zip(held, cols):
+                    own.append(x)
+        if held[0]:
+            yield counted(*held)
+            trim()
 
     def shared_names(h: np.ndarray, witness: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((name, h))
@@ -166,24 +182,34 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
         return np.unique(name[fresh & (n[group] > 1)], return_counts=True)
 
     dealt = sketch.select("h1", "low").mapInArrow(deal, "bin long, hashes binary, witness binary, names binary")
-    return dealt.groupBy("bin").applyInArrow(count, "name long, shared long").groupBy("name").agg(F.sum("shared").alias("shared"))
+    # the rows of a bin follow each other, so a task holds one bin
+    return dealt.repartition("bin").sortWithinPartitions("bin").mapInArrow(count, "name long, shared long").groupBy("name").agg(F.sum("shared").alias("shared"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
+    """The pairs (a, b) whose whole sets are similar enough; the set of ``a`` is sent once for PAIR_ROWS pairs of it."""
+    pairs = cut(pairs, "pairs")
+    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("tiles"))
+    left = tiles.join(sets.select(F.col("doc_id").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(None).cast("long").alias("b"), "set")
+    right = pairs.join(tiles, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int").alias("tile"), "b").join(sets.select(F.col("doc_id").alias("b"), "set"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = np.zeros(0, np.uint64)
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                p, q = (p, q) if len(p) < len(q) else (q, p)
-                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+            for b, x in zip(batch.column(1).to_pylist(), batch.column(2)):
+                q = np.frombuffer(x.as_buffer(), np.uint64)
+                if b is None:
+                    p = q
+                    good.append(False)
+                    continue
+                few, lot = (p, q) if len(p) < len(q) else (q, p)
+                common = int((lot[np.minimum(np.searchsorted(lot, few), len(lot) - 1)] == few).sum())
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = left.unionByName(right.select("a", "tile", "b", "set")).repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("b").asc_nulls_first())
+    return both.select("a", "b", "set").mapInArrow(run, "a long, b long")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -286,7 +312,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     named = sketch.where("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     tokens = named.agg(F.sum(F.octet_length("low")) / 8).first()[0] or 0
-    shared = _shared_counts(named, max(1, int(tokens // BIN_ROWS)))
+    shared = _shared_counts(named, max(partitions(docs), int(tokens // BIN_ROWS)))
     lacks = F.floor(F.col("n") * (100 - percent) / 100)
     able = reps.join(shared, reps["h1"] == shared["name"]).where(F.col("shared") >= F.least(F.col("n"), 2 * lacks + 1) - lacks).select("rep", "n")
     able = cut(able, "able")
@@ -318,7 +344,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     open_ = open_.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     open_ = open_.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "n", "component")
     open_ = open_.join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more = _verified(cut(_tree_pairs(open_, percent), "candidates"), sets, percent)
+    more = _verified(_tree_pairs(open_, percent), sets, percent)
 
     comp = components(first.unionByName(cut(more, "more-links"))).withColumnRenamed("id", "rep")
     reps = reps.join(comp, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
