@@ -280,7 +280,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = "length long, rank_from long, rank_to long, first_sequence long, offset long"
     places = spark.createDataFrame(places, schema) if len(places) else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start")) - 1
-    ranked = found.withColumn("nth", rank).join(F.broadcast(counts.drop("count")), ["length", "part"])  # 64 rows for each length
+    ranked = found.withColumn("nth", rank).join(counts.drop("count"), ["length", "part"])  # rows lie by these keys already
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "part")
     # a length has a few ranges of ranks, which a broadcast bounded by the capacity holds
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & F.col("rank").between(F.col("rank_from"), F.col("rank_to") - 1)).drop(places["length"])
