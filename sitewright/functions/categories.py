@@ -24,6 +24,7 @@ ROADS = {
     "cycleway": ("cycleway",),
     "track": ("track",),
 }
+# The road classes that are paths, and carriageways outside of all classes.
 PATH_CLASSES = ("footpath", "cycleway", "track")
 OTHER_CARRIAGEWAYS = ("tertiary", "tertiary_link", "unclassified", "living_street")
 # The categories that can be selected, in their order.
@@ -37,6 +38,15 @@ TAGS = {
     "boundaries": (("boundary", None),),
     "points_of_interest": (("amenity", None), ("shop", None), ("tourism", None)),
 }
+# Themed types that hold a category's features, and the order of types.
+THEMED_TYPES = {
+    "buildings": ("building",),
+    "water": ("water",),
+    "vegetation_and_landuse": ("land_use", "land_cover"),
+    "points_of_interest": ("place", "infrastructure"),
+}
+ROAD_TYPES = ("segment", "connector")
+TYPE_ORDER = ("building", "place", "segment", "connector", "infrastructure", "land_use", "land_cover", "water")
 # What a land-use class counts as when parcels are classified.
 LANDUSE = {
     "residential": "garden",
@@ -74,6 +84,18 @@ def check(categories: Iterable[str] | None) -> list[str] | None:
     return [c for c in CATEGORIES if c in chosen]
 
 
+def themed_types(category: C) -> Column:
+    """Types to read for a column of one category: none for those without a type."""
+    kinds = {**THEMED_TYPES, **dict.fromkeys(ROADS, ROAD_TYPES)}
+    pairs = [x for c in CATEGORIES for x in (F.lit(c), F.array(*[F.lit(t) for t in kinds[c]]) if c in kinds else F.array().cast("array<string>"))]
+    return F.element_at(F.create_map(*pairs), _c(category))
+
+
+def in_type_order(types: C) -> Column:
+    """An array of types, each once, in the fixed order."""
+    return F.filter(F.array(*[F.lit(t) for t in TYPE_ORDER]), lambda t: F.array_contains(_c(types), t))
+
+
 def matches(tags: C, categories: Iterable[str] | None) -> Column:
     """Whether a map of tags belongs to a selection; everything does without one."""
     chosen = check(categories)

@@ -150,8 +150,8 @@ def chain_groups(segments: DataFrame, by: list[str], order: list[str], decimals:
     return dealt.groupBy("bin").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", {_CURVE}")
 
 
-def boundaries(parcels: DataFrame) -> DataFrame:
-    """Curves of parcels (ord, ring): rounded, equal rings and edges once, spikes pruned, cut at junctions of three edges.
+def boundaries(parcels: DataFrame, by: str | None = None) -> DataFrame:
+    """Curves of parcels (ord, ring), with ``by`` apart for each category in that column: rounded, equal rings and edges once, spikes pruned, cut at junctions of three edges.
 
     A chain ends at a junction, so edges are connected through points of two edges
     alone: each such component is one chain, however large the parcels' whole
@@ -159,10 +159,12 @@ def boundaries(parcels: DataFrame) -> DataFrame:
     seen, which fixes where the chain starts. Chains share bins of about
     CHAIN_ROWS edges, as a group of its own for each would cost more than it.
     """
-    rounded = parcels.select("ord", F.transform(G.open_ring("ring"), lambda p: G.point(F.bround(p["x"], 2), F.bround(p["y"], 2))).alias("ring"))
-    rounded = rounded.select("ord", G.valid_ring("ring").alias("ring")).where("ring IS NOT NULL")
-    rings = distinct_rings(rounded, "ring", ["ord"])
-    every = rings.select("ord", F.posexplode(G.edges("ring")).alias("pos", "e")).select("ord", "pos", "e.a", "e.b")
+    parcels = parcels.withColumn("kind", F.col(by).cast("string") if by else F.lit(None).cast("string"))
+    rounded = parcels.select("ord", "kind", F.transform(G.open_ring("ring"), lambda p: G.point(F.bround(p["x"], 2), F.bround(p["y"], 2))).alias("ring"))
+    rounded = rounded.select("ord", "kind", G.valid_ring("ring").alias("ring")).where("ring IS NOT NULL")
+    rings = distinct_rings(rounded, "ring", ["ord"], ["kind"])
+    own = lambda p: F.struct("kind", F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y"))  # noqa: E731  a category's points are its own
+    every = rings.select("ord", "kind", F.posexplode(G.edges("ring")).alias("pos", "e")).select("ord", "pos", own("e.a").alias("a"), own("e.b").alias("b"))
     edges = two_core(distinct_edges(every, ["ord", "pos"]))
     ends = edges.select(F.col("a").alias("p")).unionByName(edges.select(F.col("b").alias("p")))
     degree = ends.groupBy("p").count()
@@ -172,13 +174,19 @@ def boundaries(parcels: DataFrame) -> DataFrame:
     full = cut(full.withColumns({"na": own("a", "da"), "nb": own("b", "db")}), "edges")
     bins = max(1, full.count() // CHAIN_ROWS)
     comp = components(full, "na", "nb").withColumnRenamed("id", "na")
-    dealt = full.join(comp, "na").withColumn("bin", F.pmod(F.xxhash64("component.p.x", "component.p.y", "component.edge.a.x", "component.edge.b.y"), F.lit(bins))).drop("na", "nb", "component")
+    dealt = full.join(comp, "na").withColumn("bin", F.pmod(F.xxhash64("component.p.kind", "component.p.x", "component.p.y", "component.edge.a.x", "component.edge.b.y"), F.lit(bins))).drop("na", "nb", "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=[(f["ord"], f["pos"]) for f in pdf["first"]]).sort_values("o")
-        pairs = [((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(pdf["a"], pdf["b"])]
+        pairs = [((a["x"], a["y"], a["kind"] or ""), (b["x"], b["y"], b["kind"] or "")) for a, b in zip(pdf["a"], pdf["b"])]
         stops = {p for pair, d in zip(pairs, zip(pdf["da"], pdf["db"])) for p, n in zip(pair, d) if n >= 3}
         lines = [directed(straighten(line, seam=True)) for line in chain(pairs, stops)]
-        return pd.DataFrame({"curve": [[{"x": x, "y": y} for x, y in line] for line in lines]})
+        return pd.DataFrame({"kind": [line[0][2] for line in lines], "curve": [[{"x": x, "y": y} for x, y, _ in line] for line in lines]})
 
-    return dealt.groupBy("bin").applyInPandas(run, _CURVE)
+    found = dealt.groupBy("bin").applyInPandas(run, f"kind string, {_CURVE}")
+    return found.select(F.nullif("kind", F.lit("")).alias(by), "curve") if by else found.select("curve")
+
+
+def in_output_order(curves: DataFrame) -> DataFrame:
+    """Curves by their coordinates, one after the other."""
+    return curves.orderBy(F.col("curve"))

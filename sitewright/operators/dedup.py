@@ -46,10 +46,10 @@ def output_order(elements: DataFrame) -> DataFrame:
     return elements.orderBy(type_rank(), "id")
 
 
-def distinct_rings(rings: DataFrame, ring: str, order: Sequence[str]) -> DataFrame:
-    """The first of rings that are equal up to their start and winding."""
+def distinct_rings(rings: DataFrame, ring: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The first of rings that are equal up to their start and winding, and in the columns ``by``."""
     keyed = rings.withColumn("__key", G.ring_key(ring))
-    return first_seen(keyed, ["__key"], order).select(*rings.columns)
+    return first_seen(keyed, ["__key", *by], order).select(*rings.columns)
 
 
 def distinct_edges(edges: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -47,12 +47,32 @@ def remaining(done: Column, elapsed: Column, estimate: Column) -> Column:
 
 
 def failure_lines(failures: DataFrame) -> DataFrame:
-    """(source, reason, tiles, line): failures with one reason as one sentence."""
-    g = failures.groupBy("source", "reason").agg(F.count("*").alias("tiles"), F.array_sort(F.collect_set("tile_id")).alias("ids"))
-    shown = F.when(F.size("ids") > 3, F.concat(F.array_join(F.slice("ids", 1, 2), ", "), F.lit(" and more"))).otherwise(F.array_join("ids", ", "))
+    """(source, reason, tiles, line): failures with one reason as one sentence, which names three tiles or two of more."""
+    tiles = failures.groupBy("source", "reason", "tile_id").agg(F.count("*").alias("n"))
+    least = tiles.groupBy("source", "reason").agg(F.sum("n").alias("tiles"), F.count("tile_id").alias("names"), F.min("tile_id").alias("t0"), F.max("tile_id").alias("tn"))
+    # three least ids in three aggregates; a set of all ids of a reason may be as large as the table
+    second = tiles.join(least, ["source", "reason"]).where("tile_id > t0").groupBy("source", "reason").agg(F.min("tile_id").alias("t1"))
+    g = least.join(second, ["source", "reason"], "left")
+    shown = F.when(F.col("names") > 3, F.concat_ws(", ", "t0", F.concat("t1", F.lit(" and more")))).when(F.col("names") == 3, F.concat_ws(", ", "t0", "t1", "tn")).when(F.col("names") == 2, F.concat_ws(", ", "t0", "tn")).otherwise(F.coalesce("t0", F.lit("")))
     return g.select("source", "reason", "tiles", F.concat("source", F.lit(": "), "reason", F.lit(" ("), shown, F.lit(")")).alias("line"))
 
 
+def ledger(attempts: DataFrame) -> DataFrame:
+    """(source, failed, retried, recovered, lost) from attempts (tile_id, source, try, ok, kind): tiles that failed at first, those tried again, and how that ended.
+
+    A second try counts only after a kind of failure that one may mend.
+    """
+    first, again = F.col("try") == 0, F.col("try") > 0
+    tiles = attempts.groupBy("source", "tile_id").agg(
+        F.bool_or(first & ~F.col("ok")).alias("failed"), F.bool_or(first & ~F.col("ok") & F.col("kind").isin(*RETRYABLE)).alias("worth"),
+        F.bool_or(again).alias("tried"), F.bool_or(again & F.col("ok")).alias("mended"),
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    failed, retried = yes(F.col("failed")), yes(F.col("failed")) & yes(F.col("worth")) & yes(F.col("tried"))
+    recovered = retried & yes(F.col("mended"))
+    return tiles.groupBy("source").agg(F.count_if(failed).alias("failed"), F.count_if(retried).alias("retried"), F.count_if(recovered).alias("recovered"), F.count_if(failed & ~recovered).alias("lost"))
+
+
 def estimate(rows: DataFrame) -> DataFrame:
     """(source, bytes, seconds) for each source and, with a null source, in all."""
     return rows.groupingSets([[F.col("source")], []], F.col("source")).agg(F.sum("bytes").alias("bytes"), F.sum("seconds").alias("seconds"))

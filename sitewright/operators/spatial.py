@@ -285,6 +285,19 @@ def resolve_ways(ways: DataFrame, nodes: DataFrame, value: Callable[[], Column],
     return rings.where("n = known").select("id", ring.alias("ring")).where(F.size("ring") >= least)
 
 
+def relation_ways(relations: DataFrame) -> DataFrame:
+    """(id, pos, way) of relations (id, members): the ways of their outer rings, or all their ways where no way is said to be outer."""
+    ways = F.filter(F.transform("members", lambda m, i: F.struct(i.alias("pos"), m["type"].alias("type"), m["ref"].alias("ref"), m["role"].alias("role"))), lambda m: (m["type"] == "way") & m["ref"].isNotNull())
+    outer = F.filter(ways, lambda m: m["role"] == "outer")
+    used = F.when(F.size(outer) > 0, outer).otherwise(ways)
+    return relations.select("id", F.explode(used).alias("m")).select("id", F.col("m.pos").alias("pos"), F.col("m.ref").alias("way"))
+
+
+def relation_rings(relations: DataFrame, rings: DataFrame) -> DataFrame:
+    """(id, pos, way, ring): each outer way of a relation that is a ring (id, ring) by itself; other ways have no row."""
+    return relation_ways(relations).join(rings.select(F.col("id").alias("way"), "ring"), "way").select("id", "pos", "way", "ring")
+
+
 def segments(lines: DataFrame, line: str, order: str, closed: bool = False) -> DataFrame:
     """Each vertex row with nx, ny: its successor in the line, for rings the first one after the last."""
     w = Window.partitionBy(line).orderBy(order)
@@ -352,6 +365,26 @@ def offset_statistics(offsets: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+# Bounds of an offset that tells of an epoch's shift, in metres and degrees.
+UNDETECTED, SHIFT_LEAST, SHIFT_MOST, NORTH_EAST, TOLERANCE = 0.3, 0.5, 1.5, 45.0, 45.0
+
+
+def epoch_verdict(count: str, lsq_de: str, lsq_dn: str, std_de: str, std_dn: str) -> Column:
+    """What a road population's least-squares shift says of two epochs, as a sentence."""
+    size = F.hypot(lsq_de, lsq_dn)
+    bearing = F.pmod(F.degrees(F.atan2(F.col(lsq_de), F.col(lsq_dn))), F.lit(360.0))
+    apart = F.abs(F.pmod(bearing - NORTH_EAST + 180.0, F.lit(360.0)) - 180.0)
+    steady = size.between(SHIFT_LEAST, SHIFT_MOST) & (apart <= TOLERANCE) & (F.hypot(std_de, std_dn) < 2 * size)
+    # The sentences.
+    return (
+        F.when(F.col(count) == 0, "INCONCLUSIVE: no matched road samples to measure an offset from.")
+        .when(size.isNull(), "INCONCLUSIVE: the least-squares offset estimate is undefined; the sampled road population is too close to one orientation to separate the two shift components.")
+        .when(size < UNDETECTED, F.format_string("NOT DETECTED: least-squares offset magnitude %.2f m is under 0.3 m.", size))
+        .when(steady, F.format_string("CONSISTENT with the epoch-shift hypothesis: least-squares offset %.2f m at bearing %.0f degrees.", size, bearing))
+        .otherwise(F.format_string("INCONCLUSIVE: least-squares offset %.2f m at bearing %.0f degrees does not clear every CONSISTENT band.", size, bearing))
+    )
+
+
 # Upper bounds of the buckets of building areas in square metres, and their names.
 AREA_BOUNDS = (10.0, 30.0, 80.0, 200.0, 1000.0)
 AREA_NAMES = ("under_10", "10_to_30", "30_to_80", "80_to_200", "200_to_1000", "over_1000")

@@ -67,7 +67,7 @@ def slugify_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def slugify_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of names with letters outside ASCII."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Ø "), F.substring_index(F.substring(F.coalesce("text", F.lit("")), 1, 60), "\n", 1)).alias("name"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Ø "), F.coalesce("text", F.lit(""))).alias("name"))
     return d.select("id", T.slugify("name").alias("slug"))
 
 
@@ -139,3 +139,19 @@ SELECT page_id AS id, regexp_replace(url || '?api_key=abc' || page_id || '&x=1',
 def redacted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat("url", F.lit("?api_key=abc"), F.col("page_id").cast("string"), F.lit("&x=1"))
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), T.redact(raw, F.lit("")).alias("url"))
+
+
+@query(f"""
+WITH s AS (SELECT c_custkey AS id, ['buildings', 'water', 'footpath', 'rail', 'vegetation_and_landuse', 'points_of_interest', 'motorway'] AS c FROM customer),
+t AS (SELECT id, unnest(list_filter(c, lambda x, i: (id // (1 << (i - 1))) % 2 = 1)) AS category FROM s),
+y AS (SELECT id, unnest(CASE category WHEN 'buildings' THEN ['building'] WHEN 'water' THEN ['water'] WHEN 'vegetation_and_landuse' THEN ['land_use', 'land_cover'] WHEN 'points_of_interest' THEN ['place', 'infrastructure']
+  WHEN 'footpath' THEN ['segment', 'connector'] WHEN 'motorway' THEN ['segment', 'connector'] ELSE CAST([] AS VARCHAR[]) END) AS type FROM t),
+o AS (SELECT unnest([{", ".join(f"'{t}'" for t in K.TYPE_ORDER)}]) AS type, unnest(range({len(K.TYPE_ORDER)})) AS nth)
+SELECT id, string_agg(type, ',' ORDER BY nth) AS types FROM (SELECT DISTINCT id, type FROM y) JOIN o USING (type) GROUP BY id
+""")
+def types_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types to read for selections of categories, made from the bits of a key; selections without a type have no row."""
+    names = ("buildings", "water", "footpath", "rail", "vegetation_and_landuse", "points_of_interest", "motorway")
+    chosen = F.filter(F.array(*[F.lit(n) for n in names]), lambda x, i: F.floor(F.col("id") / F.pow(F.lit(2), i)) % 2 == 1)
+    types = K.in_type_order(F.flatten(F.transform(chosen, K.themed_types)))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", F.array_join(types, ",").alias("types")).where("types <> ''")

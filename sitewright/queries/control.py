@@ -75,3 +75,15 @@ def session_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     s = beats.groupBy("user_id", F.session_window("ts", "90 seconds").alias("w")).agg(F.count("*").alias("beats"))
     return s.select("user_id", F.unix_micros("w.start").alias("started_us"), F.unix_micros("w.end").alias("ended_us"), "beats")
+
+
+@query(with_views("""
+WITH a AS (SELECT tile_id, source, seq % 2 AS try, status = 'ok' AS ok, CASE WHEN seq % 5 = 0 THEN 'timeout' WHEN seq % 7 = 0 THEN 'refused' ELSE 'service_error' END AS kind FROM fx_jobs),
+t AS (SELECT source, tile_id, coalesce(bool_or(try = 0 AND NOT ok), FALSE) AS failed, coalesce(bool_or(try = 0 AND NOT ok AND kind IN ('timeout', 'service_error')), FALSE) AS worth, bool_or(try > 0) AS tried, bool_or(try > 0 AND ok) AS mended FROM a GROUP BY source, tile_id)
+SELECT source, count(*) FILTER (failed) AS failed, count(*) FILTER (failed AND worth AND tried) AS retried, count(*) FILTER (failed AND worth AND tried AND mended) AS recovered, count(*) FILTER (failed AND NOT (worth AND tried AND mended)) AS lost FROM t GROUP BY source
+"""))
+def failure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that failed at first, those tried again, and how that ended."""
+    e = view(spark, sf_dir, "fx_jobs")
+    kind = F.when(F.col("seq") % 5 == 0, "timeout").when(F.col("seq") % 7 == 0, "refused").otherwise("service_error")
+    return jobs.ledger(e.select("tile_id", "source", (F.col("seq") % 2).alias("try"), (F.col("status") == "ok").alias("ok"), kind.alias("kind")))

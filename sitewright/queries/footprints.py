@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.functions import geometry as G
 from sitewright.operators import curves, dedup, spatial
 from sitewright.queries import query
-from sitewright.queries.fixtures import view, with_views
+from sitewright.queries.fixtures import table, view, with_views
 
 CELL = 50.0
 #: SQL for a rectangle of a view with e0, n0, e1, n1: the middle of its area, which is its representative point.
@@ -46,8 +46,6 @@ def geojson_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_name, p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1 OR p_brand = ''
 """)
 def first_named_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sitewright.queries.fixtures import table
-
     return dedup.first_named(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_partkey"), "p_brand", ["p_partkey"])
 
 
@@ -156,12 +154,22 @@ def sampled_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.scored(pairs, "ra", "rb").where("iou >= 0.1").select("i", "j", F.round("iou", 6).alias("iou"))
 
 
-@query()
+_GREEDY = _SCORED.replace("WITH p AS", "WITH RECURSIVE p AS") + """, m AS (SELECT i, j, iou, FALSE AS taken FROM s WHERE iou >= 0.1
+  UNION ALL SELECT i, j, iou, best FROM (SELECT *, bool_or(best) OVER (PARTITION BY i) AS of_i, bool_or(best) OVER (PARTITION BY j) AS of_j FROM (
+    SELECT i, j, iou, row_number() OVER (PARTITION BY i ORDER BY iou DESC, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY iou DESC, i) = 1 AS best FROM m WHERE NOT taken)) WHERE best OR NOT (of_i OR of_j)),
+f AS (SELECT i, j, iou FROM m WHERE taken)
+"""
+
+
+@query(with_views(_GREEDY + "SELECT i, j, round(iou, 6) AS iou FROM f"))
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.match(*_pairs(spark, sf_dir)).select("i", "j", F.round("iou", 6).alias("iou"))
 
 
-@query()
+@query(with_views(_GREEDY + """
+SELECT count(*) AS matched, round(quantile_cont(iou, 0.1), 6) AS p10, round(quantile_cont(iou, 0.5), 6) AS p50, round(quantile_cont(iou, 0.9), 6) AS p90,
+  (SELECT count(*) FROM fx_footprints WHERE src = 'ours' AND fid NOT IN (SELECT i FROM f)) AS unmatched_ours, (SELECT count(*) FROM fx_footprints WHERE src = 'theirs' AND fid NOT IN (SELECT j FROM f)) AS unmatched_theirs FROM f
+"""))
 def match_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of both sides and of matches, and percentiles of their overlap."""
     ours, theirs = _pairs(spark, sf_dir)
@@ -173,7 +181,16 @@ def match_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(left).join(right)  # one row each
 
 
-@query()
+@query(with_views(f"""
+WITH RECURSIVE v AS (SELECT *, {MIDDLE} FROM fx_footprints), b AS (SELECT * FROM v WHERE src = 'ours' AND fid % 2 = 0),
+c AS (SELECT *, 2 * fid + CASE WHEN src = 'theirs' THEN 1000000000000 ELSE 0 END AS o FROM v WHERE (src = 'theirs' OR fid % 2 = 1) AND NOT EXISTS (
+  SELECT 1 FROM b WHERE (v.px >= b.e0 AND v.px < b.e1 AND v.py >= b.n0 AND v.py < b.n1) OR (b.px >= v.e0 AND b.px < v.e1 AND b.py >= v.n0 AND b.py < v.n1))),
+k AS (SELECT x.o AS u, y.o AS w FROM c x JOIN c y ON (x.px >= y.e0 AND x.px < y.e1 AND x.py >= y.n0 AND x.py < y.n1) OR (y.px >= x.e0 AND y.px < x.e1 AND y.py >= x.n0 AND y.py < x.n1)),
+m AS (SELECT DISTINCT u, w, FALSE AS taken FROM k
+  UNION ALL SELECT u, w, eu AND u = w FROM (SELECT *, bool_or(ew AND u <> w) OVER (PARTITION BY u) AS gu, bool_or(eu AND u <> w) OVER (PARTITION BY w) AS gw FROM (
+    SELECT u, w, min(w) OVER (PARTITION BY u) = u AS eu, min(u) OVER (PARTITION BY w) = w AS ew FROM m WHERE NOT taken)) WHERE (eu AND u = w) OR NOT (eu OR ew OR gu OR gw))
+SELECT src = 'theirs' AS late, fid FROM c WHERE o IN (SELECT u FROM m WHERE taken)
+"""))
 def fuse_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints of the second source that enter beside the first one's."""
     v = rectangles(spark, sf_dir)
@@ -249,7 +266,12 @@ def way_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("fid"), F.size("ring").cast("long").alias("vertices"), F.round(F.aggregate("ring", F.lit(0.0), lambda s, p: s + p["x"]), 6).alias("sum_x"))
 
 
-@query()
+@query(with_views(_SEGMENTS.replace("WITH e AS", "WITH RECURSIVE e AS") + """, s AS (SELECT x, y, nx AS x2, ny AS y2 FROM e WHERE src = 'ours' UNION ALL SELECT x, y, x - 0.5, y - 0.5 FROM e WHERE src = 'ours' AND seq = 0),
+d AS (SELECT DISTINCT least((x, y), (x2, y2)) AS a, greatest((x, y), (x2, y2)) AS b FROM s WHERE (x, y) <> (x2, y2)), h AS (SELECT a AS p, b AS q FROM d UNION ALL SELECT b, a FROM d),
+c AS (SELECT 0 AS k, p, q, CAST(-1 AS BIGINT) AS before FROM h
+  UNION ALL SELECT k + 1, p, q, n FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY p) AS np, count(*) OVER (PARTITION BY q) AS nq FROM c) WHERE n <> before AND np > 1 AND nq > 1)
+SELECT p[1] AS x, p[2] AS y, q[1] AS x2, q[2] AS y2 FROM c WHERE p < q AND k = (SELECT max(k) FROM c)
+"""))
 def two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that are left once every spike is pruned."""
     edges = rings(spark, sf_dir).where("src = 'ours'").select("fid", F.posexplode(G.edges("ring")).alias("pos", "e")).select("fid", "pos", "e.a", "e.b")
@@ -257,8 +279,36 @@ def two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.two_core(dedup.distinct_edges(edges.unionByName(spikes), ["fid", "pos"])).select("a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
 
 
+@query("""
+WITH m AS (SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS pos, CASE WHEN l_suppkey % 7 = 0 THEN 'node' ELSE 'way' END AS type, l_partkey AS ref,
+  CASE l_returnflag WHEN 'R' THEN 'outer' WHEN 'A' THEN 'inner' ELSE '' END AS role FROM lineitem),
+w AS (SELECT *, bool_or(role = 'outer') OVER (PARTITION BY id) AS told FROM m WHERE type = 'way')
+SELECT id, pos, ref AS way FROM w WHERE role = 'outer' OR NOT told
+""")
+def relation_outer_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways of relations' outer rings; members are made from order lines."""
+    m = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_suppkey") % 7 == 0, "node").otherwise("way").alias("type"),
+        F.when(F.col("l_returnflag") == "R", "outer").when(F.col("l_returnflag") == "A", "inner").otherwise("").alias("role"),
+    )
+    members = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "type", "role"))), lambda s: F.struct(s["type"].alias("type"), s["l_partkey"].alias("ref"), s["role"].alias("role")))
+    return spatial.relation_ways(m.groupBy("id").agg(members.alias("members")))
+
+
 @query()
 def boundary_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-line boundaries of parcels: each shared edge once, chained between junctions."""
     v = view(spark, sf_dir, "fx_parcels").select(F.col("parcel_id").alias("ord"), G.rectangle("e0", "n0", "e1", "n1").alias("ring"))
     return curves.boundaries(v).select(F.size("curve").alias("vertices"), F.to_json("curve").alias("curve"))
+
+
+@query(with_views("""
+WITH k AS (SELECT CASE WHEN parcel_id % 3 = 0 THEN 'north' ELSE 'south' END AS kind, e0, n0, e1, n1 FROM fx_parcels),
+s AS (SELECT kind, (e0, n0) AS a, (e1, n0) AS b FROM k UNION ALL SELECT kind, (e1, n0), (e1, n1) FROM k UNION ALL SELECT kind, (e0, n1), (e1, n1) FROM k UNION ALL SELECT kind, (e0, n0), (e0, n1) FROM k)
+SELECT kind, CAST(sum(len) AS DOUBLE) AS metres FROM (SELECT kind, 20.0 AS len FROM s GROUP BY kind, a, b) GROUP BY kind
+"""))
+def categorised_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres of single-line boundaries in each category of parcels; a line between two categories belongs to both."""
+    v = view(spark, sf_dir, "fx_parcels").select(F.col("parcel_id").alias("ord"), F.when(F.col("parcel_id") % 3 == 0, "north").otherwise("south").alias("kind"), G.rectangle("e0", "n0", "e1", "n1").alias("ring"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("curve") - 1), lambda i: F.hypot(F.get("curve", i)["x"] - F.get("curve", i - 1)["x"], F.get("curve", i)["y"] - F.get("curve", i - 1)["y"]))
+    return curves.boundaries(v, "kind").select("kind", F.aggregate(steps, F.lit(0.0), lambda a, b: a + b).alias("m")).groupBy("kind").agg(F.round(F.sum("m"), 3).alias("metres"))

@@ -127,12 +127,12 @@ def area_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT p_brand AS category, p_partkey AS source_id, p_size % 4 AS tier, p_partkey % 11 = 0 AS reference FROM part WHERE p_size % 5 <> 0)
+WITH t AS (SELECT p_brand AS category, p_partkey AS source_id, p_size % 4 AS tier, p_partkey % 11 = 0 AS reference FROM part)
 SELECT category, source_id, tier, CASE WHEN reference THEN 'reference' WHEN tier = min(tier) OVER (PARTITION BY category) THEN 'base' ELSE 'fill' END AS role FROM t
 """)
 def tier_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    sources = p.where("p_size % 5 <> 0").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("source_id"), (F.col("p_size") % 4).alias("tier"), (F.col("p_partkey") % 11 == 0).alias("reference"))
+    sources = p.select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("source_id"), (F.col("p_size") % 4).alias("tier"), (F.col("p_partkey") % 11 == 0).alias("reference"))
     return land.resolve(sources)
 
 

@@ -82,9 +82,15 @@ def canopy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canopy_frame(spark, sf_dir).select(F.col("col").cast("long"), F.col("row").cast("long"), F.round("height", 6).alias("height"))
 
 
-@query()
+@query(with_views(_HIGH + """, t AS (SELECT *, row_no * 40 + col AS k FROM hi), e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON (abs(a.col - b.col) + abs(a.row_no - b.row_no)) = 1),
+r AS (SELECT k, k AS to_k FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.to_k),
+c AS (SELECT k, min(to_k) AS cluster FROM r GROUP BY k),
+g AS (SELECT cluster, count(*) AS pixels, round_even(quantile_cont(h, 0.9), 1) AS height, round_even(sqrt(count(*) / pi()), 1) AS crown_radius, avg(col) + 0.5 AS x, 29.5 - avg(row_no) AS y FROM c JOIN t USING (k) GROUP BY cluster)
+SELECT cluster, pixels, height, crown_radius, round(x, 6) AS x, round(y, 6) AS y FROM g WHERE pixels >= 2
+"""))
 def canopy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.canopy(canopy_frame(spark, sf_dir), WIDTH, 1.0, ORIGIN, least_area=2.0)
+    found = raster.canopy(canopy_frame(spark, sf_dir), WIDTH, 1.0, ORIGIN, least_area=2.0)
+    return found.select(F.col("cluster").cast("long"), "pixels", "height", "crown_radius", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(with_views("""

@@ -79,6 +79,25 @@ def lsq_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.offset_statistics(offsets(spark, sf_dir), []).select("interior", F.round("lsq_de", 4).alias("lsq_de"), F.round("lsq_dn", 4).alias("lsq_dn"))
 
 
+@query(with_views(_OFFSETS + """
+, i AS (SELECT *, tl IS NOT NULL AND u > 0 AND u < 1 AS inside FROM o),
+m AS (SELECT line_id, count(tl) AS c, count(*) FILTER (inside) AS n, sum(tn * tn) FILTER (inside) AS xx, sum(-tn * te) FILTER (inside) AS xy, sum(te * te) FILTER (inside) AS yy, sum(de) FILTER (inside) AS ve, sum(dn) FILTER (inside) AS vn,
+  stddev_pop(de) AS sde, stddev_pop(dn) AS sdn FROM i GROUP BY line_id),
+l AS (SELECT *, xx * yy - xy * xy AS det FROM m),
+f AS (SELECT *, CASE WHEN c >= 5 AND n >= 8 AND det >= 1e-6 * ((xx + yy) / 2) ** 2 THEN (ve * yy - xy * vn) / det END AS a, CASE WHEN c >= 5 AND n >= 8 AND det >= 1e-6 * ((xx + yy) / 2) ** 2 THEN (xx * vn - xy * ve) / det END AS b FROM l),
+s AS (SELECT *, sqrt(a * a + b * b) AS size, (degrees(atan2(a, b)) + 360) % 360 AS bearing FROM f)
+SELECT line_id, CASE WHEN c = 0 THEN 'INCONCLUSIVE: no matched road samples to measure an offset from.'
+  WHEN size IS NULL THEN 'INCONCLUSIVE: the least-squares offset estimate is undefined; the sampled road population is too close to one orientation to separate the two shift components.'
+  WHEN size < 0.3 THEN printf('NOT DETECTED: least-squares offset magnitude %.2f m is under 0.3 m.', size)
+  WHEN size BETWEEN 0.5 AND 1.5 AND abs((bearing - 45 + 180 + 360) % 360 - 180) <= 45 AND sqrt(sde * sde + sdn * sdn) < 2 * size THEN printf('CONSISTENT with the epoch-shift hypothesis: least-squares offset %.2f m at bearing %.0f degrees.', size, bearing)
+  ELSE printf('INCONCLUSIVE: least-squares offset %.2f m at bearing %.0f degrees does not clear every CONSISTENT band.', size, bearing) END AS verdict FROM s
+"""))
+def epoch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each road's shift between the two sources says of their epochs."""
+    s = spatial.offset_statistics(offsets(spark, sf_dir), ["line_id"])
+    return s.select("line_id", spatial.epoch_verdict("count", "lsq_de", "lsq_dn", "std_de", "std_dn").alias("verdict"))
+
+
 @query("""
 WITH v AS (SELECT user_id, CASE user_id % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'footway' WHEN 2 THEN 'bus_stop' WHEN 3 THEN 'service' WHEN 4 THEN 'steps' WHEN 5 THEN 'unclassified' ELSE 'cycleway' END AS highway,
   CASE event_id % 5 WHEN 0 THEN 'parking_aisle' WHEN 1 THEN 'driveway' ELSE NULL END AS service FROM events)

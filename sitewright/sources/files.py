@@ -98,15 +98,20 @@ _POLYGON = f"`gml:Polygon` STRUCT<`gml:exterior` STRUCT<{_LINEAR}>, `gml:interio
 
 
 def map_features(spark: SparkSession, path: str, kinds: Sequence[str] = MAP_TYPES) -> DataFrame:
-    """(feature_type, id, code, theme, class, name, outline) of open map GML; lines and points have no outline."""
-    schema = f"`_gml:id` STRING, `oml:featureCode` INT, `oml:buildingTheme` STRING, `oml:siteTheme` STRING, `oml:classification` STRING, `oml:distinctiveName` STRING, `oml:geometry` STRUCT<`gml:Surface`: STRUCT<`gml:patches`: STRUCT<{_PATCH.replace('` STRUCT', '`: STRUCT', 1)}>>, {_POLYGON.replace('` STRUCT', '`: STRUCT', 1)}>"
+    """(feature_type, id, code, theme, class, name, outline, holes, line, point) of open map GML; a feature has an outline, a line or a point."""
+    schema = f"`_gml:id` STRING, `oml:featureCode` INT, `oml:buildingTheme` STRING, `oml:siteTheme` STRING, `oml:classification` STRING, `oml:distinctiveName` STRING, `oml:geometry` STRUCT<`gml:Surface`: STRUCT<`gml:patches`: STRUCT<{_PATCH.replace('` STRUCT', '`: STRUCT', 1)}>>, {_POLYGON.replace('` STRUCT', '`: STRUCT', 1)}, `gml:LineString`: STRUCT<`gml:posList`: STRING>, `gml:Point`: STRUCT<`gml:pos`: STRING>>"
+    parse = lambda c: F.when(c.isNotNull(), G.parse_pos_list(c))
     out = None
     for kind in kinds:
         df = spark.read.format("xml").option("rowTag", f"oml:{kind}").schema(schema).load(path)
-        outline = F.coalesce(F.col("`oml:geometry`.`gml:Surface`.`gml:patches`.`gml:PolygonPatch`.`gml:exterior`.`gml:LinearRing`.`gml:posList`"), F.col("`oml:geometry`.`gml:Polygon`.`gml:exterior`.`gml:LinearRing`.`gml:posList`"))
+        shape = "`oml:geometry`.`gml:Surface`.`gml:patches`.`gml:PolygonPatch`", "`oml:geometry`.`gml:Polygon`"
+        outline = F.coalesce(*[F.col(f"{p}.`gml:exterior`.`gml:LinearRing`.`gml:posList`") for p in shape])
+        inner = F.coalesce(*[F.col(f"{p}.`gml:interior`") for p in shape], F.array().cast("array<struct<`gml:LinearRing`:struct<`gml:posList`:string>>>"))
+        holes = F.transform(F.filter(inner, lambda r: r["gml:LinearRing"]["gml:posList"].isNotNull()), lambda r: G.parse_pos_list(r["gml:LinearRing"]["gml:posList"]))
         df = df.select(
             F.lit(kind).alias("feature_type"), F.col("`_gml:id`").alias("id"), F.col("`oml:featureCode`").alias("code"), F.coalesce("`oml:buildingTheme`", "`oml:siteTheme`").alias("theme"),
-            F.col("`oml:classification`").alias("class"), F.col("`oml:distinctiveName`").alias("name"), F.when(outline.isNotNull(), G.parse_pos_list(outline)).alias("outline"),
+            F.col("`oml:classification`").alias("class"), F.col("`oml:distinctiveName`").alias("name"), parse(outline).alias("outline"),
+            F.when(outline.isNotNull(), holes).alias("holes"), parse(F.col("`oml:geometry`.`gml:LineString`.`gml:posList`")).alias("line"), F.get(parse(F.col("`oml:geometry`.`gml:Point`.`gml:pos`")), F.lit(0)).alias("point"),
         )
         out = df if out is None else out.unionByName(df)
     return out  # type: ignore[return-value]
@@ -176,10 +181,11 @@ def authorities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def downloads(spark: SparkSession, path: str, area: str, format_: str, subformat: str | None = None) -> DataFrame:
-    """The entry of a product's listing for an area and format, if there is one."""
+    """The entry of a product's listing for an area and format, if there is one; the first by name of several."""
     rows = spark.read.option("multiLine", True).schema("md5 STRING, size LONG, url STRING, format STRING, subformat STRING, area STRING, fileName STRING").json(path)
     want = (F.col("area") == area) & (F.col("format") == format_)
-    return rows.where(want if subformat is None else want & (F.col("subformat") == subformat)).limit(1)
+    found = rows.where(want if subformat is None else want & (F.col("subformat") == subformat))
+    return found.orderBy(F.col("fileName").asc_nulls_last(), F.col("url").asc_nulls_last()).limit(1)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
