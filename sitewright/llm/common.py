@@ -55,8 +55,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote in this application, and drop what ``keep`` holds."""
+def release_kept() -> None:
+    """Drop what ``keep`` holds."""
     while _KEPT:
         _KEPT.pop().unpersist()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this application, and drop what ``keep`` holds."""
+    release_kept()
     delete_cuts(spark)

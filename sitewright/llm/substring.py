@@ -7,20 +7,21 @@ into memory, and each group's subtree is built from its words alone.
 
 1. A suffix's first prefix is the least hashed run of GRAM words in its window.
    That depends on the window alone, so equal windows share a prefix, and
-   neighbouring ones mostly do too: they travel as one entry, the words that
-   they cover together. Every slice of documents first folds its own equal
-   windows into the earliest, so a passage that a third of all documents share
-   is sent once for each slice.
-2. Entries are dealt to bins of prefixes. A prefix with a single entry is a leaf
-   and ends there. The suffixes of the others are sorted by their words; where
-   neighbours agree over WINDOW words, they are leaves below one deep inner node,
-   a maximal repeat, and all but the earliest leaf are marked.
+   neighbouring ones mostly do too: they are one entry. Prefixes are counted; one
+   with a single entry is a leaf and ends there.
+2. The other entries are taken from their documents, with the words that they
+   cover together. Every slice of documents first folds its own equal windows
+   into the earliest, so a passage that a third of all documents share is sent
+   once for each slice. Entries go to bins of prefixes; a bin's suffixes are
+   sorted by their words, and where neighbours agree over WINDOW words, they are
+   leaves below one deep inner node, a maximal repeat: all but the earliest are
+   marked.
 3. A bin that passes CHUNK_WORDS is sorted a chunk at a time, and what no chunk
    could decide goes to another round with longer prefixes: the words that all
    of 7, then 4 neighbouring windows share, and at last whole windows. There the
    leaves of a group are equal, and every round leaves one for each chunk. A
-   prefix that holds a large share of a sample's entries is dealt to several
-   bins at once and takes the same way; the sample decides this layout only.
+   prefix that holds a large share of all entries is dealt to several bins at
+   once and takes the same way.
 
 Hashes choose groups and find candidates; words decide what is equal.
 
@@ -28,8 +29,9 @@ Results: a null text has no words; texts shorter than a window lose nothing; a
 text that loses no word stays as it is, and others keep all that stands outside
 of the words that they lose, up to the next word. ``doc_id`` names a document:
 rows that repeat one are versions of it, which never make repeats of each other
-at the same place, and a place is removed in all versions if it is in one; null
-comes after all others. Extra columns stay; an empty table gives an empty one.
+at the same place, and a place is removed in all versions if it is in one. Rows
+without an id come after all others, equal texts as versions of one document.
+Extra columns stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -54,12 +56,16 @@ BIN_BYTES = 2_000_000
 #: Words of entries that are sorted at once, and that a worker gathers before it deals them out.
 CHUNK_WORDS = 3_000_000
 HELD_WORDS = 8_000_000
-#: Bytes of the sample that finds hot prefixes, as expected, and the least entries there that make one.
-SAMPLE_BYTES = 16_000_000
-HOT_ENTRIES = 64
+#: Bytes of text to a bin of the count, and entries that a worker gathers before it sends their keys.
+COUNT_BYTES = 64_000_000
+HELD_ENTRIES = 1_500_000
+#: The least entries of a prefix that is dealt to several bins, and bytes of text to an entry, as expected.
+HOT_ENTRIES = 4_096
+ENTRY_BYTES = 50
 #: Bins of this number and above hold parts of hot prefixes.
 _HOT_BIN = 1 << 40
-_LAST = np.iinfo(np.int64).max
+#: Names of rows without an id begin here.
+_NAMELESS = 1 << 62
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -100,7 +106,10 @@ def _flat(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _joined(parts: list[Entries]) -> Entries:
     """Entries over one vocabulary, in which equal words have one place."""
     known: dict[bytes, int] = {}
-    words = [np.array([known.setdefault(w, len(known)) for w in p.vocab], np.int32)[p.words] for p in parts]
+    words = []
+    for p in parts:
+        used, place = np.unique(p.words, return_inverse=True)
+        words.append(np.array([known.setdefault(p.vocab[i], len(known)) for i in used.tolist()], np.int32)[place])
     cols = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(k) for i, k in enumerate(_KINDS)]
     return Entries(*cols, np.concatenate([*words, np.zeros(0, np.int32)]), list(known))
 
@@ -117,6 +126,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _windows(words: Words) -> np.ndarray:
+    """First words of all windows."""
+    doc = words.doc()
+    return np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
+
+
 def _anchors(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window's first word the place of its anchor, and a hash of the anchor's words."""
     gram = np.full(len(words.hash), ~np.uint64(0))
@@ -166,14 +181,38 @@ def _numbered(words: Words) -> tuple[np.ndarray, list[bytes]]:
     return np.array(places, np.int32), list(known)
 
 
-def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[list[int], list[bytes]]]:
-    """A slice's entries without the windows that repeat earlier ones of the slice, and the spans of these."""
+def _prefixes(doc: np.ndarray, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each entry its key, its document and its anchor's place there."""
+    words = Words(texts)
+    at = _windows(words)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    anchor, key = _anchors(words, at)
+    first = np.flatnonzero(_heads(anchor))
+    of = words.doc()[anchor[first]]
+    return key[first], doc[of], anchor[first] - words.first[of]
+
+
+def _fold(doc: np.ndarray, texts: list[bytes | None], wanted: list[np.ndarray] | None = None) -> tuple[Entries, tuple[list[int], list[bytes]]]:
+    """A slice's entries without the windows that repeat earlier ones of the slice, and the spans of these.
+
+    ``wanted``: for each text the places of the anchors whose entries matter; all without it.
+    """
     order = np.argsort(doc, kind="stable")
     doc, texts = doc[order], [texts[i] for i in order]
     words = Words(texts)
-    at, full = words.grams(WINDOW)
+    at = _windows(words)
+    if len(at):
+        anchor, key = _anchors(words, at)
+    if len(at) and wanted is not None:
+        meant = np.zeros(len(words.hash), bool)
+        for i, k in enumerate(order.tolist()):
+            meant[words.first[i] + wanted[k][wanted[k] < words.first[i + 1] - words.first[i]]] = True
+        some = np.flatnonzero(meant[anchor])
+        at, anchor, key = at[some], anchor[some], key[some]
     if not len(at):
         return _joined([]), ([], [])
+    full = words.runs(at, at + WINDOW)
     place, vocab = _numbered(words)
     of = words.doc()[at]
     start = at - words.first[of]
@@ -185,7 +224,7 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
     again = lead != np.arange(len(at))
     dup = np.flatnonzero(again)
     if len(dup):  # runs of windows that repeat one passage; words decide
-        first = np.flatnonzero(_heads(dup - np.arange(len(dup)), lead[dup] - np.arange(len(dup)), of[dup], of[lead[dup]]))
+        first = np.flatnonzero(_heads(at[dup] - np.arange(len(dup)), at[lead[dup]] - np.arange(len(dup)), of[dup], of[lead[dup]]))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(dup)]):
             i, j, n = at[dup[a]], at[lead[dup[a]]], b - a + WINDOW - 1
             if (place[i : i + n] != place[j : j + n]).any():
@@ -193,9 +232,8 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
     mark = np.flatnonzero(again & ((doc[of] != doc[of[lead]]) | (start != start[lead])))
     mark = mark[np.lexsort((start[mark], doc[of[mark]]))]
 
-    anchor, key = _anchors(words, at)
     send = np.flatnonzero(~again)
-    first = np.flatnonzero(_heads(anchor[send], send - np.arange(len(send)), of[send]))
+    first = np.flatnonzero(_heads(anchor[send], at[send] - np.arange(len(send))))
     many = np.diff(np.append(first, len(send)))
     e = send[first]
     entries = Entries(key[e], doc[of[e]], start[e], anchor[e] - at[e], many, place[_flat(at[e], at[e] + many + WINDOW - 1)], vocab)
@@ -206,12 +244,30 @@ def _fold(doc: np.ndarray, texts: list[bytes | None]) -> tuple[Entries, tuple[li
 _SENT = ("<u4", *_KINDS[1:])
 
 
-def _dealt(entries: Entries, bins: int, hot: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
-    """(bin, compressed entries, their size and words) for each bin; ``hot``: sorted keys that are dealt to ``tiles`` bins each."""
-    to = (entries.key // np.uint64(((1 << 64) - 1) // bins)).astype(np.int64)
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, entries.key), len(hot) - 1)
-        is_hot = hot[place] == entries.key
+def _bin(key: np.ndarray, bins: int) -> np.ndarray:
+    return (key // np.uint64(((1 << 64) - 1) // bins)).astype(np.int64)
+
+
+def _short(key: np.ndarray, bins: int) -> np.ndarray:
+    """Names of prefixes as the count knows them: the bin, and the low half of the key; with no bins the key itself."""
+    return (_bin(key, bins).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)) if bins else key
+
+
+class Hot(NamedTuple):
+    """Prefixes that are dealt to several bins: sorted names over ``bins``, and how many bins each gets."""
+
+    names: np.ndarray
+    tiles: np.ndarray
+    bins: int
+
+
+def _dealt(entries: Entries, bins: int, hot: Hot) -> Iterator[tuple[int, bytes, int, int]]:
+    """(bin, compressed entries, their size and words) for each bin."""
+    to = _bin(entries.key, bins)
+    if len(hot.names):
+        name = _short(entries.key, hot.bins)
+        place = np.minimum(np.searchsorted(hot.names, name), len(hot.names) - 1)
+        is_hot, tiles = hot.names[place] == name, hot.tiles
         salt = mix(entries.doc.astype(np.uint64) ^ np.uint64(0x5A17)) % tiles[place].astype(np.uint64)
         own = mix(entries.key + mix(salt + np.uint64(1))) >> np.uint64(24)
         to = np.where(is_hot, own.astype(np.int64) + _HOT_BIN, to)
@@ -313,10 +369,11 @@ def _decided_later(batch: pa.RecordBatch) -> Entries:
 
 def _grown(parts: list[Entries], whole: bool, level: int) -> Iterator[pa.RecordBatch]:
     """Marks of a bin or of a chunk of it, and, unless it is whole, what is left to decide."""
+    if whole:  # prefixes with one entry are leaves
+        keys, place, count = np.unique(np.concatenate([p.key for p in parts]), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(p.key) for p in parts])
+        parts = [p.take(np.flatnonzero(c > 1)) for p, c in zip(parts, np.split(count[place], ends[:-1]))]
     entries = _joined(parts)
-    if whole:
-        _, place, count = np.unique(entries.key, return_inverse=True, return_counts=True)
-        entries = entries.take(np.flatnonzero(count[place] > 1))  # the others are leaves
     if not len(entries.key):
         return
     tree = Subtree(entries)
@@ -363,9 +420,9 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()))], names=["bin", "doc", "size", "words", "data"])
 
 
-def _rows_of(held: list[Entries], bins: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _rows_of(held: list[Entries], bins: int, hot: Hot) -> Iterator[pa.RecordBatch]:
     rows = []
-    for to, data, size, words in _dealt(_joined(held), bins, *hot):
+    for to, data, size, words in _dealt(_joined(held), bins, hot):
         rows.append((to, None, size, words, data))
         if len(rows) == 100:
             yield _row_batch(rows)
@@ -373,7 +430,7 @@ def _rows_of(held: list[Entries], bins: int, hot: tuple[np.ndarray, np.ndarray])
     yield _row_batch(rows)
 
 
-def _deal(found: Iterator[tuple[Entries, tuple[list[int], list[bytes]]]], bins: int, hot: tuple[np.ndarray, np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+def _deal(found: Iterator[tuple[Entries, tuple[list[int], list[bytes]]]], bins: int, hot: Hot, most: int) -> Iterator[pa.RecordBatch]:
     """Rows (bin, doc, size, words, data): entries by bin, and spans in bins below 0, which nothing gathers."""
     held: list[Entries] = []
     size = 0
@@ -391,42 +448,116 @@ def _deal(found: Iterator[tuple[Entries, tuple[list[int], list[bytes]]]], bins:
 _DEALT = "bin long, doc long, size long, words long, data binary"
 
 
-def _hot(counts: DataFrame, total: int, partitions: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (key, n) of over a quarter of a partition's share, of which there are at most 4 for each partition, and how many bins each gets."""
-    share = max(least, total / (4 * partitions))
-    rows = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in counts.where(F.col("n") > share).collect())
-    return np.array([k for k, _ in rows], np.uint64), np.array([-(-n // int(share)) for _, n in rows], np.uint64)
+def _hot(counts: DataFrame, total: float, parts: int, bins: int) -> Hot:
+    """Of names (name, n) those of over a quarter of a partition's share, of which there are at most 4 for each partition."""
+    share = max(HOT_ENTRIES, total / (4 * parts))
+    rows = sorted((r["name"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in counts.where(F.col("n") > share).collect())
+    return Hot(np.array([k for k, _ in rows], np.uint64), np.array([-(-n // int(share)) for _, n in rows], np.uint64), bins)
 
 
-def _sampled(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hot prefixes in a sample of documents."""
-    draw = F.pmod(F.xxhash64(F.lit("prefixes"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+_PLACES = "doc long, place int, name long, n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _place_batch(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc", "place", "name", "n"])
+
+
+def _shared_places(texts: DataFrame, bins: int) -> DataFrame:
+    """(doc, place) of the anchors of prefixes with several entries, and (name, n) of those with HOT_ENTRIES or more."""
+    most, hot = HELD_ENTRIES, HOT_ENTRIES
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part, of in slices(batch):
-                entries, _ = _fold(np.arange(part.num_rows), of)
-                keys, n = np.unique(entries.key.astype(np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+                held.append(_prefixes(np.asarray(part.column(0)), of))
+                size += len(held[-1][0])
+                if size > most:
+                    yield from sent(held)
+                    held, size = [], 0
+        yield from sent(held)
+
+    def sent(held: list) -> Iterator[pa.RecordBatch]:
+        key, doc, place = (np.concatenate([h[i] for h in held] or [np.zeros(0, k)]) for i, k in enumerate((np.uint64, np.int64, np.int64)))
+        order = np.argsort(key, kind="stable")
+        key, doc, place = key[order], doc[order], place[order]
+        first = np.flatnonzero(_heads(key)) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        known = np.flatnonzero(np.repeat(count > 1, count))  # shared here already; nothing gathers bins below 0
+        known = known[np.argsort(doc[known], kind="stable")]
+        cuts = np.flatnonzero(_heads(doc[known])).tolist() if len(known) else []
+        places = place[known].astype("<u4")
+        rows = [(-1 - (int(doc[known[a]]) & 0xFFFFFFFF), int(doc[known[a]]), 0, 0, places[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(known)])]
+        cols = [(key[first] & np.uint64(0xFFFFFFFF)).astype("<u4"), count.astype("<u4"), doc[first].astype("<i8"), place[first].astype("<u4")]
+        to = _bin(key[first], bins)
+        cuts = np.flatnonzero(_heads(to)).tolist() if len(to) else []
+        rows += [(int(to[a]), None, b - a, 0, b"".join([c[a:b].tobytes() for c in cols])) for a, b in zip(cuts, [*cuts[1:], len(to)])]
+        for i in range(0, len(rows), 2_000):
+            yield _row_batch(rows[i : i + 2_000])
+        trim()
+
+    def counted(now: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cols = []
+        for kind, at, to in (("<u4", 0, 4), ("<u4", 4, 8), ("<i8", 8, 16), ("<u4", 16, 20)):
+            cols.append(np.concatenate([np.frombuffer(d[at * n : to * n], kind) for n, d in held]))
+        low, count, doc, place = cols
+        order = np.argsort(low, kind="stable")
+        first = np.flatnonzero(_heads(low[order]))
+        total = np.add.reduceat(count[order].astype(np.int64), first)
+        shared = order[np.repeat(total > 1, np.diff(np.append(first, len(low)))) & (count[order] == 1)]
+        shared = shared[np.argsort(doc[shared], kind="stable")]
+        yield _place_batch(doc[shared], place[shared])
+        many = np.flatnonzero(total >= hot)
+        if len(many):
+            name = (np.uint64(now) << np.uint64(32)) | low[order][first[many]].astype(np.uint64)
+            empty = pa.nulls(len(many), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, empty.cast(pa.int32()), pa.array(name.view(np.int64)), pa.array(total[many])], names=["doc", "place", "name", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for to, doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                if to < 0:
+                    places = np.frombuffer(data, "<u4")
+                    yield _place_batch(np.full(len(places), doc), places)
+                    continue
+                if to != now and held:
+                    yield from counted(now, held)
+                    held = []
+                    trim()
+                now = to
+                held.append((n, data))
+        if held:
+            yield from counted(now, held)
+            trim()
 
-    counts = texts.where(draw < min(1.0, SAMPLE_BYTES / max(1, total))).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "prefixes")
-    return _hot(counts, counts.agg(F.sum("n")).first()[0] or 0, partitions(texts), HOT_ENTRIES)
+    # the rows of a bin follow each other, so a task holds one bin
+    return texts.mapInArrow(keys, _DEALT).repartition("bin").sortWithinPartitions("bin").mapInArrow(count, _PLACES)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc, spans: of each document the word ranges that repeat earlier ones, as pairs of unsigned 32-bit numbers."""
-    texts = docs.select("doc_id", "text")
+def repeats(texts: DataFrame) -> DataFrame:
+    """doc, spans: of each document (doc, text) the word ranges that repeat earlier ones, as pairs of unsigned 32-bit numbers."""
+    texts = texts.select("doc", "text")
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts, most = partitions(docs), HELD_WORDS
+    parts, most = partitions(texts), HELD_WORDS
     bins = lambda size: max(4 * parts, int(size // BIN_BYTES))
-    hot, n_bins = _sampled(texts, total), bins(total)
+    counts = max(4 * parts, total // COUNT_BYTES)
+    places = cut(_shared_places(texts, counts), "places")
+    hot, n_bins = _hot(places.where("name IS NOT NULL"), total / ENTRY_BYTES, parts, counts), bins(total)
+    wanted = places.where("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("place").alias("places"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (_fold(np.asarray(part.column(0).fill_null(_LAST), np.int64), of) for batch in batches for part, of in slices(batch))
-        yield from _deal(found, n_bins, hot, most)
+        def found() -> Iterator[tuple[Entries, tuple[list[int], list[bytes]]]]:
+            for batch in batches:
+                for part, of in slices(batch):
+                    yield _fold(np.asarray(part.column(0)), of, [np.asarray(x.values) for x in part.column(2)])
+
+        yield from _deal(found(), n_bins, hot, most)
 
-    out = cut(_forest(texts.mapInArrow(first, _DEALT), 0), "repeats")
+    # in order, so that a task that runs again cuts the same slices
+    rows = texts.join(wanted, "doc").select("doc", "text", "places").sortWithinPartitions("doc")
+    out = cut(_forest(rows.mapInArrow(first, _DEALT), 0), "repeats")
     marks = [out]
     for level in range(1, 100):
         left = out.where("key IS NOT NULL")
@@ -434,9 +565,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         if not size["n"]:
             break
         level = min(level, len(LEVELS) - 1)
-        hot, n_bins = _hot(left.groupBy("key").agg(F.count("*").alias("n")), size["n"], parts, HOT_ENTRIES * HOT_ENTRIES), bins(size["bytes"])
+        hot, n_bins = _hot(left.groupBy(F.col("key").alias("name")).agg(F.count("*").alias("n")), size["n"], parts, 0), bins(size["bytes"])
 
-        def again(batches: Iterator[pa.RecordBatch], hot: tuple = hot, n_bins: int = n_bins) -> Iterator[pa.RecordBatch]:
+        def again(batches: Iterator[pa.RecordBatch], hot: Hot = hot, n_bins: int = n_bins) -> Iterator[pa.RecordBatch]:
             yield from _deal(((_decided_later(b), ([], [])) for b in batches), n_bins, hot, most)
 
         out = cut(_forest(left.select("key", "doc", "start", "off", "many", "text").mapInArrow(again, _DEALT), level), "repeats")
@@ -467,8 +598,9 @@ def _without(words: Words, i: int, text: bytes, at: int, spans: list[bytes]) ->
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs with the words that stay in ``text``, and n_words and n_removed."""
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    name = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("__doc")
-    rows = docs.select(*rest, "text", name).join(repeats(docs).withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), "__doc", "left").select(*rest, "__spans", "text")
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(_NAMELESS)))
+    found = repeats(docs.select(name.alias("doc"), "text")).withColumnsRenamed({"doc": "__doc", "spans": "__spans"})
+    rows = docs.select(*rest, "text", name.alias("__doc")).join(found, "__doc", "left").select(*rest, "__spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.llm import ann, chat, langid, ngram_join, packing, queries, sharding, spm, substring, toxicity, vec_dedup
-from sitewright.llm.components import components
+from sitewright.operators.graphs import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPM, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -98,7 +98,7 @@ def kept_sha(text):
     return sha(b" ".join((text or "").encode().split()))
 
 
-@pytest.mark.parametrize(("bin_", "chunk", "hot"), [(10, 10**9, 64), (10**9, 10**9, 64), (2_000, 400, 64), (1_000, 900, 1)])
+@pytest.mark.parametrize(("bin_", "chunk", "hot"), [(10, 10**9, 4_096), (10**9, 10**9, 4_096), (2_000, 400, 64), (1_000, 900, 1)])
 def test_substring_dedup_equals_brute_force(docs, none, monkeypatch, bin_, chunk, hot):
     monkeypatch.setattr(substring, "BIN_BYTES", bin_)
     monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
@@ -546,7 +546,7 @@ def test_signature_tree_keeps_every_similar_pair():
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7), (200, None)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 105: 100}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 105: 100, 7: 0}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -611,3 +611,198 @@ def test_pipeline_equals_plain_stages(spark):
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept[names[3]])
     assert p.run(spark, sf).count() == packed.count()
+
+
+def tables(spark, folder, docs, schema, labels):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, ambiguous boolean, predicted int, n_removed long, __doc long, spans string"
+
+
+def test_pipeline_of_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    dice = random.Random(4)
+    word = lambda: "".join(dice.choice(["ba", "ke", "li", "mo"]) for _ in range(3))
+    long = " ".join(word() for _ in range(80))
+    extra = (0.5, "x", True, 7, 3, 9, "s")
+    rows = [(i, " ".join(word() for _ in range(40)), "en" if i % 2 else "de", None, 3, *extra) for i in range(12)]
+    rows += [(20, long, "en", "s", 4, *extra), (21, long, "en", "s", 4, *extra), (21, long, "en", "s", 4, *extra), (None, "no id " + long, None, None, None, *extra), (None, None, None, None, None, *extra), (30, "", "en", "s", 0, *extra), (31, " \n ", "en", "s", 0, *extra)]
+    sf = tables(spark, tmp_path, rows, CLASHING, [(1, 1, 0), (1, 1, 0), (None, 0, 1), (3, None, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and after.select("score", "lang_pred", "ambiguous", "predicted", "n_removed", "__doc", "spans").distinct().collect() == [extra]
+        docs = after
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.collect())
+    assert [g[1] for g in got if not g[0]] == [*range(12), 20] and [g[2] for g in got if g[0]] == ["no id "]
+    assert {r["doc_id"] for r in p.run(spark, sf).collect()} == {*range(12), 20, None}
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1)]])
+def test_pipeline_of_empty_tables(spark, tmp_path, labels):
+    import corpus_pipeline as p
+
+    sf = tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", labels)
+    assert p.run(spark, sf).count() == 0
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(i, f"some words of a text {i} that is short", "en", "s", 1) for i in range(6)]
+    sf = tables(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long", [])
+    assert {r["doc_id"] for r in p.run(spark, sf).collect()} == set(range(6))
+
+
+def letters(text):
+    out, now = [], b""
+    for b in (text or "").encode() + b" ":
+        if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128:
+            now += bytes([b + 32 if b <= 90 else b])
+        elif now:
+            out.append(now)
+            now = b""
+    return out
+
+
+def toxic_terms(text):
+    """Words and their beginnings of 4 to 9 bytes, counted."""
+    found = Counter()
+    for w in letters(text):
+        found[(0, w)] += 1
+        for n in range(4, 10):
+            if len(w) > n:
+                found[(n, w[:n])] += 1
+    return found
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    dice = random.Random(7)
+    plain = ["river", "mountain", "paper", "window", "garden", "sunlight"]
+    docs = []
+    for i in range(120):
+        text = [dice.choice(plain) for _ in range(12)]
+        if i % 4 == 1:
+            text += [dice.choice(["scumbag", "moron"])] * dice.randint(1, 2)
+        if i % 4 == 3 and i % 3 == 0:
+            text += ["scumbag"]
+        docs.append((i, " ".join(text) if i != 50 else None))
+    docs += [(None, "scumbag moron"), (7, "repeated id moron")]
+    labels = [(i, int(i % 4 == 1)) for i in range(0, 120)] + [(5, 1), (5, 1), (None, 1)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    _, index, _ = toxicity.fit(df, lab)
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 4 == 2
+    train = [(text, y) for d, y in labels if not held(d) for x, text in docs if x == d]
+    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    ones, zeros = Counter(), Counter()
+    for text, y in train:
+        (ones if y else zeros).update(set(toxic_terms(text)))
+    vocab = set()
+    for t, a in ones.items():
+        b = zeros[t]
+        chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * max(1, n1 + n0 - a - b))
+        if a >= 3 and a / n1 > 4 * b / n0 and chi > 8:
+            vocab.add(t)
+    df_of = Counter(t for _, text in docs for t in set(toxic_terms(text)) if t in vocab)
+    idf = {t: np.log((1 + len(docs)) / (1 + df_of[t])) + 1 for t in vocab}
+
+    def vector(text):
+        w = {t: (1 + np.log(n)) * idf[t] for t, n in toxic_terms(text).items() if t in vocab}
+        size = np.sqrt(sum(v * v for v in w.values()))
+        return {t: v / size for t, v in w.items()}
+
+    votes = defaultdict(lambda: [0, 0])
+    for text, y in train:
+        votes[tuple(sorted(vector(text).items()))][y] += 1
+    prior = votes.pop((), [0, 0])
+    assert 1 < len(votes) <= toxicity.NEIGHBOURS and len(vocab) > 4
+    total = np.sum(list(votes.values()), 0) + prior
+    base = (total[1] + 1e-3) / (sum(total) + 1)
+    for r, (_, text) in zip(toxicity.score(df, lab).collect(), docs):
+        v = vector(text)
+        if not v:
+            want = (prior[1] + 0.5 * base) / (sum(prior) + 0.5)
+        else:
+            near = [(sum(v[t] * x for t, x in row if t in v), n) for row, n in votes.items()]
+            near = [(c, n) for c, n in near if c > 0]
+            s = (sum(n[1] * min(c, 1.0) ** 8 for c, n in near) + 0.3 * base) / (sum(sum(n) * min(c, 1.0) ** 8 for c, n in near) + 0.3)
+            s = min(1 - 1e-6, max(1e-6, s))
+            want = 1 / (1 + np.exp(-(index.slope * np.log(s / (1 - s)) + index.shift))) if near else base
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def best_fit(lengths, room):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in bins if b + n <= room]
+        if fits:
+            bins.remove(max(fits))
+            bins.append(max(fits) + n)
+        else:
+            bins.append(n)
+    return len(bins)
+
+
+def fewest_bins(lengths, room):
+    """By trying all places of each length, the largest first."""
+    lengths = sorted(lengths, reverse=True)
+
+    def fits(k):
+        rooms, seen = [room] * k, set()
+
+        def put(i):
+            if i == len(lengths):
+                return True
+            state = (i, tuple(sorted(rooms)))
+            if state in seen:
+                return False
+            seen.add(state)
+            for r in set(rooms):
+                if r >= lengths[i]:
+                    j = rooms.index(r)
+                    rooms[j] -= lengths[i]
+                    if put(i + 1):
+                        return True
+                    rooms[j] += lengths[i]
+            return False
+
+        return put(0)
+
+    return next(k for k in range(-(-sum(lengths) // room), len(lengths) + 1) if fits(k))
+
+
+def test_bins_are_never_more_than_best_fit():
+    for seed in range(1_000):
+        dice = random.Random(seed)
+        lengths = [dice.randint(20, 60) for _ in range(dice.randint(6, 40))]
+        assert sum(k for _, k in packing.complete_bins(dict(Counter(lengths)), 100)) <= best_fit(lengths, 100)
+
+
+def test_bins_of_few_pieces_are_the_fewest():
+    for seed in range(200):
+        dice = random.Random(seed)
+        lengths = [dice.randint(5, 60) for _ in range(dice.randint(2, 20))]
+        assert sum(k for _, k in packing.complete_bins(dict(Counter(lengths)), 100)) == fewest_bins(lengths, 100)
+
+
+def test_packing_of_null_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, "a b c", 1, 2), (None, "a b c", 1, 2), (4, "a b c", 1, 2), (4, "a b c", 1, 2), (5, None, 1, 2)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, length int, part int"), BPE).collect()
+    assert len(got) == 5 and len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
+def test_ngram_join_of_null_ids_and_repeated_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(9, text, 1), (9, text, 1), (None, text, 1), (None, text, 1), (12, text.upper(), 1), (3, None, 1), (None, "alone in this text here", 1)]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string, shared int")).collect())
+    assert got == [(0, 2, 0), (0, 4, 9), (0, 4, 9), (3, 0, 3), (9, 4, 9), (9, 4, 9), (12, 4, 9)]
+
+
+def test_chat_of_very_long_texts_and_conversations(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} ###") for t in range(3_000)] + [(2, 0, "assistant", "### </turn> x " * 40_000)]
+    got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1]["n_turns"] == 3_000 and got[2]["loss_chars"] == 14 * 40_000 and got[2]["loss_sha256"] == sha("### </turn> x " * 40_000)
