@@ -3,7 +3,16 @@
 Documents in a language that can't be told and toxic ones go, one document of
 each group of near duplicates stays, passages that repeat earlier ones are cut,
 and what is left is packed into sequences. Each stage's rows are written as
-Parquet and read again as the next one's documents.
+Parquet and read again as the next one's documents, and what the stage wrote for
+itself is deleted then.
+
+Results: a null text, or one without a letter, goes in the first stage; an empty
+table passes through all of them; extra columns stay, whatever their names. Rows
+that repeat a doc_id are judged one by one for language and toxicity; after that
+they are one document, which goes if a row of it is a copy of an earlier one and
+loses the passages that any of its rows loses. The near-duplicate stage keeps
+rows without a doc_id, as nothing tells which one is meant, and they lose what
+repeats earlier passages.
 """
 
 from __future__ import annotations
@@ -13,24 +22,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm import langid, ngram_join, packing, substring, toxicity
-from sitewright.llm.common import cut, table
+from sitewright.llm.common import cut, release_kept, table
+from sitewright.session import passing, path_of
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among ``gone``."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _apart(docs: DataFrame, *read: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but those that an operator reads under names that it can't have, and the way back."""
+    names = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in read}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and those whose two nearest languages can't be told apart."""
     model = langid.train(docs.where(~langid.held_out(5, 0)))
-    found = langid.annotate(docs, model).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
-    return found.select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    found = langid.annotate(rows, model).where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).drop("lang_pred", "score", "ambiguous")
+    return found.withColumnsRenamed(back).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the nearest labelled ones vote toxic."""
-    return toxicity.annotate(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    found = toxicity.annotate(rows, table(spark, sf_dir, "labels")).where("predicted = 0")
+    return found.drop("score", "neighbours", "nearest", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words inside repeats of earlier passages; other texts stay as they are, and documents of which nothing stays go."""
-    out = substring.deduplicate(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text", "n_chars")
+    out = substring.deduplicate(rows).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", chars)
+    return out.drop("n_words", "n_removed").withColumnsRenamed(back).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +85,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, from ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with passing(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir), name)
+            kept.append(path_of(docs))
+        release_kept()
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
