@@ -8,7 +8,7 @@ import sys
 from sitewright import queries
 from sitewright.functions import categories as K
 from sitewright.plans.package import Request, plan_tiles
-from sitewright.session import local
+from sitewright.session import delete_cuts, local
 
 
 def main(argv: list[str]) -> int:
@@ -34,8 +34,12 @@ def main(argv: list[str]) -> int:
     else:
         if args.name not in queries.QUERIES:
             parser.error(f"no query {args.name!r}")
-        df = queries.QUERIES[args.name](local(), args.tables)
-        df.write.mode("overwrite").parquet(args.out) if args.out else df.show(20, truncate=False)
+        spark = local()
+        try:
+            df = queries.QUERIES[args.name](spark, args.tables)
+            df.write.mode("overwrite").parquet(args.out) if args.out else df.show(20, truncate=False)
+        finally:
+            delete_cuts(spark)
     return 0
 
 

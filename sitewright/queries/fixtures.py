@@ -52,11 +52,11 @@ SELECT side, user_id AS line_id, seq, CAST(user_id * 40 + seq * 7 AS DOUBLE) + d
 FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) r
 CROSS JOIN (VALUES ('ours', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)), ('theirs', CAST(0.5 AS DOUBLE), CAST(-0.25 AS DOUBLE))) AS s(side, de, dn)
 """,
-    # sparse 40x30 grid (absent pixel = NaN); dsm-dtm reaches 4.9; feeds J11, A04, R03, R10.
+    # sparse 40x30 grids side by side, one for each 1500 orders (absent pixel = NaN); dsm-dtm reaches 4.9; feeds J11, A04, R03, R10.
     "fx_raster": """
-SELECT l_partkey % 40 AS col, l_orderkey % 30 AS row_no,
-       MIN(l_quantity) / 10 AS dtm, MAX(l_quantity) / 10 AS dsm
-FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey % 40, l_orderkey % 30
+SELECT col, row_no, MIN(l_quantity) / 10 AS dtm, MAX(l_quantity) / 10 AS dsm
+FROM (SELECT l_partkey % 40 + 50 * CAST(FLOOR(CAST(l_orderkey AS DOUBLE) / 1500) AS BIGINT) AS col, l_orderkey % 30 AS row_no, l_quantity FROM lineitem WHERE l_partkey % 7 <> 0) q
+GROUP BY col, row_no
 """,
     # edge-sharing 20 m squares; feeds A05, D03, R06-R09.
     "fx_parcels": """

@@ -10,9 +10,9 @@ from sitewright.operators import curves, raster, roofs
 from sitewright.queries import query
 from sitewright.queries.fixtures import table, view, with_views
 
-#: The view's raster: pixels of one metre, its north-west corner at (0, 30).
+#: The view's raster: pixels of one metre, its north-west corner at (0, 30); its width grows with the tables, up to this bound.
 ORIGIN = (0.0, 30.0)
-WIDTH = 40
+WIDTH = 1_000_000
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints on the raster, one for each supplier."""
     s = table(spark, sf_dir, "supplier")
-    e, n = (F.col("s_suppkey") % 31).cast("double"), (F.col("s_suppkey") % 23).cast("double")
+    e, n = (F.col("s_suppkey") % 31 + 50 * F.floor(F.col("s_suppkey") / 10)).cast("double"), (F.col("s_suppkey") % 23).cast("double")
     return s.select(F.col("s_suppkey").alias("fid"), G.rectangle(e, n, e + 4 + F.col("s_suppkey") % 3, n + 3 + F.col("s_suppkey") % 4).alias("ring"))
 
 
-_BOXES = "boxes AS (SELECT s_suppkey AS fid, CAST(s_suppkey % 31 AS DOUBLE) AS e0, CAST(s_suppkey % 23 AS DOUBLE) AS n0, CAST(s_suppkey % 31 + 4 + s_suppkey % 3 AS DOUBLE) AS e1, CAST(s_suppkey % 23 + 3 + s_suppkey % 4 AS DOUBLE) AS n1 FROM supplier)"
+_BOXES = "boxes AS (SELECT s_suppkey AS fid, CAST(s_suppkey % 31 + 50 * (s_suppkey // 10) AS DOUBLE) AS e0, CAST(s_suppkey % 23 AS DOUBLE) AS n0, CAST(s_suppkey % 31 + 50 * (s_suppkey // 10) + 4 + s_suppkey % 3 AS DOUBLE) AS e1, CAST(s_suppkey % 23 + 3 + s_suppkey % 4 AS DOUBLE) AS n1 FROM supplier)"
 _SAMPLES = f"""WITH {_BOXES},
 pts AS (SELECT fid, e0 + c AS x, n0 + r AS y FROM (SELECT *, unnest(range(0, CAST(n1 - n0 AS BIGINT))) AS r FROM (SELECT *, unnest(range(0, CAST(e1 - e0 AS BIGINT))) AS c FROM boxes))),
 k AS (SELECT fid, x, y, floor(x - 0.5) AS c0, floor(30 - y - 0.5) AS r0, x - 0.5 - floor(x - 0.5) AS tx, 30 - y - 0.5 - floor(30 - y - 0.5) AS ty FROM pts),
@@ -82,7 +82,7 @@ def canopy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canopy_frame(spark, sf_dir).select(F.col("col").cast("long"), F.col("row").cast("long"), F.round("height", 6).alias("height"))
 
 
-@query(with_views(_HIGH + """, t AS (SELECT *, row_no * 40 + col AS k FROM hi), e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON (abs(a.col - b.col) + abs(a.row_no - b.row_no)) = 1),
+@query(with_views(_HIGH + """, t AS (SELECT *, row_no * 1000000 + col AS k FROM hi), e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON (abs(a.col - b.col) + abs(a.row_no - b.row_no)) = 1),
 r AS (SELECT k, k AS to_k FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.to_k),
 c AS (SELECT k, min(to_k) AS cluster FROM r GROUP BY k),
 g AS (SELECT cluster, count(*) AS pixels, round_even(quantile_cont(h, 0.9), 1) AS height, round_even(sqrt(count(*) / pi()), 1) AS crown_radius, avg(col) + 0.5 AS x, 29.5 - avg(row_no) AS y FROM c JOIN t USING (k) GROUP BY cluster)
@@ -147,11 +147,11 @@ def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.mesh_faces(pixels(spark, sf_dir))
 
 
-@query(with_views("SELECT count(*) AS nodes, min(CAST(dsm AS DOUBLE)) AS lowest, max(CAST(dsm AS DOUBLE)) AS highest, 1200 - count(*) AS absent FROM fx_raster"))
+@query(with_views("SELECT count(*) AS nodes, min(CAST(dsm AS DOUBLE)) AS lowest, max(CAST(dsm AS DOUBLE)) AS highest, (max(col) + 1) * 30 - count(*) AS absent FROM fx_raster"))
 def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes of a grid have a height, and its bounds."""
     p = pixels(spark, sf_dir)
-    return p.agg(F.count("*").alias("nodes"), F.min("dsm").alias("lowest"), F.max("dsm").alias("highest"), (F.lit(WIDTH * 30) - F.count("*")).alias("absent"))
+    return p.agg(F.count("*").alias("nodes"), F.min("dsm").alias("lowest"), F.max("dsm").alias("highest"), ((F.max("col") + 1) * 30 - F.count("*")).alias("absent"))
 
 
 @query()
