@@ -42,7 +42,7 @@ PART_ROWS = 1_024
 DEGREE = 20
 FAR_LINKS = 4
 #: Centroids that a search opens at least.
-OPENED = 16
+OPENED = 24
 
 
 def _fitted(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
@@ -100,24 +100,25 @@ class Centroids:
         while len(live):
             d = dist[live]
             nth = np.partition(d, min(OPENED, lists) - 1, axis=1)[:, min(OPENED, lists) - 1]
-            bound = np.maximum(nth, ratio * ratio * d.min(1) + 1e-9)  # squared distances
+            bound = nth if most else np.maximum(nth, ratio * ratio * d.min(1) + 1e-9)  # squared distances
             if least:
                 held = np.where(np.isfinite(d), self.held[None, :], 0).sum(1)
                 bound = np.where(held < least, np.inf, bound)
             front = ~opened[live] & (d <= bound[:, None]) & np.isfinite(d)
-            live, front, d = live[front.any(1)], front[front.any(1)], d[front.any(1)]
+            more = front.any(1)
+            live, front = live[more], front[more]
             if not len(live):
                 break
-            k = min(4, lists)
-            best = np.argpartition(np.where(front, d, np.inf), k - 1, axis=1)[:, :k]
-            r, c = np.repeat(live, k), best.reshape(-1)
-            good = np.take_along_axis(front, best, 1).reshape(-1)
-            r, c = r[good], c[good]
-            opened[r, c] = True
-            r, c = np.repeat(r, self.links.shape[1]), self.links[c].reshape(-1)
-            new = np.isinf(dist[r, c])
-            r, c = r[new], c[new]
-            dist[r, c] = 2 - 2 * np.einsum("ij,ij->i", self.c[c], x[r])
+            opened[live] |= front
+            r, c = np.nonzero(front)
+            met = np.zeros((len(live), lists), bool)
+            met[np.repeat(r, self.links.shape[1]), self.links[c].reshape(-1)] = True
+            r, c = np.nonzero(met & np.isinf(dist[live]))
+            if len(r) > 0.1 * met.size:
+                found = 2 - 2 * x[live] @ self.c.T
+                dist[live[r], c] = found[r, c]
+            else:
+                dist[live[r], c] = 2 - 2 * np.einsum("ij,ij->i", self.c[c], x[live[r]])
         short = np.flatnonzero(np.where(np.isfinite(dist), self.held, 0).sum(1) < least)
         dist[short] = 2 - 2 * x[short] @ self.c.T  # what the graph didn't reach
         out = []
