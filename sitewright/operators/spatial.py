@@ -186,18 +186,31 @@ def _by_component(nodes: DataFrame, links: DataFrame, run: Callable[[pd.DataFram
 def greedy_matches(scored_pairs: DataFrame) -> DataFrame:
     """One-to-one pairs of (i, j, iou), as taken by falling iou, then i, then j.
 
-    Rows that no chain of pairs connects don't matter to each other, so each
-    connected component is matched by itself, in order. One beyond
-    COMPONENT_ROWS goes in rounds: a pair that comes first for both of its rows
-    is taken by that order whatever happens elsewhere, so every round takes all
-    of those at once and drops their rows.
+    A pair that comes first for both of its rows is taken by that order whatever
+    happens elsewhere; two rounds take all of those at once and drop their rows.
+    Rows of what is left that no chain of pairs connects don't matter to each
+    other, so each connected component is matched by itself, in order. Only
+    those beyond COMPONENT_ROWS go on in rounds.
     """
-    pairs = cut(scored_pairs.select("i", "j", "iou"), "pairs")
-    kinds = dict(pairs.dtypes)
-    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("at"))
-    same = kinds["i"] == kinds["j"]
-    name = (lambda side, c: end(side, c)) if same else (lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).cast("string").alias("at")))
-    nodes = pairs.withColumn("node", name(0, "i"))
+    left = cut(scored_pairs.select("i", "j", "iou"), "pairs")
+    kinds = dict(left.dtypes)
+    key = F.struct((-F.col("iou")).alias("s"), "i", "j")
+    taken = left.limit(0)
+
+    def rounds(left: DataFrame, taken: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        done = 0
+        while (most is None or done < most) and left.limit(1).count():
+            best_i, best_j = left.groupBy("i").agg(F.min(key).alias("bi")), left.groupBy("j").agg(F.min(key).alias("bj"))
+            both = cut(best_i.join(best_j, F.col("bi") == F.col("bj")).select("bi.i", "bi.j", (-F.col("bi.s")).alias("iou")), "taken")
+            taken = taken.unionByName(both)
+            left = cut(left.join(both.select("i"), "i", "left_anti").join(both.select("j"), "j", "left_anti").select("i", "j", "iou"), "pairs")
+            done += 1
+        return left, taken
+
+    left, taken = rounds(left, taken, 2)
+    if not left.limit(1).count():
+        return taken
+    name = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).cast("string").alias("at"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["iou", "i", "j"], ascending=[False, True, True], kind="stable")
@@ -209,15 +222,8 @@ def greedy_matches(scored_pairs: DataFrame) -> DataFrame:
                 seen_j.add(j)
         return pdf.loc[keep, ["i", "j", "iou"]]
 
-    taken, left = _by_component(nodes, pairs.select(name(0, "i").alias("a"), name(1, "j").alias("b")), run, f"i {kinds['i']}, j {kinds['j']}, iou double")
-    key = F.struct((-F.col("iou")).alias("s"), "i", "j")
-    while left.limit(1).count():
-        best_i, best_j = left.groupBy("i").agg(F.min(key).alias("bi")), left.groupBy("j").agg(F.min(key).alias("bj"))
-        both = best_i.join(best_j, F.col("bi") == F.col("bj")).select("bi.i", "bi.j", (-F.col("bi.s")).alias("iou"))
-        both = cut(both, "taken")
-        taken = taken.unionByName(both)
-        left = cut(left.join(both.select("i"), "i", "left_anti").join(both.select("j"), "j", "left_anti").select("i", "j", "iou"), "pairs")
-    return taken
+    small, large = _by_component(left.withColumn("node", name(0, "i")), left.select(name(0, "i").alias("a"), name(1, "j").alias("b")), run, f"i {kinds['i']}, j {kinds['j']}, iou double")
+    return rounds(large, taken.unionByName(small), None)[1]
 
 
 def match(ours: DataFrame, theirs: DataFrame, floor: float = 0.1, size: float = 50.0, step: float = 0.5) -> DataFrame:
