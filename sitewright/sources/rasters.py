@@ -186,7 +186,7 @@ def lzw_decode(data: bytes) -> bytes:
             piece = bytes([code])
         elif code - 258 < len(table):
             piece = table[code - 258]
-        elif last is not None:
+        elif last is not None and code - 258 == len(table):  # the entry that this code makes
             piece = last + last[:1]
         else:
             raise ValueError("broken LZW data")

@@ -186,3 +186,11 @@ def test_streams_agree_with_batch(spark, sf, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(make.__name__).columns
+
+
+def test_lzw_codes_beyond_the_table_are_an_error():
+    bits = "".join(f"{c:09b}" for c in (256, 65, 258, 257)).ljust(40, "0")  # 258 is what it makes itself
+    assert rasters.lzw_decode(int(bits, 2).to_bytes(5, "big")) == b"AAA"
+    bits = "".join(f"{c:09b}" for c in (256, 65, 300, 257)).ljust(40, "0")
+    with pytest.raises(ValueError, match="broken"):
+        rasters.lzw_decode(int(bits, 2).to_bytes(5, "big"))
