@@ -27,7 +27,7 @@ class's name; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +43,7 @@ from sitewright.operators.graphs import components
 BIN_ROWS = 2_000_000
 TILE_ROWS = 2_000
 #: Pairs of one document that are verified together.
-PAIR_ROWS = 1_000
+PAIR_ROWS = 250
 BITS = 4_096
 FANOUT = 8
 _NONE = np.zeros(0, np.uint64)
@@ -116,7 +116,8 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
                 names, first = np.unique(np.asarray(part.column(0)), return_index=True)
                 lows = part.column(1).take(pa.array(first)).to_pylist()
                 size = [len(x) // 8 for x in lows]
-                h, who = np.frombuffer(b"".join(lows), np.uint64), np.repeat(np.arange(len(names), dtype=np.int32), size)
+                # a set's smallest hashes are small numbers, which would share few bins
+                h, who = mix(np.frombuffer(b"".join(lows), np.uint64)), np.repeat(np.arange(len(names), dtype=np.int32), size)
                 order = np.argsort(h, kind="stable")
                 h, who = h[order], who[order]
                 head = np.ones(len(h), bool)
@@ -140,6 +141,16 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bin", "hashes", "witness", "names"])
 
+    def dealt(names: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        """Rows (bin, names, shared): counts by bins of names."""
+        to = (mix(names.view(np.uint64)) // width).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, names, times = to[order], names[order], times[order].astype(np.int64)
+        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+        ends = [*cuts[1:], len(to)]
+        cols = [pa.array(to[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (names, times))]
+        return pa.RecordBatch.from_arrays(cols, names=["bin", "names", "shared"])
+
     def counted(hashes: list[bytes], witness: list[bytes], names: list[bytes]) -> pa.RecordBatch:
         h, seen, name = np.frombuffer(b"".join(hashes), np.uint32), np.frombuffer(b"".join(witness), bool), np.frombuffer(b"".join(names), np.int64)
         found = []
@@ -148,27 +159,37 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
             if len(own):
                 found.append(shared_names(h[own], seen[own], name[own]))
         out, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), return_inverse=True)
-        times = np.bincount(place, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(out))
-        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(times.astype(np.int64))], names=["name", "shared"])
+        return dealt(out, np.bincount(place, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(out)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
+    def by_bin(batches: Iterator[pa.RecordBatch], past: Callable, whole: Callable) -> Iterator[pa.RecordBatch]:
+        """``whole`` of the columns of each bin, whose rows follow each other; rows of bins below 0 go through ``past``."""
+        now, held = None, []
         for batch in batches:
-            for to, *cols in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for to, *cols in zip(*(c.to_pylist() for c in batch.columns)):
                 if to < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(cols[2], np.int64)), pa.array(np.frombuffer(cols[0], np.uint32).astype(np.int64))], names=["name", "shared"])
+                    yield past(*cols)
                     continue
-                if to != now and held[0]:
-                    yield counted(*held)
-                    held = ([], [], [])
+                if to != now and held:
+                    yield whole(*map(list, zip(*held)))
+                    held = []
                     trim()
                 now = to
-                for own, x in zip(held, cols):
-                    own.append(x)
-        if held[0]:
-            yield counted(*held)
+                held.append(cols)
+        if held:
+            yield whole(*map(list, zip(*held)))
             trim()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_bin(batches, lambda h, _, n: dealt(np.frombuffer(n, np.int64), np.frombuffer(h, np.uint32)), counted)
+
+    def summed(names: list[bytes], times: list[bytes]) -> pa.RecordBatch:
+        out, place = np.unique(np.frombuffer(b"".join(names), np.int64), return_inverse=True)
+        total = np.bincount(place, np.frombuffer(b"".join(times), np.int64), len(out)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(total)], names=["name", "shared"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_bin(batches, summed, summed)
+
     def shared_names(h: np.ndarray, witness: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((name, h))
         h, witness, name = h[order], witness[order], name[order]
@@ -181,17 +202,20 @@ def _shared_counts(sketch: DataFrame, bins: int) -> DataFrame:
         n = np.bincount(group, fresh) + 2 * (np.bincount(group, witness) > 0)
         return np.unique(name[fresh & (n[group] > 1)], return_counts=True)
 
-    dealt = sketch.select("h1", "low").mapInArrow(deal, "bin long, hashes binary, witness binary, names binary")
     # the rows of a bin follow each other, so a task holds one bin
-    return dealt.repartition("bin").sortWithinPartitions("bin").mapInArrow(count, "name long, shared long").groupBy("name").agg(F.sum("shared").alias("shared"))
+    together = lambda df: df.repartition("bin").sortWithinPartitions("bin")
+    hashes = sketch.select("h1", "low").mapInArrow(deal, "bin long, hashes binary, witness binary, names binary")
+    counts = together(hashes).mapInArrow(count, "bin long, names binary, shared binary")
+    return together(counts).mapInArrow(total, "name long, shared long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; the set of ``a`` is sent once for PAIR_ROWS pairs of it."""
     pairs = cut(pairs, "pairs")
     tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("tiles"))
-    left = tiles.join(sets.select(F.col("doc_id").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(None).cast("long").alias("b"), "set")
-    right = pairs.join(tiles, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int").alias("tile"), "b").join(sets.select(F.col("doc_id").alias("b"), "set"), "b")
+    left = tiles.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(None).cast("long").alias("b"))
+    right = pairs.join(tiles, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int").alias("tile"), "b")
+    both = left.unionByName(right).join(sets.select("doc_id", "set"), "doc_id")  # sets move once for both ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = np.zeros(0, np.uint64)
@@ -208,7 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    both = left.unionByName(right.select("a", "tile", "b", "set")).repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("b").asc_nulls_first())
+    both = both.select("a", "tile", "b", "set").repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("b").asc_nulls_first())
     return both.select("a", "b", "set").mapInArrow(run, "a long, b long")
 
 
