@@ -350,7 +350,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
                 cols = [pa.array(low, pa.list_(pa.int64())), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *cols], names=["doc_id", "n", "low", "bits", "set"])
 
-    left = docs.select("doc_id", "text").join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # ``able`` grows with the corpus, so texts move to it by one plan at every size
+    left = docs.select("doc_id", "text").join(able.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = keep(left.mapInArrow(whole, "doc_id long, n long, low array<long>, bits binary, set binary"))
 
     rows = sets.select("doc_id", "n", F.explode("low").alias("token"))
