@@ -31,8 +31,8 @@ from sitewright.llm.vec_dedup import _matrix, _usable
 
 #: Numbers of the sample that the centroids are fitted on, as expected from a draw by id, and its vectors at most.
 SAMPLE_NUMBERS = 8_000_000
-SAMPLE_ROWS = 60_000
-ROWS_PER_LIST = 32
+SAMPLE_ROWS = 20_000
+ROWS_PER_LIST = 64
 COPIES = 3
 #: How much farther than the nearest list a boundary vector's other lists may lie.
 COPY_RATIO = 1.10
