@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import categories as K
 from sitewright.functions import geometry as G
-from sitewright.operators.spatial import points_in_rings
+from sitewright.operators.spatial import covered_grid_points, grid_points, points_in_rings
 
 
 def classify(samples: DataFrame, overlays: DataFrame, size: float) -> DataFrame:
@@ -19,11 +19,20 @@ def classify(samples: DataFrame, overlays: DataFrame, size: float) -> DataFrame:
     samples are gathered.
     """
     hits = points_in_rings(samples.select("parcel_id", "sample_id", "x", "y"), overlays.select("bucket", "ring"), "x", "y", "ring", size)
-    votes = hits.select("parcel_id", "sample_id", "bucket").distinct().groupBy("parcel_id", "bucket").count()
+    votes = hits.select("parcel_id", "sample_id", "bucket").distinct().groupBy("parcel_id", "bucket").agg(F.count("*").alias("samples"))
+    return _decided(votes, samples.groupBy("parcel_id").agg(F.count("*").alias("samples")))
+
+
+def classify_grid(parcels: DataFrame, overlays: DataFrame, step: float, size: float) -> DataFrame:
+    """What ``classify`` gives for the grid points inside parcels (parcel_id, ring), which are counted without a row for each."""
+    return _decided(covered_grid_points(parcels, overlays, "parcel_id", "bucket", step, size), grid_points(parcels, "parcel_id", step))
+
+
+def _decided(votes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(parcel_id, category, samples) from votes (parcel_id, bucket, samples) and counts (parcel_id, samples)."""
     land = F.col("bucket") != "building"
-    best = F.max_by(F.when(land, F.col("bucket")), F.when(land, F.struct("count", -K.bucket_rank("bucket"))))
+    best = F.max_by(F.when(land, F.col("bucket")), F.when(land, F.struct("samples", -K.bucket_rank("bucket"))))
     won = votes.groupBy("parcel_id").agg(best.alias("bucket"), F.bool_or(~land).alias("building"))
-    counts = samples.groupBy("parcel_id").agg(F.count("*").alias("samples"))
     return counts.join(won, "parcel_id", "left").select("parcel_id", K.final_category("bucket", F.coalesce("building", F.lit(False))).alias("category"), "samples")
 
 

@@ -31,6 +31,18 @@ def _celled_boxes(df: DataFrame, box: Column, size: float) -> DataFrame:
     return df.withColumn("__cell", F.explode(G.cells(box, size))).withColumns({"__cx": F.col("__cell.cx"), "__cy": F.col("__cell.cy")}).drop("__cell")
 
 
+def _dealt_rings(rings: DataFrame, ring: str, size: float, overflow: int) -> tuple[DataFrame, list[float], list[int]]:
+    """Rings by the cells (__level, cx, cy) of their boxes, the sizes of cells by level, and the levels that rings use."""
+    sizes = [size * 32**k for k in range(4)]
+    level = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        level = F.when(G.cell_span(F.col("__box"), sizes[k]) <= overflow, F.lit(k)).otherwise(level)
+    boxed = rings.withColumn("__box", G.bbox(ring)).withColumn("__level", level)
+    wide = F.get(F.array(*[F.lit(float(s)) for s in sizes]), F.col("__level"))
+    used = sorted(r["__level"] for r in boxed.select("__level").distinct().collect())  # four rows at most; mostly one
+    return boxed.withColumn("__cell", F.explode(G.cells(F.col("__box"), wide))).select("*", "__cell.cx", "__cell.cy").drop("__cell"), sizes, used
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, x: str, y: str, ring: str, size: float, overflow: int = OVERFLOW_CELLS) -> DataFrame:
     """Pairs of a point and a ring that holds it.
 
@@ -40,14 +52,7 @@ def points_in_rings(points: DataFrame, rings: DataFrame, x: str, y: str, ring: s
     use: a ring as large as a sea neither explodes into millions of rows nor is
     compared with every point.
     """
-    sizes = [size * 32**k for k in range(4)]
-    level = F.lit(len(sizes) - 1)
-    for k in range(len(sizes) - 2, -1, -1):
-        level = F.when(G.cell_span(F.col("__box"), sizes[k]) <= overflow, F.lit(k)).otherwise(level)
-    boxed = rings.withColumn("__box", G.bbox(ring)).withColumn("__level", level)
-    wide = F.get(F.array(*[F.lit(float(s)) for s in sizes]), F.col("__level"))
-    used = sorted(r["__level"] for r in boxed.select("__level").distinct().collect())  # four rows at most; mostly one
-    boxed = boxed.withColumn("__cell", F.explode(G.cells(F.col("__box"), wide))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
+    boxed, sizes, used = _dealt_rings(rings, ring, size, overflow)
     deal = lambda k: F.struct(F.lit(k).alias("k"), F.floor(F.col(x) / sizes[k]).alias("cx"), F.floor(F.col(y) / sizes[k]).alias("cy"))
     celled = points.withColumn("__p", deal(used[0]) if len(used) == 1 else F.explode(F.array(*[deal(k) for k in used or [0]])))
     celled = celled.withColumns({"__level": F.col("__p.k"), "cx": F.col("__p.cx"), "cy": F.col("__p.cy")}).drop("__p")
@@ -139,6 +144,100 @@ def _rings(column: pa.Array) -> list[np.ndarray]:
     return np.split(xy, ends[:-1])
 
 
+def _words(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, bits) of half-open runs of numbers, given by rows and in order: a set of numbers as words of 64 bits."""
+    some = hi > lo
+    lo, hi, row = lo[some], hi[some], row[some]
+    first, last = lo >> 6, (hi - 1) >> 6
+    n = last - first + 1
+    at = np.repeat(np.arange(len(lo)), n)
+    word = first[at] + np.arange(len(at)) - (np.cumsum(n) - n)[at]
+    start, end = np.where(word == first[at], lo[at] & 63, 0), np.where(word == last[at], ((hi[at] - 1) & 63) + 1, 64)
+    bits = (np.uint64(2**64 - 1) >> (64 - end + start).astype(np.uint64)) << start.astype(np.uint64)
+    return _merged(row[at], word, bits)
+
+
+def _merged(row: np.ndarray, word: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours with the same row and word as one."""
+    if not len(row):
+        return row, word, bits
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])])
+    return row[starts], word[starts], np.bitwise_or.reduceat(bits, starts)
+
+
+def grid_hits(a: list[np.ndarray], b: list[np.ndarray], step: float, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pair, word, bits): for each pair the grid points of ``a`` that lie in both rings, as words of 64 numbers.
+
+    The grid and its numbers are those of ``geometry.grid`` over the box of
+    ``a``. A pair costs the grid rows that the box of ``b`` meets; ``most`` edges
+    of rows are held at once, and a word may come in several pieces.
+    """
+    box = lambda rings, f: np.array([f(r) for r in rings]).reshape(-1, 2)
+    low, high = box(a, lambda r: r.min(0)), box(a, lambda r: r.max(0))
+    columns, rows = (np.floor((high - low) / step).astype(np.int64) + 1).T
+    first = np.floor((box(b, lambda r: r.min(0))[:, 1] - low[:, 1]) / step) - 1  # a row more on either side, for what the division rounds
+    last = np.ceil((box(b, lambda r: r.max(0))[:, 1] - low[:, 1]) / step) + 2
+    first, last = (np.clip(v, 0, rows).astype(np.int64) for v in (first, last))
+    n = np.maximum(last - first, 0)
+    pairs = np.repeat(np.arange(len(a)), n)
+    js = first[pairs] + np.arange(len(pairs)) - (np.cumsum(n) - n)[pairs]
+    chunk = max(1, most // max((len(r) for r in (*a, *b)), default=1))
+    for start in range(0, len(pairs), chunk):
+        pair, j = pairs[start : start + chunk], js[start : start + chunk]
+        p0, y = pair[0], low[pair, 1] + j * step
+        row, base = np.arange(len(pair)), j * columns[pair]
+        sides = []
+        for rings in (a, b):
+            runs = _spans(rings[p0 : pair[-1] + 1], pair - p0, y, low[pair, 0], np.full(len(pair), step), columns[pair])
+            flat = lambda k, runs=runs: (base[:, None] + runs[:, :, k]).ravel()
+            sides.append(_words(flat(0), flat(1), np.repeat(row, runs.shape[1])))
+        wide = int(columns[pair].max() >> 6) + 2
+        (r, w, bits), (r2, w2, bits2) = sides
+        _, i, k = np.intersect1d(r * wide + w - (base >> 6)[r], r2 * wide + w2 - (base >> 6)[r2], assume_unique=True, return_indices=True)
+        both = bits[i] & bits2[k]
+        yield _merged(pair[r[i][both > 0]], w[i][both > 0], both[both > 0])
+
+
+def covered_grid_points(areas: DataFrame, rings: DataFrame, key: str, by: str, step: float, size: float, overflow: int = OVERFLOW_CELLS) -> DataFrame:
+    """(key, by, samples): how many grid points inside an area (key, ring) lie in rings (by, ring) of each kind; a point counts once.
+
+    Areas meet rings by boxes in hash cells, not point by point, each pair in the
+    cell of the low corner of what the boxes share. A pair's points travel as
+    words of 64 bits, and the words of one kind are joined before bits are
+    counted, so that no area's points are gathered.
+    """
+    boxed, sizes, used = _dealt_rings(rings.select(by, F.col("ring").alias("__other")), "__other", size, overflow)
+    deal = lambda k: F.transform(G.cells(F.col("__area"), sizes[k]), lambda c: F.struct(F.lit(k).alias("k"), c["cx"].alias("cx"), c["cy"].alias("cy"), F.lit(sizes[k]).alias("wide")))
+    own = areas.select(key, "ring", G.bbox("ring").alias("__area")).withColumn("__p", F.explode(F.flatten(F.array(*[deal(k) for k in used or [0]]))))
+    met = own.select("*", F.col("__p.k").alias("__level"), "__p.cx", "__p.cy", "__p.wide").drop("__p").join(boxed, ["__level", "cx", "cy"])
+    low = lambda axis: F.floor(F.greatest(F.col("__area")[axis], F.col("__box")[axis]) / F.col("wide"))
+    met = met.where(G.overlap_closed(F.col("__area"), F.col("__box")) & (F.col("cx") == low("x0")) & (F.col("cy") == low("y0"))).select(key, by, "ring", "__other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair, word, bits in grid_hits(_rings(batch.column(2)), _rings(batch.column(3)), step):
+                at = pa.array(pair)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(word), pa.array(bits.view(np.int64))], [key, by, "word", "bits"])
+
+    kinds = dict(met.dtypes)
+    words = met.mapInArrow(run, f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, word bigint, bits bigint")
+    return words.groupBy(key, by, "word").agg(F.bit_or("bits").alias("bits")).groupBy(key, by).agg(F.sum(F.bit_count("bits")).alias("samples"))
+
+
+def grid_points(areas: DataFrame, key: str, step: float) -> DataFrame:
+    """(key, samples): how many points of its own grid lie inside each area (key, ring), where any does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings, n = _rings(batch.column(1)), np.zeros(batch.num_rows, np.int64)
+            for pair, _, bits in grid_hits(rings, rings, step):
+                np.add.at(n, pair, np.bitwise_count(bits).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], [key, "samples"])
+
+    found = areas.where(F.size("ring") > 0).select(key, "ring").mapInArrow(run, f"`{key}` {dict(areas.dtypes)[key]}, samples bigint")
+    return found.groupBy(key).agg(F.sum("samples").alias("samples")).where("samples > 0")
+
+
 def scored(pairs: DataFrame, a: str, b: str, step: float = 0.5, cap: int = 20_000) -> DataFrame:
     """Pairs with ``iou`` in place of their two rings.
 

@@ -20,10 +20,17 @@ def rect(values: tuple[float, float, float, float]) -> F.Column:
     return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, ("x0", "y0", "x1", "y1"))])
 
 
+#: Samples of a parcel lie so many metres apart, from its low corner.
+STEP = 2.5
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_parcels").select("parcel_id", G.rectangle("e0", "n0", "e1", "n1").alias("ring"))
+
+
 def parcel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points every 2.5 m from each parcel's low corner."""
-    p = view(spark, sf_dir, "fx_parcels").withColumn("ring", G.rectangle("e0", "n0", "e1", "n1"))
-    dots = p.select("parcel_id", "ring", F.posexplode(G.grid(G.bbox("ring"), 2.5)).alias("sample_id", "p")).select("parcel_id", "sample_id", "ring", "p.x", "p.y")
+    p = parcels(spark, sf_dir)
+    dots = p.select("parcel_id", "ring", F.posexplode(G.grid(G.bbox("ring"), STEP)).alias("sample_id", "p")).select("parcel_id", "sample_id", "ring", "p.x", "p.y")
     return dots.where(G.in_ring("x", "y", "ring")).drop("ring")
 
 
@@ -43,7 +50,7 @@ SELECT p.parcel_id, CASE WHEN w.bucket IS NULL THEN 'unclassified' WHEN w.bucket
   CAST(64 AS BIGINT) AS samples FROM fx_parcels p LEFT JOIN w USING (parcel_id)
 """))
 def parcel_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return land.classify(parcel_samples(spark, sf_dir), overlays(spark, sf_dir), 20.0)
+    return land.classify_grid(parcels(spark, sf_dir), overlays(spark, sf_dir), STEP, 20.0)
 
 
 @query(with_views(_SAMPLES + "SELECT bucket, count(*) AS samples, CAST(count(DISTINCT parcel_id) AS BIGINT) AS parcels FROM hit GROUP BY bucket"))
