@@ -28,12 +28,6 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_parcels").select("parcel_id", G.rectangle("e0", "n0", "e1", "n1").alias("ring"))
 
 
-def parcel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parcels(spark, sf_dir)
-    dots = p.select("parcel_id", "ring", F.posexplode(G.grid(G.bbox("ring"), STEP)).alias("sample_id", "p")).select("parcel_id", "sample_id", "ring", "p.x", "p.y")
-    return dots.where(G.in_ring("x", "y", "ring")).drop("ring")
-
-
 def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "fx_overlays").select(F.when(F.col("class") == "building", "building").otherwise(K.bucket_of("class")).alias("bucket"), G.rectangle("e0", "n0", "e1", "n1").alias("ring"))
     return v.where("bucket IS NOT NULL")
@@ -56,9 +50,8 @@ def parcel_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(_SAMPLES + "SELECT bucket, count(*) AS samples, CAST(count(DISTINCT parcel_id) AS BIGINT) AS parcels FROM hit GROUP BY bucket"))
 def overlay_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and parcels that each bucket of evidence covers; a sample counts once for a bucket."""
-    hits = spatial.points_in_rings(parcel_samples(spark, sf_dir), overlays(spark, sf_dir), "x", "y", "ring", 20.0)
-    votes = hits.select("parcel_id", "sample_id", "bucket").distinct()
-    return votes.groupBy("bucket").agg(F.count("*").alias("samples"), F.countDistinct("parcel_id").alias("parcels"))
+    votes = spatial.covered_grid_points(parcels(spark, sf_dir), overlays(spark, sf_dir), "parcel_id", "bucket", STEP, 20.0)
+    return votes.groupBy("bucket").agg(F.sum("samples").alias("samples"), F.count("*").alias("parcels"))
 
 
 @query()

@@ -61,7 +61,7 @@ def test_pieces_of_a_pair_join_up():
     assert len(parts[0]) > len(parts[1]) > 10 and joined == dict(parts[1])
 
 
-@pytest.mark.parametrize("name", ["parcel_majority"])
+@pytest.mark.parametrize("name", ["parcel_majority", "overlay_votes"])
 def test_no_row_for_each_sample(spark, sf, name):
     queries.load()
     assert "posexplode" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
