@@ -80,12 +80,29 @@ def clusters(pixels: DataFrame, width: int) -> DataFrame:
 
 def canopy(pixels: DataFrame, width: int, size: float, origin: tuple[float, float], least_pixels: int = 2, least_area: float = 8.0) -> DataFrame:
     """(cluster, pixels, height, crown_radius, x, y) of the clusters that are large enough."""
-    area = F.count("*") * size * size
-    x, y = origin[0] + (F.avg("col") + 0.5) * size, origin[1] - (F.avg("row") + 0.5) * size
-    g = clusters(pixels, width).groupBy("cluster").agg(
-        F.count("*").alias("pixels"), F.bround(F.percentile("height", F.lit(0.9)), 1).alias("height"), F.bround(F.sqrt(area / F.pi()), 1).alias("crown_radius"), x.alias("x"), y.alias("y")
-    )
-    return g.where((F.col("pixels") >= least_pixels) & (F.col("pixels") * size * size >= least_area))
+    x, y = origin[0] + (F.avg("col") + 0.5) * size, (origin[1] - 0.5 * size) - F.avg("row") * size
+    g = clusters(pixels, width).groupBy("cluster").agg(F.count("*").alias("pixels"), F.sort_array(F.collect_list("height")).alias("heights"), x.alias("x"), y.alias("y"))
+    area = F.col("pixels") * size * size
+    large = g.where((F.col("pixels") >= least_pixels) & (area >= least_area))
+    return large.select("cluster", "pixels", decimetres(interpolated("heights", 0.9)).alias("height"), decimetres(F.sqrt(area / F.pi())).alias("crown_radius"), "x", "y")
+
+
+def interpolated(values: str, share: float) -> Column:
+    """A quantile of a sorted array between its two neighbours, bit for bit as ``quantile_cont`` has it.
+
+    The sum of the two weighed neighbours is a fused multiply-add there; rounded
+    twice instead, it may fall on the other side of a tie.
+    """
+    at = (F.size(values) - 1) * F.lit(share)
+    below, above = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    part = at - F.floor(at)
+    between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), below, 1 - part, above * part).cast("double")
+    return F.when(above.isNotNull() & (part > 0), between).otherwise(below)
+
+
+def decimetres(value: Column) -> Column:
+    """To one decimal, halves of the product to even, as ``round_even`` has it; ``bround`` takes the shortest decimal text for the value."""
+    return F.rint(value * 10) / 10
 
 
 def intervals(area: Column) -> Column:
