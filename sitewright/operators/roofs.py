@@ -1,15 +1,18 @@
 """Roof forms from surface samples: planes by seeded random trials, then a class for each building.
 
-Plane search is sequential and random, so each building is solved by itself in
-Python with numpy; a building's samples are bounded by its size.
+Plane search is random, so each building is solved by itself in Python with
+numpy, all trials of a plane at once; a building's samples are bounded by its size.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,28 +49,54 @@ def trimmed(p: np.ndarray) -> np.ndarray | None:
     return least_squares(p[order[: max(4, len(p) - max(1, len(p) // 10))]])
 
 
+@lru_cache(4_096)
+def _draws(before: tuple[tuple[int, int], ...], n: int) -> np.ndarray:
+    """The places of three points of ``n`` for each trial, after searches (points, trials made) that came before.
+
+    Which places are drawn depends on the number of points alone, so buildings share them.
+    """
+    dice = random.Random(0)
+    for m, used in before:
+        for _ in range(used):
+            dice.sample(range(m), 3)
+    return np.array([dice.sample(range(n), 3) for _ in range(TRIALS)])
+
+
+def _search(q: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of the points near the plane that has most of them, the first of equal ones, and the trials made: the search ends at nine tenths."""
+    best, most, start = np.zeros(len(q), bool), 0, 0
+    for end in (4, len(draws)):  # a simple roof needs few
+        three = q[draws[start:end]]
+        sides = three[:, 1:, :2] - three[:, :1, :2]
+        trial = np.flatnonzero(np.abs(np.linalg.det(sides)) >= 1e-9)
+        three = three[trial]
+        slope = np.linalg.solve(sides[trial], (three[:, 1:, 2] - three[:, :1, 2])[:, :, None])[:, :, 0]
+        level = three[:, 0, 2] - (slope * three[:, 0, :2]).sum(1)
+        near = np.abs(slope @ q[:, :2].T + level[:, None] - q[:, 2]) <= TOLERANCE
+        count = near.sum(1)
+        enough = np.flatnonzero(count >= 0.9 * len(q))
+        if len(enough):
+            return np.flatnonzero(near[enough[0]]), start + int(trial[enough[0]]) + 1
+        if len(count) and count.max() > most:
+            best, most = near[count.argmax()], int(count.max())
+        start = end
+    return np.flatnonzero(best), len(draws)
+
+
 def planes(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Planes with the places of their points; each takes its points from the later ones."""
-    dice, free, found = random.Random(0), np.arange(len(p)), []
-    near = lambda fit: free[np.abs(p[free, :2] @ fit[:2] + fit[2] - p[free, 2]) <= TOLERANCE]
+    """Planes with the places of their points; each takes its points from the later ones. Trials are measured together."""
+    free, found, before = np.arange(len(p)), [], ()
     while len(free) >= MIN_INLIERS and len(found) < PLANES:
-        best = free[:0]
-        for _ in range(TRIALS):
-            three = p[dice.sample(free.tolist(), 3)]
-            sides = three[1:, :2] - three[0, :2]
-            if abs(np.linalg.det(sides)) < 1e-9:
-                continue
-            slope = np.linalg.solve(sides, three[1:, 2] - three[0, 2])
-            hit = near(np.append(slope, three[0, 2] - slope @ three[0, :2]))
-            if len(hit) > len(best):
-                best = hit
-                if len(best) >= 0.9 * len(free):
-                    break
-        fit = trimmed(p[best]) if len(best) >= MIN_INLIERS else None
-        if fit is None or len(own := near(fit)) < MIN_INLIERS:
+        hit, used = _search(p[free], _draws(before, len(free)))
+        before += ((len(free), used),)
+        fit = trimmed(p[free[hit]]) if len(hit) >= MIN_INLIERS else None
+        if fit is None:
+            break
+        own = np.abs(p[free, :2] @ fit[:2] + fit[2] - p[free, 2]) <= TOLERANCE
+        if own.sum() < MIN_INLIERS:
             break
-        found.append((fit, own))
-        free = np.setdiff1d(free, own)
+        found.append((fit, free[own]))
+        free = free[~own]
     return found
 
 
@@ -111,16 +140,52 @@ def form(p: np.ndarray) -> dict | None:
 
 
 def fit(samples: DataFrame) -> DataFrame:
-    """(fid, shape, direction, eaves, ridge, quality) from samples (fid, e, n, z above ground), taken by rows from the low corner."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["n", "e"])[["e", "n", "z"]].to_numpy(float)
-        p[:, :2] -= p[:, :2].mean(0)
-        got = form(p)
-        return pd.DataFrame([{"fid": key[0], **got}] if got else [], columns=["fid", "shape", "direction", "eaves", "ridge", "quality"])
+    """(fid, shape, direction, eaves, ridge, quality) from samples (fid, e, n, z above ground), taken by rows from the low corner.
+
+    A building's samples lie together after one shuffle and sort, and a batch
+    holds many buildings; the last one waits for the next batch.
+    """
+    kinds = {"shape": pa.string()} | dict.fromkeys(["direction", "eaves", "ridge", "quality"], pa.float64())
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        fid, p = rows.column("fid").combine_chunks(), np.column_stack([rows.column(c).to_numpy() for c in ("e", "n", "z")]).astype(float)
+        starts = _starts(fid)
+        names, forms = [], []
+        for start, end in zip(starts, [*starts[1:], len(p)]):
+            own = p[start:end]
+            own = own[np.lexsort((own[:, 2], own[:, 0], own[:, 1]))]
+            own[:, :2] -= own[:, :2].mean(0)
+            if got := form(own):
+                names.append(start)
+                forms.append(got)
+        return pa.RecordBatch.from_arrays([fid.take(pa.array(names, pa.int64())), *[pa.array([f[k] for f in forms], t) for k, t in kinds.items()]], ["fid", *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held and rows.column("fid")[0].as_py() != held[-1].column("fid")[-1].as_py():
+                yield solved(pa.concat_tables(held))
+                held = []
+            last = int(_starts(rows.column("fid").combine_chunks())[-1])
+            if last:
+                yield solved(pa.concat_tables([*held, rows.slice(0, last)]))
+                held = []
+            held.append(rows.slice(last))
+        if held:
+            yield solved(pa.concat_tables(held))
 
     kind = dict(samples.dtypes)["fid"]
-    return samples.groupBy("fid").applyInPandas(one, f"fid {kind}, shape string, direction double, eaves double, ridge double, quality double")
+    together = samples.select("fid", *[F.col(c).cast("double").alias(c) for c in ("e", "n", "z")]).repartition("fid").sortWithinPartitions("fid")
+    return together.mapInArrow(run, f"fid {kind}, shape string, direction double, eaves double, ridge double, quality double")
+
+
+def _starts(fid: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before."""
+    runs = pc.run_end_encode(fid).run_ends.to_numpy()
+    return np.r_[0, runs[:-1]]
 
 
 def ridge_segment(one: np.ndarray, two: np.ndarray, ring: list[tuple[float, float]]) -> tuple | None:
