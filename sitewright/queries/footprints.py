@@ -276,7 +276,8 @@ def two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that are left once every spike is pruned."""
     edges = rings(spark, sf_dir).where("src = 'ours'").select("fid", F.posexplode(G.edges("ring")).alias("pos", "e")).select("fid", "pos", "e.a", "e.b")
     spikes = edges.where("pos = 0").select("fid", F.lit(99).alias("pos"), "a", G.point(F.col("a.x") - 0.5, F.col("a.y") - 0.5).alias("b"))
-    return curves.two_core(dedup.distinct_edges(edges.unionByName(spikes), ["fid", "pos"])).select("a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    every = edges.unionByName(spikes).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return curves.two_core(every).distinct().select("a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
 
 
 @query("""

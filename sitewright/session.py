@@ -104,6 +104,11 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
             _delete(spark, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have shuffles of plans that nothing holds any more deleted now: Spark does so once the driver's memory is tidied, which it may not be for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def path_of(table: DataFrame) -> str:
     """Where ``cut`` wrote its last table that has this one's files."""
     files = table.inputFiles()
